@@ -1,2 +1,63 @@
-"""Stages are added as they are built."""
-STAGES = []
+"""From raw documents to token ids: each stage's result is written and read again as the next one's input.
+
+A stage takes (spark, docs, sf_dir) and returns all rows that it keeps; all but
+the last return the columns of ``docs``, others that it may have included.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from chainweave.llm import bpe, decontamination, language, near_duplicates, pii
+from chainweave.llm.common import stored, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a certain language go; a missing language is filled in."""
+    names = docs.columns
+    found = language.predict(docs, language.fit(docs, ~language.held_out()))
+    kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & ~F.col("ambiguous"))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(names)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays, that of the smallest id."""
+    return near_duplicates.distinct_documents(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark passages cover a twentieth or more go. Rows of one id and text are judged alike."""
+    judged = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    bad = stored(judged.where("contaminated").select("doc_id").distinct(), "contaminated")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by their kind in brackets; no document goes."""
+    names = docs.columns
+    return pii.detect(docs, redacted="text").withColumn("n_chars", F.char_length("text").cast("bigint")).select(names)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_chars, the text's ids, and hashes of them and of the text decoded from them."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.encode(docs.withColumn("text", F.coalesce("text", F.lit(""))), tokenizer).drop("text")
+    return bpe.decode(coded, tokenizer).select(
+        "doc_id", "lang", "source", "n_chars", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicate), ("decontamination", decontaminate), ("pii", redact), ("bpe", tokenize)]
+
+#: The stages are Python operators (classifiers, MinHash, byte-pair merges) that SQL can't express;
+#: tests/llm hold them against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
