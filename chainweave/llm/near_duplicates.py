@@ -52,7 +52,7 @@ STEP = 20
 TOLERANCE = 1e-9
 #: Keys and shingles of a chunk of a large block.
 CHUNK_KEYS, CHUNK_SHINGLES = 1024, 1 << 19
-CACHED_WORDS = 200_000
+CACHED_WORDS = 150_000
 
 _random = np.random.default_rng(20)
 _ODD = _random.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)

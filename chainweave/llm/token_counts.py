@@ -23,7 +23,7 @@ from .caching import Cache
 from .common import bounded_batches
 
 #: Entries of each generation of a worker's word cache.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 120_000
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
 

@@ -32,10 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bpe import BYTE_LETTERS, CACHED_WORDS
+from .bpe import BYTE_LETTERS
 from .caching import Cache
 from .common import bounded_batches, shared_folder, stored
 
+#: Entries of each generation of a worker's word caches.
+CACHED_WORDS = 100_000
 LONGEST_CODE = 18
 #: Ids of a block; each has a checkpoint.
 BLOCK = 256
