@@ -32,7 +32,7 @@ from .caching import Cache
 from .common import bounded_batches
 
 #: Entries of each generation of the word caches of a worker.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 
 class Automaton:
@@ -68,7 +68,7 @@ class Automaton:
         found = self.known.get(key)
         if found is not None:
             return found
-        if len(self.known) > 4_000_000:
+        if len(self.known) > 1_000_000:
             self.known.clear()
         at, parent, without, born = token, self.parent, self.without, self.born
         found = self.left[token] != -2
@@ -124,19 +124,19 @@ class WordBpe:
         self.longest = max(len(t) for t in self.vocabulary)
         self.word_ids = Cache(self._word, CACHED_WORDS)
         self.chunk_ids = Cache(self._chunk, CACHED_WORDS)
-        #: What is known of a word's beginning: (state, last token, its length).
-        self.walks: dict[str, tuple[int, int, int]] = {}
+        #: What is known of a word's beginning: state, last token and its length, in one number.
+        self.walks: dict[str, int] = {}
 
-    def _step(self, word: str, upto: int, states: list[int], end: str) -> tuple[int, int, int]:
-        """The only arc into the place ``upto`` of the word from a place before it."""
+    def _step(self, word: str, upto: int, states: list[int], end: str) -> int:
+        """The only arc into the place ``upto`` of the word from a place before it; -1 if a letter is no token."""
         a, find, known = self.automaton, self.vocabulary.get, self.automaton.known.get
         for i in range(upto - 1, max(0, upto - self.longest) - 1, -1):
             token = find(word[i:upto] + end)
             if token is not None and (state := states[i]) >= 0:
                 arc = known(state * a.size + token)
                 if arc or arc is None and a.arc(state, token):
-                    return a.target[token], token, upto - i
-        return -1, -1, 1
+                    return a.target[token] << 40 | token << 8 | upto - i
+        return -1
 
     def _word(self, word: str) -> bytes:
         walks, n = self.walks, len(word)
@@ -147,15 +147,17 @@ class WordBpe:
             step = walks.get(word[:j])
             if step is None:
                 walks[word[:j]] = step = self._step(word, j, states, "")
-            states.append(step[0])
+            states.append(step >> 40)
             steps.append(step)
         steps.append(self._step(word, n, states, self.end))
         ids, at = [], n
         while at:
-            _, token, length = steps[at - 1]
-            if token >= 0:
-                ids.append(token)
-            at -= length
+            step = steps[at - 1]
+            if step >= 0:
+                ids.append(step >> 8 & 0xFFFFFFFF)
+                at -= step & 0xFF
+            else:
+                at -= 1
         return np.array(ids[::-1], "<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
