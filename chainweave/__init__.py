@@ -1,0 +1 @@
+"""Document-level coreference analytics and text pipelines on Spark DataFrames."""

@@ -1 +1 @@
-
+"""Readers and writers of annotated text, dictionaries, features and clusterings."""
