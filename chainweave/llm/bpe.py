@@ -52,7 +52,7 @@ class Automaton:
             if self.rank[uv] >= 0 or self.left[uv] == -2:
                 raise ValueError(f"two merges make the token {a + b!r}")
             source, after = self.target[u], self.target[v]
-            if not self.arc(source, v):
+            if self.left[u] == -2 or not self.arc(source, v):
                 self.left[uv] = -2  # an earlier merge always takes u or v: no arcs
                 continue
             self.left[uv], self.rank[uv], self.target[uv] = u, r, after

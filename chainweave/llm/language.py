@@ -102,6 +102,8 @@ SCALE = 32.0
 
 def codewords(n: int) -> np.ndarray:
     """A codeword of 1 and -1 for each of n languages: all distinct splits if they are few, else random dense rows."""
+    if n < 2:
+        return np.zeros((n, 0))
     if n <= 5:
         splits = [[1 if k == 0 or (s >> (k - 1)) & 1 else -1 for k in range(n)] for s in range(2 ** (n - 1) - 1)]
         return np.array(splits, float).T.reshape(n, -1)

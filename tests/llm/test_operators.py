@@ -1,0 +1,472 @@
+"""Each operator against brute force on a small table with nulls, empty and long texts, copies and extra columns."""
+
+import collections
+import gzip
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from chainweave.llm import bpe, decontamination, fingerprints, language, near_duplicates, pii, preferences, token_counts, token_files, warc
+from chainweave.llm.common import words_of
+
+WORD_BPE, BYTE_BPE, PIECES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
+RNG = random.Random(11)
+VOCABULARY = ["the", "of", "and", "Haus", "maison", "grün", "été", "año", "tion", "x1", "don't", "42", "ΟΔΟΣ", "日本", "--", "A.B", "I'LL"]
+
+
+def prose(n: int, rng=RNG) -> str:
+    return " ".join(rng.choice(VOCABULARY) + rng.choice(["", "", "", ".", ",", ".\n", "  "]) + str(rng.randrange(60)) for _ in range(n))
+
+
+LONG = prose(30_000)
+BASE = [prose(n) for n in (1, 3, 4, 5, 30, 120, 400)]
+NEAR = " ".join([*BASE[6].split(" ")[:-1], "changed"])
+TEXTS = [None, "", " ", "\n\n", "...", *BASE, BASE[5], BASE[5], NEAR, LONG, "a  b\t\tc \n d", "<|endoftext|> x <|startoftext|>", "tab\x1cseparated\x85text", "İstanbul 🙂 ﷺ é", "é è"]
+
+
+def table(spark, texts=TEXTS):
+    rows = [(k, t, RNG.choice(["de", "en", None]), "src", None if t is None else len(t), k % 3, f"e{k}") for k, t in enumerate(texts)]
+    rows.append((None, "a text without an id, of some words", None, None, None, 1, None))
+    # extra columns whose names the operators use themselves
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int, key string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+def by_id(df) -> dict:
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def library(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+# -- WARC -----------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark):
+    big, small = "é" * 900, "x" * 999
+    pages = [(1, "u1", big), (2, "u2", big), (9, None, big), (3, "u3", small), (4, "u4", small), (5, "u", None), (6, "u", ""), (7, "u\r\nX: y", "z" * 300_000), (9, "again", big), (None, "n", big), (10, "q", "q" * 1000)]
+    df = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, digest int").repartition(3)
+    found = collections.Counter(tuple(r) for r in warc.round_trip(df).collect())
+    expected = collections.Counter()
+    for k, _, html in pages:
+        data = (html or "").encode()
+        revisit = html == big and k != 9
+        expected[(k, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 9 if revisit else None)] += 1
+    assert found == expected
+    assert warc.round_trip(df.where("false")).collect() == []
+
+
+def test_warc_files_and_damage(spark, tmp_path):
+    path = str(tmp_path / "w")
+    warc.write_warc(spark.createDataFrame([(k, f"http://x/{k}", f"page {k} " * 50) for k in range(20)], "page_id long, url string, html string").coalesce(1), path)
+    (file,) = list((tmp_path / "w").glob("part-*"))
+    data = file.read_bytes()
+    assert gzip.decompress(data).count(b"WARC/1.1\r\n") == 20  # any reader of gzip members takes it
+    assert len(list(warc.read_archive(data))) == 20
+    one = warc.record("response", 1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None)
+    for bad in (data[:-9], gzip.compress(one.replace(b"abc\r\n", b"abd\r\n")), gzip.compress(one.replace(b"Content-Length: ", b"Content-Length: 9")), gzip.compress(b"no record\r\n\r\n"), b"junk", data[:40] + b"\xff" + data[41:]):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_archive(bad))
+
+
+# -- fingerprints ------------------------------------------------------------------
+
+
+def shingle_set(text) -> frozenset:
+    w = words_of(text)
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_fingerprints(spark, docs, empty):
+    rows = fingerprints.digest(docs).collect()
+    plain = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    order = sorted(plain, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    found = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(plain)
+    prints = collections.defaultdict(set)
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + after[:cut]
+        assert found[i]["n_chars"] == len(t) and found[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest(), i
+        prints[t].add(found[i]["fingerprint"])
+        assert 0 <= found[i]["near_edited"] <= 1
+        if edited == t:
+            assert found[i]["near_edited"] == 1
+        n = len(shingle_set(t) | shingle_set(edited))
+        if n > 300:
+            true = len(shingle_set(t) & shingle_set(edited)) / n
+            assert abs(found[i]["near_edited"] - true) < 0.12, i
+    assert all(len(v) == 1 for v in prints.values())
+    assert fingerprints.digest(empty).collect() == []
+    assert fingerprints.digest(docs.where("doc_id = 9")).first()["near_next"] == 1
+
+
+def test_sketches_merge(spark):
+    a, b = BASE[6], BASE[5]
+    rows = spark.createDataFrame([(a, b, a + " " + b)], "a string, b string, c string")
+    for c in "abc":
+        rows = fingerprints.with_sketch(rows, c, f"s{c}")
+    r = rows.select("sa", "sb", "sc", fingerprints.merged(F.col("sa"), F.col("sb")).alias("m"), fingerprints.containment(F.col("sa"), F.col("sc")).alias("inside")).first()
+    assert set(r["m"]) <= set(r["sc"]) | set(r["m"]) and r["inside"] > 0.97 and len(set(r["sc"]) - set(r["m"])) <= 4
+
+
+def test_fingerprints_are_native(docs):
+    plan = fingerprints.digest(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+# -- token files ---------------------------------------------------------------------
+
+
+def test_token_files(spark, docs, empty):
+    found = token_files.round_trip(docs, BYTE_BPE).collect()
+    tk, start, expected = library(BYTE_BPE), 0, []
+    for i, t in sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0)):
+        ids = np.array(tk.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        expected.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, found), key=lambda x: x[1]) == expected
+    assert token_files.round_trip(empty, BYTE_BPE).collect() == []
+
+
+def test_code_is_optimal_and_bounded():
+    import heapq
+
+    rng = np.random.default_rng(2)
+    for n in (2, 3, 17, 300):
+        counts = np.zeros(n + 5, np.int64)
+        counts[:n] = np.maximum(1, (rng.pareto(0.6, n) * 10).astype(int))
+        heap = [(int(c), k, (k,)) for k, c in enumerate(counts[:n])]
+        heapq.heapify(heap)
+        cost = 0
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            cost += a[0] + b[0]
+            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
+        assert int((token_files.code_lengths(counts, 40) * counts).sum()) == cost
+        short = token_files.code_lengths(counts, 9)
+        assert short.max() <= 9 and sum(2.0 ** -float(x) for x in short if x) <= 1
+    lengths = token_files.code_lengths(np.array([5, 0, 9, 1, 1]), 18)
+    ids = rng.choice([0, 2, 3, 4], 1000)
+    stream, offsets = token_files.pack(ids, lengths, token_files.canonical(lengths))
+    whole = token_files.unpack(stream, offsets, 1000, *token_files.decoding_table(lengths))
+    assert (whole == ids).all()
+    for k in range(len(offsets)):  # any block alone
+        part = token_files.unpack(stream, offsets, 1000, *token_files.decoding_table(lengths), slice(k, k + 1))
+        assert (part == ids[256 * k : 256 * (k + 1)]).all()
+    with pytest.raises(ValueError):
+        token_files.from_file(b"CWTOK1 broken")
+
+
+# -- counts ------------------------------------------------------------------------------
+
+
+def test_token_counts(docs, empty):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    pieces = token_counts.unigram_pieces(PIECES)
+    exact = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=False))
+    exact.pre_tokenizer = pre_tokenizers.Metaspace()
+    found = by_id(token_counts.count_tokens(docs.drop("score"), pieces))
+    for r in docs.collect():
+        assert found[r["doc_id"]]["n_tokens"] == len(exact.encode(r["text"] or "", add_special_tokens=False).ids), r["text"]
+        assert found[r["doc_id"]]["key"] == r["key"]
+    assert token_counts.count_tokens(empty.drop("score"), pieces).collect() == []
+
+
+def test_token_count_ties():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    pieces = [("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("b", -1.0), ("aa", -2.0), ("ab", -2.0), ("▁a", -2.0), ("aba", -3.0), ("ba", -2.0)]
+    exact = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=False))
+    exact.pre_tokenizer = pre_tokenizers.Metaspace()
+    counter = token_counts.Counter(pieces)
+    for n in range(1, 8):
+        for w in itertools.product("ab?", repeat=n):
+            t = "".join(w)
+            assert counter.text(t)[0] == len(exact.encode(t).ids), t
+
+
+# -- preferences ---------------------------------------------------------------------------
+
+
+def test_preferences(spark):
+    turns = [
+        (0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "é?"), (0, 3, "assistant", "well"), (1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "no"),
+        (2, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, "user", "alone"), (6, 1, None, None), (6, 0, "assistant", "a"), (7, 0, "assistant", "a"), (7, None, "user", "b"), (8, 0, "user", "x"), (8, 0, "user", "x"), (9, 0, "user", "x"), (None, 0, "user", "z"),
+    ]
+    df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, pair_id int")
+    found = {r["pair_id"]: r for r in preferences.neighbours(df).collect()}
+    assert set(found) == {0, 1, 3, 4}
+    assert (found[0]["n_common"], found[0]["prompt"]) == (2, "<|user|>\nhi\n<|assistant|>\nyes\n")
+    assert (found[0]["chosen"], found[0]["rejected"]) == ("<|user|>\né?\n<|assistant|>\nwell\n", "<|user|>\nno\n")
+    assert (found[0]["chosen_mask"], found[0]["rejected_mask"]) == ("0x12,0x14,1x5", "0x12")
+    assert (found[1]["n_common"], found[1]["chosen"], found[1]["rejected"], found[1]["chosen_mask"]) == (1, "", "", "")
+    assert found[3]["n_common"] == 0 and found[4]["n_common"] == 1 and found[4]["chosen"] == "<|user|>\nx\n"
+    for r in found.values():
+        for side in ("chosen", "rejected"):
+            assert sum(int(x.split("x")[1]) for x in r[f"{side}_mask"].split(",") if x) == len(r[side])
+    assert preferences.neighbours(df.where("false")).collect() == []
+    assert not re.search("Python|Arrow|Pandas", preferences.neighbours(df)._jdf.queryExecution().executedPlan().toString())
+
+
+# -- personal data -----------------------------------------------------------------------------
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def valid(kind, span):
+    digits = [int(c) for c in span if c.isdigit()]
+    if kind == "ip":
+        return all(int(p) <= 255 for p in span.split("."))
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+    return kind == "email" or 8 <= len(digits) <= 15
+
+
+def base_spans(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if valid(k, m[0])]
+
+
+def test_personal_data(spark, docs):
+    rng = random.Random(4)
+    odd = ["a@b.c@d.e", "a@b@c.de", "@x.y", "x" * 9000 + "@" + "y.z" * 5, "1.2.3.4.5.6.7.8", "256.1.1.1 001.002.003.004", "4111 1111 1111 1111 1", "4111-1111-1111-1111", "+1 (234) 567-8901 +", "+12+3456789", "9" * 3000 + ".1.2.3", "é 🙂 me@mail.fr"]
+    odd += ["".join(rng.choice("ab1.@+-( )49 ") for _ in range(rng.randrange(80))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").unionByName(docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 10_000))
+    found = {r["doc_id"]: r for r in pii.digest(rows).collect()}
+    for r in rows.collect():
+        spans = base_spans(r["text"])
+        assert found[r["doc_id"]]["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest(), r["text"]
+        assert set(spans) <= set(found[r["doc_id"]]["spans"].split(",")) | {""}
+        assert found[r["doc_id"]]["n_email"] == sum(s.startswith("email") for s in spans)
+
+
+def test_added_kinds_and_redaction(docs):
+    text = "IBAN DE89 3704 0044 0532 0130 00, routing number 021000021, SSN 123-45-6789, mail a@b.de"
+    found = pii.spans_of(text)
+    assert {k for k, *_ in found} == {"iban", "routing", "ssn", "email"}
+    assert pii.redact(text, found) == "IBAN [IBAN], routing number [ROUTING], SSN [SSN], mail [EMAIL]"
+    assert pii.spans_of("DE88 3704 0044 0532 0130 00 and 123456789 and 123-45-6789") == []
+    rows = pii.detect(docs, redacted="text").collect()
+    assert len(rows) == docs.count() and all(r["text"] is None for r in rows if r["doc_id"] == 0)
+
+
+# -- decontamination -----------------------------------------------------------------------------
+
+
+def contaminated(docs, items):
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = words_of(t)
+        n = min(13, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[k : k + n])].add(i)
+    sizes = {len(w) for w in windows}
+    for i, t in docs:
+        w = words_of(t)
+        hit, found = set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if (own := windows.get(tuple(w[k : k + n]))) is not None:
+                    hit |= set(range(k, k + n))
+                    found |= own
+        yield i, len(w), len(hit), len(found), bool(hit) and 20 * len(hit) >= len(w)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 20])
+def test_decontamination(spark, docs, empty, block, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
+    monkeypatch.setattr(decontamination, "CANDIDATES", 7)
+    passage = BASE[6].split(" ")
+    items = [(1, " ".join(passage[40:70])), (2, BASE[1]), (3, None), (4, ""), (5, "of"), (6, " ".join(passage[60:80])), (7, "absent words here"), (8, BASE[5]), (8, BASE[5])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {r["doc_id"]: tuple(r)[:4] + (r["contaminated"],) for r in decontamination.digest(docs, bench).select("doc_id", "n_words", "n_hit", "n_items", "contaminated").collect()}
+    plain = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for row in contaminated(plain, items):
+        assert found[row[0]] == row, row
+    assert len(found) == len(plain)
+    assert decontamination.digest(empty, bench).collect() == []
+    none = decontamination.digest(docs, bench.where("false")).collect()
+    assert len(none) == len(plain) and not any(r["contaminated"] for r in none)
+
+
+def test_proximity(spark):
+    index = decontamination.build_index(spark.createDataFrame([(1, "alpha x x beta y gamma"), (2, "alpha " + "x " * 50 + "beta gamma"), (3, "gamma beta alpha")], "doc_id long, text string"))
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    near = {r["doc_id"] for r in decontamination.proximity_hits(index, items, reach=6).where("size(items) > 0").collect()}
+    assert near == {1, 3}
+    assert {r["doc_id"] for r in decontamination.phrase_hits(index, items).where("size(items) > 0").collect()} == set()
+
+
+# -- byte-pair encoding ------------------------------------------------------------------------
+
+
+def test_bpe(docs, empty):
+    tk = library(WORD_BPE)
+    found = by_id(bpe.digest(docs, WORD_BPE))
+    for r in docs.collect():
+        ids = tk.encode(r["text"] or "", add_special_tokens=False).ids
+        row = (r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tk.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        assert tuple(found[r["doc_id"]]) == row, r["text"]
+    assert bpe.digest(empty, WORD_BPE).collect() == []
+    kept = bpe.decode(bpe.encode(docs, WORD_BPE), WORD_BPE)
+    assert kept.where("text is null and (ids is not null or decoded is not null)").count() == 0 and set(docs.columns) < set(kept.columns)
+
+
+def test_automaton_on_all_short_strings():
+    """Every string over three letters, against merging by rank."""
+    rng = random.Random(1)
+    for _ in range(30):
+        tokens, merges = ["a", "b", "c"], []
+        while len(merges) < 9:
+            pair = (rng.choice(tokens), rng.choice(tokens))
+            if "".join(pair) not in tokens and len("".join(pair)) < 7:
+                merges.append(pair)
+                tokens.append("".join(pair))
+        numbers = {t: k for k, t in enumerate(tokens)}
+        automaton = bpe.Automaton(numbers, merges)
+        for n in range(1, 8):
+            for letters in itertools.product("abc", repeat=n):
+                parts = list(letters)
+                for u, v in merges:  # in order of rank, each from the left
+                    k = 0
+                    while k < len(parts) - 1:
+                        if (parts[k], parts[k + 1]) == (u, v):
+                            parts[k : k + 2] = [u + v]
+                        k += 1
+                state = 0
+                for t in parts:
+                    assert automaton.arc(state, numbers[t]), (merges, parts)
+                    state = automaton.target[numbers[t]]
+                if n == 4:  # no other sequence of tokens is accepted
+                    accepted = 0
+                    for cuts in itertools.product([0, 1], repeat=3):
+                        seq, at = [], 0
+                        for k in range(1, 5):
+                            if k == 4 or cuts[k - 1]:
+                                seq.append("".join(letters[at:k]))
+                                at = k
+                        state, good = 0, all(t in numbers for t in seq)
+                        for t in seq if good else ():
+                            if good := automaton.arc(state, numbers[t]):
+                                state = automaton.target[numbers[t]]
+                            else:
+                                break
+                        accepted += good
+                    assert accepted == 1
+
+
+# -- near duplicates -------------------------------------------------------------------------------
+
+
+def linked(rows):
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    root, links = list(range(len(sets))), [0] * len(sets)
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        x, y = sets[a][1], sets[b][1]
+        if x and y and len(x & y) >= 0.8 * len(x | y) - 1e-12 and sets[a][0] is not None and sets[b][0] is not None:
+            links[a] += 1
+            links[b] += 1
+            u, v = top(a), top(b)
+            root[max(u, v)] = min(u, v)
+    least = collections.defaultdict(list)
+    for k in range(len(sets)):
+        if sets[k][0] is not None:
+            least[top(k)].append(sets[k][0])
+    return {sets[k][0]: (min(least[top(k)]), links[k]) for k in range(len(sets)) if sets[k][0] is not None}
+
+
+@pytest.mark.parametrize("chunk", [1024, 3])
+def test_near_duplicates(spark, chunk, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "CHUNK_KEYS", chunk)
+    rng = random.Random(8)
+    texts = list(TEXTS)
+    for _ in range(4):
+        base = prose(200, rng).split(" ")
+        for _ in range(7):
+            copy = list(base)
+            for _ in range(rng.randrange(14)):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(999)}"
+            texts.append(" ".join(copy))
+        texts += [" ".join(base)] * 3
+    df = table(spark, texts)
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_duplicates.classes(df).collect()}
+    assert found.pop(None)[0] is None
+    assert found == linked(rows)
+    kept = near_duplicates.distinct_documents(df).collect()
+    assert {r["doc_id"] for r in kept} == {c for c, _ in found.values()} | {None} and len(kept) == len({c for c, _ in found.values()}) + 1
+
+
+def test_near_duplicates_small(spark):
+    schema = "doc_id long, text string"
+    assert near_duplicates.classes(spark.createDataFrame([], schema)).collect() == []
+    again = spark.createDataFrame([(1, "one two three four five six")] * 3 + [(1, "another text"), (2, "ONE two, three four five six")], schema)
+    assert len(near_duplicates.distinct_documents(again).collect()) == 1
+    assert {r["n_links"] for r in near_duplicates.classes(again).where("doc_id = 2").collect()} == {3}
+
+
+def test_pruning_keeps_what_can_reach():
+    from math import comb
+
+    for n in (20, 100, 200):
+        least = near_duplicates.least_matches(0.8, n)
+        posterior = lambda m: sum(comb(n + 1, k) * 0.8**k * 0.2 ** (n + 1 - k) for k in range(m + 1))
+        assert posterior(least) >= near_duplicates.TOLERANCE and (least == 0 or posterior(least - 1) < near_duplicates.TOLERANCE)
+
+
+# -- language ------------------------------------------------------------------------------------------
+
+
+def test_language(spark, empty):
+    words = {"en": "the of and with from that have", "de": "der die und mit von das nicht für", "fr": "le les des avec pour dans été", "es": "el los con para año está", "it": "il gli della che più è", "nl": "het een van niet zijn ook", "pl": "że się jest nie ło ści"}
+    rng = random.Random(2)
+    rows = []
+    for k in range(700):
+        lang = rng.choice(list(words))
+        rows.append((k, " ".join(rng.choice(words[lang].split()) + rng.choice(["", ".", "ia"]) for _ in range(rng.randint(8, 60))), lang))
+    rows += [(1000, None, "en"), (1001, "", "en"), (1002, "123 !!", None), (1003, "the of and " * 20_000, None), (1004, "le les des avec", None), (None, "der die und mit", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit(1))
+    found = {r["doc_id"]: r for r in language.identify(df).collect()}
+    assert len(found) == len(rows)
+    held = [(k, lang) for k, _, lang in rows[:700] if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert all(found[k]["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2) for k in range(700)) and found[None]["held_out"]
+    assert sum(found[k]["lang_pred"] == lang for k, lang in held) > 0.97 * len(held)
+    assert [found[k]["lang_pred"] for k in (1000, 1001, 1002, 1003, 1004)] == ["und", "und", "und", "en", "fr"] and found[1000]["score"] == 0
+    assert language.identify(empty).collect() == []
+    assert {r["lang_pred"] for r in language.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert {r["lang_pred"] for r in language.identify(df.withColumn("lang", F.lit("xx"))).collect()} == {"und", "xx"}
+
+
+def test_codewords_are_apart():
+    for n in (2, 3, 4, 5, 9, 40):
+        code = language.codewords(n)
+        assert len({tuple(r) for r in code}) == n
+        if n > 2:
+            assert min(np.abs(code[i] - code[j]).sum() / 2 for i in range(n) for j in range(i)) >= 2
