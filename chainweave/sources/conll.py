@@ -13,7 +13,7 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*_conll") -> Data
     A file is one row until its lines are numbered, since a document's lines must
     keep their order; files are small, and are dealt to tasks by size.
     """
-    whole = spark.read.option("pathGlobFilter", pattern).option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    whole = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path, wholetext=True)
     return whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 

@@ -11,7 +11,7 @@ def numbered_lines(df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_numbered(spark: SparkSession, path: str) -> DataFrame:
-    return numbered_lines(spark.read.option("wholetext", True).text(path))
+    return numbered_lines(spark.read.text(path, wholetext=True))
 
 
 def gender_dictionary(lines: DataFrame, line: str = "value") -> DataFrame:
