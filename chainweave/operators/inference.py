@@ -36,35 +36,43 @@ def propagate(scores: list[np.ndarray], antecedents: list[np.ndarray], unary: np
     """
     n, k = unary.shape
     prior = [_normal(np.exp(s - s.max())) for s in scores]
-    links = [(m, j, int(a)) for m, own in enumerate(antecedents) for j, a in enumerate(own) if a != m]
-    to_m = {(m, j): np.full(k, 1.0 / k) for m, j, _ in links}
-    to_a = {(m, j): np.full(k, 1.0 / k) for m, j, _ in links}
-    to_choice = [np.ones(len(own)) for own in antecedents]
-    unary = _normal(unary.astype(float))
+    # all choices in one row, mention after mention; links are those that choose another mention
+    owner = np.repeat(np.arange(n), [len(x) for x in antecedents])
+    chosen = np.concatenate(antecedents).astype(int) if n else np.zeros(0, int)
+    link = np.flatnonzero(chosen != owner)
+    m, a, p = owner[link], chosen[link], np.concatenate(prior)[link] if n else np.zeros(0)
+    other = np.concatenate(prior)[chosen == owner] if n else np.zeros(0)
+    rest = np.zeros(n)
+    rest[owner[chosen == owner]] = other
+    to_m, to_a, to_choice = np.full((len(link), k), 1.0 / k), np.full((len(link), k), 1.0 / k), np.ones(len(link))
+    unary = np.log(np.maximum(_normal(unary.astype(float)), 1e-300))
+
+    def beliefs() -> np.ndarray:
+        total = unary.copy()
+        np.add.at(total, m, np.log(to_m))
+        np.add.at(total, a, np.log(to_a))
+        return total
+
+    def cavity(total: np.ndarray, message: np.ndarray) -> np.ndarray:
+        x = total - np.log(message)
+        return _normal(np.exp(x - x.max(1, keepdims=True)))
+
     for _ in range(rounds):
-        belief = np.log(np.maximum(unary, 1e-300))
-        for m, j, a in links:
-            belief[m] += np.log(to_m[m, j])
-            belief[a] += np.log(to_a[m, j])
-        sent_m, sent_a, sent_choice = {}, {}, [x.copy() for x in to_choice]
-        for m, j, a in links:
-            at_m = belief[m] - np.log(to_m[m, j])
-            at_a = belief[a] - np.log(to_a[m, j])
-            at_m, at_a = _normal(np.exp(at_m - at_m.max())), _normal(np.exp(at_a - at_a.max()))
-            others = prior[m] * to_choice[m]
-            others[j] = prior[m][j]
-            q = others[j] / others.sum()
-            sent_choice[m][j] = at_m @ grid @ at_a
-            sent_m[m, j] = _normal(q * (grid @ at_a) + 1 - q)
-            sent_a[m, j] = _normal(q * (at_m @ grid) + 1 - q)
-        to_m, to_a, to_choice = sent_m, sent_a, sent_choice
-    belief = np.log(np.maximum(unary, 1e-300))
-    for m, j, a in links:
-        belief[m] += np.log(to_m[m, j])
-        belief[a] += np.log(to_a[m, j])
-    if not np.isfinite(belief).all():
+        total = beliefs()
+        at_m, at_a = cavity(total[m], to_m), cavity(total[a], to_a)
+        weight = p * to_choice
+        q = p / (rest[m] + np.bincount(m, weight, n)[m] - weight + p)  # without the link's own message
+        q = q[:, None]
+        to_choice = np.einsum("lx,xy,ly->l", at_m, grid, at_a)
+        to_m = _normal(q * (at_a @ grid.T) + 1 - q)
+        to_a = _normal(q * (at_m @ grid) + 1 - q)
+    total = beliefs()
+    if not np.isfinite(total).all():
         raise FloatingPointError("a message is not a number")
-    return [_normal(p * c) for p, c in zip(prior, to_choice)], _normal(np.exp(belief - belief.max(1, keepdims=True)))
+    factor = np.ones(len(owner))
+    factor[link] = to_choice
+    ends = np.cumsum([len(x) for x in antecedents])[:-1]
+    return [_normal(x * c) for x, c in zip(prior, np.split(factor, ends))], _normal(np.exp(total - total.max(1, keepdims=True)))
 
 
 def belief_marginals(pairs: DataFrame, properties: DataFrame, size: int, weight: float = 1.0, rounds: int = ROUNDS) -> DataFrame:

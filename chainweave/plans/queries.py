@@ -745,3 +745,10 @@ def embedding_ranks(s, d):
     e = proxy.table(s, d, "embeddings").select(F.col("label").alias("doc_key"), F.col("vec_id").alias("ment_idx"), F.col("embedding").cast("array<double>").alias("v"))
     dot = F.aggregate(F.zip_with("m_v", "a_v", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     return P.mention_pairs(e, ["v"]).groupBy(F.col("doc_key").alias("label")).agg(F.count("*").alias("pairs"), F.round(F.max(dot), 4).alias("best"))
+
+
+@query("event_windows", "select date_trunc('hour', ts)::timestamp as start, event_type, count(*) as events, round(sum(value), 4) as total from events group by 1, 2")
+def event_windows(s, d):
+    from ..streaming.windows import event_windows as windows
+
+    return windows(proxy.table(s, d, "events")).withColumn("total", F.round("total", 4))
