@@ -1,10 +1,10 @@
 """Connected components of an undirected graph (C2, C7), by contraction.
 
-Each round gives every node the member of its neighbourhood with the smallest
-hash (a fresh hash in each round, so that long chains shrink by a constant
-share) and replaces the edges by those between the chosen nodes. The rounds'
-maps are then composed from the last to the first. Every round ends in a stored
-table, so a lost executor costs one round's tasks at most.
+Each round gives every node the node of smallest hash within two steps (a fresh
+hash in each round, so that long chains shrink by a constant share; a star
+becomes one node at once) and replaces the edges by those between the chosen
+nodes. The rounds' maps are then composed from the last to the first. Every
+round ends in a stored table, so a lost executor costs one round's tasks at most.
 """
 
 from __future__ import annotations
@@ -33,18 +33,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Self-loops make a node known; null ends are ignored; repeated edges do no harm.
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    ends = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")))).alias("e"))
-    maps, turn = [], 0
+    maps = []
     while True:
-        order = F.xxhash64("b", F.lit(turn))
-        chosen = stored(ends.select("e.a", "e.b").groupBy("a").agg(F.min_by("b", F.struct(order, "b")).alias("to")))
+        smallest = lambda c: F.min_by(c, F.struct(F.xxhash64(c, F.lit(len(maps))), c))  # noqa: E731, B023
+        both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))
+        ends = edges.select(F.explode(both).alias("e")).select("e.a", "e.b")
+        near = ends.groupBy("a").agg(smallest("b").alias("to"))
+        chosen = stored(ends.join(near.withColumnRenamed("a", "b"), "b").groupBy("a").agg(smallest("to").alias("to")))
         maps.append(chosen)
         ahead = edges.join(chosen.select("a", F.col("to").alias("x")), "a").select("b", "x").join(chosen.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
         edges = stored(ahead.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if edges.isEmpty():
             break
-        ends = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")))).alias("e"))
-        turn += 1
     found = maps.pop()
     while maps:
         below = maps.pop()
