@@ -752,3 +752,85 @@ def event_windows(s, d):
     from ..streaming.windows import event_windows as windows
 
     return windows(proxy.table(s, d, "events")).withColumn("total", F.round("total", 4))
+
+
+# -- order and further templates ---------------------------------------------------------------------
+
+
+@query("top_antecedents", PR + "select doc_key, m, a, cast(rank as integer) as rank from (select *, row_number() over (partition by doc_key, m order by score desc, a) as rank from strict) where rank <= 5")
+def top_antecedents(s, d):
+    from ..operators.ordering import top_antecedents as top
+
+    return top(proxy.scored_pairs(s, d)).select("doc_key", "m", "a", "rank")
+
+
+@query("maxima", PR + ", e as (select doc_key, count(*) as n, count(distinct key_id) as c from clusters group by 1), b as (select *, (row_number() over (order by doc_key) - 1) // 4 as b from e) select max(n) as most_mentions, max(c) as most_clusters, (select max(t) from (select cast(sum(n) as bigint) as t from b group by b)) as most_in_batch from b")
+def maxima(s, d):
+    from ..operators.ordering import maxima as largest
+
+    return largest(proxy.key_clusters(proxy.plain_mentions(s, d), "word"), 4)
+
+
+@query("first_documents", PL + "select doc_key, count(*) as mentions from plain where doc_key in (select distinct doc_key from plain order by 1 limit 7) group by 1")
+def first_documents(s, d):
+    from ..operators.ordering import first_documents as first
+
+    return first(proxy.plain_mentions(s, d), 7).groupBy("doc_key").agg(F.count("*").alias("mentions"))
+
+
+@query("top_words", T + "select lower(word) as key, count(*) as cnt from tokens group by 1 order by cnt desc, key limit 50")
+def top_words(s, d):
+    from ..operators.ordering import top_keys
+
+    return top_keys(lexical.counted(proxy.tokens(s, d), "word", F.lower("word"), 1).select("key", "cnt"), 50)
+
+
+@query("listed_words", T + "select lower(word) as key, count(*) as cnt from tokens where lower(word) in ('the', 'der', 'le', 'el') group by 1")
+def listed_words(s, d):
+    from ..operators.ordering import of_words
+
+    words = s.createDataFrame([(w,) for w in ("the", "der", "le", "el")], "word string")
+    return of_words(lexical.counted(proxy.tokens(s, d), "word", F.lower("word"), 1).select("key", "cnt"), words)
+
+
+@query("larger_pair_features", RICH + f""", heads as (select lower(m.head) || '|' || lower(a.head) as pair from rich m join rich a on m.doc_key = a.doc_key and a.ment_idx < m.ment_idx group by 1 having count(*) >= 2)
+select m.doc_key, count(*) as pairs, count(*) filter (where h.pair is null) as backed_off, count(distinct a.syn_uni || '-' || m.syn_uni) as positions, count(*) filter (where a.gender = m.gender and a.number = m.number and a.ner = m.ner and a.ment_type = m.ment_type) as agreeing
+from rich m join rich a on m.doc_key = a.doc_key and a.ment_idx < m.ment_idx left join heads h on h.pair = lower(m.head) || '|' || lower(a.head) group by 1""")
+def larger_pair_features(s, d):
+    from ..operators.templates import larger_pair_features as larger
+
+    p = P.mention_pairs(proxy.mentions(s, d), ["head", "syn_uni", "gender", "number", "ner", "ment_type"]).withColumn("pair", F.concat_ws("|", F.lower("m_head"), F.lower("a_head")))
+    common = p.groupBy("pair").agg(F.count("*").alias("n")).where("n >= 2").select("pair", F.lit(True).alias("common"))
+    rows = p.join(common, "pair", "left").withColumn("feats", larger(F.coalesce("common", F.lit(False))))
+    value = lambda k: F.split(F.substring_index(F.col("feats")[k], "=", -1), "-")
+    alike = F.expr("true")
+    for k in (5, 6, 7, 8):
+        alike = alike & (value(k)[0] == value(k)[1])
+    return rows.groupBy("doc_key").agg(F.count("*").alias("pairs"), F.count_if(F.col("feats")[1] == "Heads=BACKOFF_INDICATOR").alias("backed_off"), F.count_distinct(F.col("feats")[0]).alias("positions"), F.count_if(alike).alias("agreeing"))
+
+
+@query("split_examples", r"""with w as (select doc_id, string_split_regex(trim(text), '\s+') as w from documents), e as (select doc_id, unnest(range(1, len(w))) as k, w from w), x as (select doc_id, k, w[k] as l, w[k + 1] as r from e)
+select doc_id, count(*) as candidates, count(*) filter (where regexp_matches(r, '^\p{Lu}')) as capitals, count(*) filter (where contains(regexp_replace(l, '[.?!]("|''''|``|''|\))?$', ''), '.')) as dotted from x where regexp_matches(l, '[.?!]("|''''|``|''|\))?$') group by 1""")
+def split_examples(s, d):
+    from ..operators.templates import split_examples as examples
+
+    rows = examples(proxy.table(s, d, "documents").select("doc_id", "text"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("candidates"), F.count_if(F.array_contains("feats", "RightCap=true")).alias("capitals"), F.count_if(F.array_contains("feats", "LeftDot=true")).alias("dotted"))
+
+
+@query("entity_tag_features", T + ", c as (select *, coalesce(lower(lag(word, 1) over w), '<none>') as p, coalesce(lower(lead(word, 2) over w), '<none>') as n from tokens window w as (partition by doc_key, sent_idx order by tok_idx)) select doc_key, sent_idx, tok_idx, '-1W=' || p as before, '2W=' || n as after, cast(16 as integer) as arity from c")
+def entity_tag_features(s, d):
+    from ..operators.templates import entity_tag_features as tagged
+
+    rows = tagged(proxy.tokens(s, d))
+    return rows.select("doc_key", "sent_idx", "tok_idx", F.col("feats")[1].alias("before"), F.col("feats")[4].alias("after"), F.size("feats").alias("arity"))
+
+
+@query("name_gender", FU + ", g(key, c1, c2, c3) as (values " + ", ".join(str(x[:4]) for x in _GENDERS) + """), j as (select m.doc_key, m.ment_idx, a.c1 as a1, a.c2 as a2, a.c3 as a3, b.c1 as b1, b.c2 as b2, b.c3 as b3 from mentions m left join g a on m.ner = 'PERSON' and regexp_matches(m.prev1, '^\\p{Lu}') and lower(m.prev1) = a.key left join g b on lower(m.head) = b.key),
+k as (select *, case when a1 >= 3 and a1 >= 2 * (a2 + a3) then 'MALE' when a2 >= 3 and a2 >= 2 * (a1 + a3) then 'FEMALE' when a3 >= 3 and a3 >= 2 * (a1 + a2) then 'NEUTRAL' end as one, case when b1 >= 3 and b1 >= 2 * (b2 + b3) then 'MALE' when b2 >= 3 and b2 >= 2 * (b1 + b3) then 'FEMALE' when b3 >= 3 and b3 >= 2 * (b1 + b2) then 'NEUTRAL' else 'UNKNOWN' end as two from j)
+select doc_key, ment_idx, coalesce(one, two) as name_gender from k""")
+def name_gender(s, d):
+    from ..operators.templates import name_gender as named
+
+    lines = s.createDataFrame([(" ".join(map(str, x)),) for x in _GENDERS], "value string")
+    return named(proxy.mentions(s, d), text_formats.gender_dictionary(lines)).select("doc_key", "ment_idx", "name_gender")
