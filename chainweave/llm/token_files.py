@@ -26,6 +26,7 @@ import hashlib
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,8 @@ from .bpe import BYTE_LETTERS
 from .caching import Cache
 from .common import bounded_batches, shared_folder, stored
 
-#: Entries of each generation of a worker's word caches.
-CACHED_WORDS = 100_000
+#: Entries of each generation of a worker's cache of words after a space; others are a tenth.
+CACHED_WORDS = 400_000
 LONGEST_CODE = 18
 #: Ids of a block; each has a checkpoint.
 BLOCK = 256
@@ -63,24 +64,31 @@ class Pieces:
             raise ValueError("not a byte-level tokenizer file")
         self.model = Tokenizer.from_str(file).model
         self.size = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
-        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")").split
         # Fixed value: the byte-level pattern.
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.word_ids = Cache(self._word, CACHED_WORDS)
-        self.first_ids = Cache(self._chunk, CACHED_WORDS // 4)
-        self.next_ids = Cache(lambda chunk: self._chunk(" " + chunk) if chunk else None, CACHED_WORDS)
+        self.word_ids = Cache(self._word, CACHED_WORDS // 10)
+        self.first_ids = Cache(self._chunk, CACHED_WORDS // 10)
+        self.next_ids = Cache(self._next, CACHED_WORDS)
         self.line_feed = self.word_ids["\n"]
 
     def _word(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return np.array([t.id for t in self.model.tokenize(letters)], self.kind).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _next(self, chunk: str) -> bytes | None:
+        """The ids of a space and a chunk without spaces."""
+        return self._word(" " + chunk) if chunk.isalpha() else self._chunk(" " + chunk)
 
     def _chunk(self, chunk: str) -> bytes | None:
         if not chunk or chunk[-1].isspace() or chunk.lstrip(" ")[:1].isspace() or chunk[:2] == "  ":
             return None  # not certain
-        return b"".join(map(self.word_ids.__getitem__, self.split(chunk)))
+        words = self.split(chunk)
+        if len(words) == 1:
+            return self._word(words[0])
+        return b"".join(self.next_ids[w[1:]] if w[0] == " " and w != " " else self.word_ids[w] for w in words)
 
     def _plain(self, text: str) -> bytes:
         out = []
