@@ -284,6 +284,7 @@ def classes(docs: DataFrame) -> DataFrame:
         smallest = sums.groupBy("top").agg(F.min("rep").alias("class"))
         linked = linked.unionByName(sums.join(smallest, "top").select("k1", "k2", "class", "links"))
     described = keys.join(linked, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("class", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    described = stored(described, "classes")  # so that a key of many copies can be split when it is joined
     alone = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     return signed.where("n > 0").join(described, ["k1", "k2"]).select("doc_id", F.col("class").alias("class_id"), "n_links").unionByName(alone)
 
