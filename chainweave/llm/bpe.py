@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .caching import Cache
-from .common import bounded_batches
+from .common import bounded_batches, held
 
 #: Entries of each generation of the word caches of a worker.
 CACHED_WORDS = 100_000
@@ -100,12 +100,24 @@ BYTE_LETTERS = _byte_letters()
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 
-class WordBpe:
+class Labels:
+    """What decoding needs of a tokenizer file: the label of each arc."""
+
+    def __init__(self, file: str):
+        spec = json.loads(file)
+        self.labels = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
+    def decode(self, ids: bytes) -> str:
+        return " ".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+class WordBpe(Labels):
     """The tokenizer of a JSON file: NFC, lower case, word split, byte letters, merges with word ends."""
 
     def __init__(self, file: str):
         import regex
 
+        super().__init__(file)
         spec = json.loads(file)
         model = spec["model"]
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
@@ -114,9 +126,7 @@ class WordBpe:
         self.vocabulary: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"]
         self.automaton = Automaton(self.vocabulary, [tuple(m) for m in model["merges"]])
-        self.labels = {i: t for t, i in self.vocabulary.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.labels |= {i: t for t, i in self.special.items()}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACES)
         self.split = regex.compile(pattern).findall
         self.pieces = regex.compile(f"[^{SPACES}]+").findall
@@ -162,6 +172,8 @@ class WordBpe:
 
     def _chunk(self, chunk: str) -> bytes:
         """The ids of a text without white space."""
+        if chunk.isascii() and chunk.isalpha():  # one word, its letters their own bytes
+            return self.word_ids[chunk.lower()]
         text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
         words = (w.encode().decode("latin-1").translate(BYTE_LETTERS) for w in self.split(text))
         return b"".join(map(self.word_ids.__getitem__, words))
@@ -177,23 +189,13 @@ class WordBpe:
         parts = (np.array([self.special[x]], "<u4").tobytes() if x in self.special else self._plain(x) for x in self.cut(text))
         return b"".join(parts)
 
-    def decode(self, ids: bytes) -> str:
-        return " ".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-_opened: dict[str, WordBpe] = {}
 
+def opened(file: str, kind: type = WordBpe):
+    """The compiled tokenizer, or only its labels; once per worker."""
+    return held(("bpe", kind.__name__, hashlib.sha256(file.encode()).hexdigest()), lambda: kind(file))
 
-def opened(file: str) -> WordBpe:
-    """The compiled tokenizer; once per worker."""
-    key = hashlib.sha256(file.encode()).hexdigest()
-    if key not in _opened:
-        _opened.clear()
-        _opened[key] = WordBpe(file)
-    return _opened[key]
 
-
-def _mapped(docs: DataFrame, tokenizer: str, text: str, added: dict[str, str], convert) -> DataFrame:
+def _mapped(docs: DataFrame, tokenizer: str, text: str, added: dict[str, str], convert, kind: type) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     file = spark.sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())  # of the vocabulary's size
@@ -202,7 +204,7 @@ def _mapped(docs: DataFrame, tokenizer: str, text: str, added: dict[str, str], c
     fields = {f.name: f.dataType.simpleString() for f in docs.schema} | added
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = opened(file.value)
+        model = opened(file.value, kind)
         for batch in batches:
             columns = dict(zip(names, batch.columns)) | convert(model, batch.column(at))
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
@@ -216,23 +218,32 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     def convert(model: WordBpe, texts: pa.Array) -> dict:
         return {ids: pa.array([None if t is None else model.encode(t) for t in texts.to_pylist()], pa.binary())}
 
-    return _mapped(docs, tokenizer, text, {ids: "binary"}, convert)
+    return _mapped(docs, tokenizer, text, {ids: "binary"}, convert, WordBpe)
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """All columns and the text that the ids stand for."""
 
-    def convert(model: WordBpe, values: pa.Array) -> dict:
+    def convert(model: Labels, values: pa.Array) -> dict:
         return {text: pa.array([None if v is None else model.decode(v) for v in values.to_pylist()], pa.string())}
 
-    return _mapped(encoded, tokenizer, ids, {text: "string"}, convert)
+    return _mapped(encoded, tokenizer, ids, {text: "string"}, convert, Labels)
+
+
+def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` of the ids, in one pass and one Python worker for each task."""
+
+    def convert(model: WordBpe, texts: pa.Array) -> dict:
+        coded = [None if t is None else model.encode(t) for t in texts.to_pylist()]
+        return {ids: pa.array(coded, pa.binary()), decoded: pa.array([None if c is None else model.decode(c) for c in coded], pa.string())}
+
+    return _mapped(docs, tokenizer, text, {ids: "binary", decoded: "string"}, convert, WordBpe)
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Per document the number and the hashes of its ids and of the text decoded from them; null counts as empty."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    coded = encode(source, tokenizer).select("doc_id", "ids")
-    return decode(coded, tokenizer).select(
+    return round_trip(source, tokenizer).select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

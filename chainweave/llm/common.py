@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -63,3 +65,28 @@ class Numbering(dict):
     def __missing__(self, key):
         self[key] = n = len(self)
         return n
+
+
+_held: dict = {}
+
+
+def _trim() -> None:
+    """Give freed memory back to the system where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def held(key: tuple, make):
+    """What a Python worker keeps from task to task, such as a compiled model and its caches.
+
+    One thing at a time: another operator's task in the same worker lets the
+    memory of the one before go, also if it keeps nothing itself (``make`` None).
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _trim()
+        _held[key] = make and make()
+    return _held[key]

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Numbering, bounded_batches, stored, words_of
+from .common import Numbering, bounded_batches, held, stored, words_of
 
 WINDOW = 13
 #: Words after which a shard is closed. A longer document has a shard of its own.
@@ -53,18 +53,19 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        held(("decontamination",), None)
         task, n = TaskContext.get().partitionId(), 0
-        ids, lengths, parts, held, vocabulary = [], [], [], 0, Numbering()
+        ids, lengths, parts, size, vocabulary = [], [], [], 0, Numbering()
         for batch in batches:
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words_of(value.as_py())
                 ids.append(key)
                 lengths.append(len(words))
                 parts.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
-                held += len(words)
-                if held >= shard_words or len(ids) >= shard_words:
+                size += len(words)
+                if size >= shard_words or len(ids) >= shard_words:
                     yield _shard_row(f"{task}-{n}", ids, lengths, parts, vocabulary)
-                    ids, lengths, parts, held, vocabulary, n = [], [], [], 0, Numbering(), n + 1
+                    ids, lengths, parts, size, vocabulary, n = [], [], [], 0, Numbering(), n + 1
         if ids:
             yield _shard_row(f"{task}-{n}", ids, lengths, parts, vocabulary)
 
@@ -175,6 +176,7 @@ def _search(index: DataFrame, block, reach: int | None) -> DataFrame:
     shared = index.sparkSession.sparkContext.broadcast(block)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("decontamination",), None)
         ids, terms, by_length = shared.value
         for batch in batches:
             for row in range(batch.num_rows):

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, held
 
 #: Rows per language and bytes of text per language that are learned from.
 SAMPLE, SAMPLE_BYTES = 400, 1 << 20
@@ -180,23 +180,24 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     fields = {f.name: f.dataType.simpleString() for f in docs.schema} | {"lang_pred": "string", "score": "double", "ambiguous": "boolean"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("language",), None)
         model = shared.value
         for batch in batches:
             texts = batch.column(at).to_pylist()
             known = [k for k, t in enumerate(texts) if model.languages and has_letter(t)]
             labels, score, lead = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-            some, held = [], 0
+            some, size = [], 0
             for k in [*known, None]:
                 if k is not None:
                     some.append((k, t := texts[k].encode("utf-8", "surrogatepass")))
-                    held += len(t)
-                if some and (k is None or held > 1 << 20):
+                    size += len(t)
+                if some and (k is None or size > 1 << 20):
                     rows = model.scores([t for _, t in some])
                     best = rows.argmax(1)
                     for (j, _), row, b in zip(some, rows, best):
                         labels[j], score[j] = model.languages[b], float(row[b])
                         lead[j] = float(row[b] - max([0.0, *np.delete(row, b)]))
-                    some, held = [], 0
+                    some, size = [], 0
             columns = dict(zip(names, batch.columns)) | {"lang_pred": pa.array(labels, pa.string()), "score": pa.array(score, pa.float64()), "ambiguous": pa.array([x < MARGIN for x in lead], pa.bool_())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 

@@ -38,11 +38,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import components
 from .caching import Cache
-from .common import bounded_batches, stored, words_of
+from .common import bounded_batches, held, stored, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 40, 5
@@ -59,7 +60,6 @@ _ODD = _random.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 _XOR = _random.integers(0, 2**63, HASHES, dtype=np.uint64)
 _PLACE = _random.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _BAND = _random.integers(1, 2**63, BANDS, dtype=np.uint64)
-_hash_of = None
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -70,15 +70,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted set of the text's shingle hashes."""
-    global _hash_of
-    if _hash_of is None:
-        import xxhash
-
-        _hash_of = Cache(xxhash.xxh64_intdigest, CACHED_WORDS)
     words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    hashed = np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+    hash_of = held(("shingles",), lambda: Cache(xxhash.xxh64_intdigest, CACHED_WORDS))
+    hashed = np.fromiter(map(hash_of.__getitem__, words), np.uint64, len(words))
     if len(hashed) < SHINGLE:
         return _mixed((hashed * _PLACE[: len(hashed)]).sum(keepdims=True) + np.uint64(len(hashed)))
     n = len(hashed) - SHINGLE + 1
@@ -233,19 +229,19 @@ def _verified(blocks: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, out = [], None, []
+        group, at, out = [], None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:3] != at:
-                    if len(held) > 1:
-                        out += _block_links(held)
-                    held, at = [], row[:3]
-                held.append(row)
+                    if len(group) > 1:
+                        out += _block_links(group)
+                    group, at = [], row[:3]
+                group.append(row)
             if out:
                 yield batch_of(out)
                 out = []
-        if len(held) > 1:
-            yield batch_of(_block_links(held))
+        if len(group) > 1:
+            yield batch_of(_block_links(group))
 
     return blocks.mapInArrow(run, _FOUND)
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, held
 
 #: Code points before and after a span in which context words count.
 CONTEXT = 48
@@ -152,6 +152,7 @@ def detect(docs: DataFrame, text: str = "text", spans: str = "spans", redacted:
     fields |= {spans: SPAN_TYPE} | ({redacted: "string"} if redacted else {})
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("pii",), None)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             found = [spans_of(t) for t in texts]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .caching import Cache
-from .common import bounded_batches
+from .common import bounded_batches, held
 
 #: Entries of each generation of a worker's word cache.
 CACHED_WORDS = 120_000
@@ -81,9 +81,6 @@ class Counter:
         return sum(n for n, _ in found), sum(s for _, s in found)
 
 
-_opened: dict[int, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], text: str = "text") -> DataFrame:
     """All columns, the number of tokens of the whole text and the score of its segmentation."""
     spark = docs.sparkSession
@@ -95,10 +92,7 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], text: str = "
     fields = {f.name: f.dataType.simpleString() for f in docs.schema} | {"n_tokens": "bigint", "score": "double"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _opened:
-            _opened.clear()
-            _opened[key] = Counter(shared.value)
-        counter = _opened[key]
+        counter = held(("counts", key), lambda: Counter(shared.value))
         for batch in batches:
             found = [counter.text(t) for t in batch.column(at).to_pylist()]
             columns = dict(zip(names, batch.columns)) | {"n_tokens": pa.array([n for n, _ in found], pa.int64()), "score": pa.array([s for _, s in found], pa.float64())}

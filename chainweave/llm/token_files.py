@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import BYTE_LETTERS
 from .caching import Cache
-from .common import bounded_batches, shared_folder, stored
+from .common import bounded_batches, held, shared_folder, stored
 
 #: Entries of each generation of a worker's cache of words after a space; others are a tenth.
 CACHED_WORDS = 400_000
@@ -110,15 +110,9 @@ class Pieces:
         return b"".join(parts)
 
 
-_opened: dict[str, Pieces] = {}
-
-
 def opened(file: str) -> Pieces:
-    key = hashlib.sha256(file.encode()).hexdigest()
-    if key not in _opened:
-        _opened.clear()
-        _opened[key] = Pieces(file)
-    return _opened[key]
+    """The compiled tokenizer; once per worker."""
+    return held(("pieces", hashlib.sha256(file.encode()).hexdigest()), lambda: Pieces(file))
 
 
 # -- the code ---------------------------------------------------------------

@@ -42,8 +42,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, the text's ids, and hashes of them and of the text decoded from them."""
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.encode(docs.withColumn("text", F.coalesce("text", F.lit(""))), tokenizer).drop("text")
-    return bpe.decode(coded, tokenizer).select(
+    return bpe.round_trip(docs.withColumn("text", F.coalesce("text", F.lit(""))), tokenizer).select(
         "doc_id", "lang", "source", "n_chars", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
