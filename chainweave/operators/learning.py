@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .components import stored
+from ..storage import stored
 from .scoring import expected_counts, linear_scores, marginals
 
 # -- the log-linear model, relational ----------------------------------------

@@ -464,7 +464,7 @@ def adagrad_epoch(s, d):
     p = _with_loss(s, d)
     ids = F.array(numeric.capped(F.col("m") - F.col("a")).cast("int"), F.when(F.col("m_head") == F.col("a_head"), 20).otherwise(21), F.when(F.col("a") == F.col("m"), 30).otherwise(31))
     right = F.col("coreferent") | ((F.col("a") == F.col("m")) & ~F.col("anaphoric"))
-    from ..operators.components import stored
+    from ..storage import stored
 
     pairs = stored(p.select("doc_key", "m", "a", ids.alias("feats"), right.alias("coreferent"), "loss"))
     return train_log_linear(pairs, epochs=1).select("feat_idx", six(F.col("weight")).alias("weight"))
