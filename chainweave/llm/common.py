@@ -4,45 +4,59 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..storage import Scratch, removed, shared_folder, stored  # noqa: F401  the operators take them from here
 
 #: Bytes of an Arrow batch handed to Python at once; with it a worker's memory
 #: does not depend on how long the texts are (one text is never cut).
 ARROW_BATCH_BYTES = 16 << 20
 
-_own_base: str | None = None
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors see.
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with none of ``taken``."""
+    seen, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in seen:
+            name = f"_{name}"
+        seen.add(name.lower())
+        out.append(name)
+    return out
 
-    It lies under ``spark.checkpoint.dir``. Only where the session has no such
-    setting (tests, one machine) a temporary folder of this machine is used.
-    """
-    global _own_base
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        _own_base = base = _own_base or tempfile.mkdtemp(prefix="chainweave-")
-    return f"{base.rstrip('/')}/chainweave-{name}-{uuid.uuid4().hex}"
 
+#: Words of a filter of keys: what is broadcast has at most so many rows, whatever the input.
+FILTER_WORDS = 1 << 19
+_BITS = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(h, {at}) & 63 as int))" for at in (58, 52, 46, 40))
 
-def stored(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write ``df`` as Parquet into a shared folder and read it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def flagged(rows: DataFrame, key: Column, wanted: DataFrame, flag: str) -> DataFrame:
+    """``rows`` and whether ``key`` may be among the one column of ``wanted``; rows with a null key may.
+
+    A Bloom filter: each wanted key sets four bits of one of ``FILTER_WORDS``
+    words, and the words are broadcast. A row that is not flagged is not wanted;
+    one that is must still be joined. However many keys are wanted, no more is
+    sent: the filter then lets more rows through, and the join stays exact.
+    """
+    slot, bits, word = fresh(rows.columns, "slot", "bits", "word")
+    (own,) = wanted.columns
+    hashed = wanted.select(F.xxhash64(F.col(own)).alias("h")).select(F.pmod("h", F.lit(FILTER_WORDS)).alias(slot), F.expr(_BITS).alias("m"))
+    words = hashed.groupBy(slot).agg(F.bit_or("m").alias(word))
+    (h,) = fresh(rows.columns, "h")
+    probed = rows.withColumn(h, F.xxhash64(key)).withColumns({slot: F.pmod(F.col(h), F.lit(FILTER_WORDS)), bits: F.expr(_BITS.replace("(h,", f"(`{h}`,"))})
+    there = probed.join(F.broadcast(words), slot, "left")
+    found = F.coalesce(F.col(word).bitwiseAND(F.col(bits)) == F.col(bits), F.lit(False)) | key.isNull()
+    return there.withColumn(flag, found).select(*rows.columns, flag)
 
 
 def bounded_batches(spark: SparkSession, most: int = ARROW_BATCH_BYTES) -> None:
-    """Lower the bytes of an Arrow batch to ``most``; a lower setting of the session stays."""
+    """Lower the bytes of an Arrow batch to ``most``, for the rest of the session; a lower setting stays.
+
+    The plan that Arrow functions run with is made when the result is asked for, so it can't be set back here.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = int(spark.conf.get(key).rstrip("b")) if spark.conf.get(key).rstrip("b").isdigit() else 0
     if not 0 < now <= most:

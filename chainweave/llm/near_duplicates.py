@@ -5,12 +5,13 @@ similarity is 0.8 or more.
 
 1. ``signatures`` gives each document a 128-bit key of its set (copies share it)
    and the hashes of its MinHash bands.
-2. Documents that share a band hash are joined by a star around one of them, and
-   ``components`` makes blocks of what hangs together: no link crosses blocks.
-   The 40 bands of 5 values miss a pair at the threshold with probability 1.3e-7.
-3. Only one document of each key in a block of two keys or more is read again. A
-   large block is cut into chunks of bounded size, and every pair of chunks goes
-   to a task: no group is held by one task and no pair of documents is a row.
+2. Documents that share a band hash have a common hub, and ``gathered`` makes
+   blocks of what hangs together: no link crosses blocks. The 40 bands of 5 values
+   miss a pair at the threshold with probability 1.3e-7.
+3. Only one document of each key in a block of two keys or more is read again;
+   a filter of bounded size keeps other texts from being moved. A large block is
+   cut into chunks of bounded size, and every pair of chunks goes to a task: no
+   group is held by one task and no pair of documents is a row.
 4. In a task MinHash values are compared 20 at a time; a pair is dropped when the
    posterior probability (uniform prior) that its similarity reaches 0.8 is below
    ``TOLERANCE``. The survivors are verified on their whole shingle sets.
@@ -25,8 +26,11 @@ Defined results: ``class_id`` is the smallest doc_id of the class, ``n_links``
 the number of other documents whose similarity is 0.8 or more, copies included.
 A text of fewer than five words is one shingle. A null or wordless text has no
 shingles and no links: its class is itself. A document without an id has class
-null unless a copy has one, and links no others; repeated rows are copies of
-each other; rows of equal id and different text are classed each on its own.
+null unless a copy has one, and links to its copies only; repeated rows are
+copies of each other; rows of equal id and different text are classed each on
+its own. ``distinct_documents`` keeps of each class one row: the smallest id (a
+missing one comes last), then the smallest key, any one of equal rows; it hands
+all columns through whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -39,11 +43,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.components import components
 from .caching import Cache
-from .common import bounded_batches, held, stored, words_of
+from .common import Scratch, bounded_batches, flagged, fresh, held, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 40, 5
@@ -52,7 +56,9 @@ HASHES = BANDS * BAND_ROWS
 STEP = 20
 TOLERANCE = 1e-9
 #: Keys and shingles of a chunk of a large block.
-CHUNK_KEYS, CHUNK_SHINGLES = 1024, 1 << 19
+CHUNK_KEYS, CHUNK_SHINGLES = 2048, 1 << 20
+#: Keys that a task remembers, to write the bands of a key's copies once.
+REMEMBERED = 1 << 17
 CACHED_WORDS = 150_000
 
 _random = np.random.default_rng(20)
@@ -119,16 +125,22 @@ def least_matches(threshold: float, compared: int) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (the set's key), n (its shingles), bands."""
+    """doc_id, k1, k2 (the set's key), n (its shingles), bands (of copies that one task meets, the first one's only)."""
+    none, most = np.zeros(0, np.int64), REMEMBERED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             keys, sizes, bands = [], [], []
             for text in batch.column(1):
                 own = shingles(text.as_py())
-                keys.append(set_key(own))
+                key = set_key(own)
+                bands.append(band_hashes(minhash(own)) if len(own) and key not in seen else none)
+                keys.append(key)
                 sizes.append(len(own))
-                bands.append(band_hashes(minhash(own)) if len(own) else np.zeros(0, np.int64))
+                if len(seen) >= most:
+                    seen.clear()
+                seen.add(key)
             ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
             flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -185,11 +197,11 @@ def linked_pairs(sketches: np.ndarray, sets: list[np.ndarray], left: np.ndarray,
             yield i, j[common * 10_000 >= exact * (sizes[i] + sizes[j] - common)]
 
 
-_FOUND = "k1 bigint, k2 bigint, rep bigint, whole boolean, root bigint, links bigint"
+_FOUND = "k1 bigint, k2 bigint, rep bigint, whole boolean, root bigint, r1 bigint, r2 bigint, links bigint"
 
 
 def _block_links(rows: list[tuple]) -> list[tuple]:
-    """For the rows of two chunks (or one): key, rep, whether this is the whole block, root, links."""
+    """For the rows of two chunks (or one): key, rep, whether this is the whole block, the first linked row's rep and key, links."""
     unique = {}
     for row in rows:
         unique.setdefault((row[5], row[6]), row)
@@ -216,17 +228,17 @@ def _block_links(rows: list[tuple]) -> list[tuple]:
         for j in linked.tolist():
             a, b = top(i), top(j)
             root[max(a, b)] = min(a, b)
-    # of a whole block the root is the class's smallest id; else the first key's half, to join blocks by
-    name = (lambda k: rows[k][7]) if whole else (lambda k: rows[k][5])
-    return [(r[5], r[6], r[7], whole, name(top(k)), int(links[k])) for k, r in enumerate(rows)]
+    tops = [rows[top(k)] for k in range(len(rows))]
+    return [(r[5], r[6], r[7], whole, t[7], t[5], t[6], n) for r, t, n in zip(rows, tops, links.tolist())]
 
 
 def _verified(blocks: DataFrame) -> DataFrame:
     """Links within every pair of chunks; rows come sorted, so a pair of chunks is a run of rows."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in _FOUND.split(", ")])
+        fields = [x.split() for x in _FOUND.split(", ")]
+        types = [pa.bool_() if t == "boolean" else pa.int64() for _, t in fields]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[n for n, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, at, out = [], None, []
@@ -246,49 +258,101 @@ def _verified(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, _FOUND)
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = stored(signatures(source), "signatures")
-    keys = stored(signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")), "keys")
-
-    # blocks: what shares band hashes, directly or by others
-    band = signed.where("n > 0").select("k1", F.explode("bands").alias("band"))
-    shared = stored(band.groupBy("band").agg(F.min("k1").alias("hub"), F.max("k1").alias("other")).where("hub <> other").select("band", "hub"), "bands")
-    stars = stored(band.join(shared, "band").where("k1 <> hub").select(F.col("hub").alias("a"), F.col("k1").alias("b")).distinct(), "stars")
-    blocks = components(stars).select(F.col("node").alias("k1"), F.col("component").alias("block"))
-    members = stored(keys.join(blocks, "k1"), "members")
-    large = stored(
-        members.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / CHUNK_KEYS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks")).where("chunks > 1"), "large"
-    )
+def gathered(stars: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """k1, block for every k1 of ``stars`` (k1, hub): blocks hang together by common hubs, directly or by others.
+
+    A key joins the least of its hubs, and only hubs that meet in a key are edges
+    of the graph: a group around one hub, however large, has none.
+    """
+    near = scratch.store(stars.groupBy("k1").agg(F.min("hub").alias("hub"), F.collect_set("hub").alias("hubs")), name)
+    edges = near.select(F.col("hub").alias("a"), F.explode(F.array_remove("hubs", F.col("hub"))).alias("b"))
+    tops = components(edges).select(F.col("node").alias("hub"), "component")
+    return near.select("k1", "hub").join(tops, "hub", "left").select("k1", F.coalesce("component", "hub").alias("block"))
+
+
+def _blocks(signed: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of the keys that share a band hash with others: k1, k2, rep, copies, block, chunk, chunks."""
+    band = signed.select("k1", F.explode("bands").alias("band"))
+    shared = scratch.store(band.groupBy("band").agg(F.min("k1").alias("hub"), F.max("k1").alias("other")).where("hub <> other").select("band", "hub"), "bands")
+    blocks = gathered(band.join(shared, "band").select("k1", "hub"), scratch, "hubs")
+    members = scratch.store(keys.where("rep is not null").join(blocks, "k1"), "members")
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK_KEYS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
+    large = scratch.store(members.groupBy("block").agg(chunks.alias("chunks")).where("chunks > 1"), "large")
     wanted = members.join(large, "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    wanted = wanted.withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int"))
-    texts = wanted.join(source.withColumnRenamed("doc_id", "rep"), "rep")
+    return wanted.withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int"))
+
+
+def _described(source: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and for each key: k1, k2, copies, links (other keys' rows), head (rep, k1, k2 of its class's first key)."""
+    signed = scratch.store(signatures(source), "signatures")
+    keys = scratch.store(signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")), "keys")
+    wanted = _blocks(signed, keys, scratch)
+    likely = flagged(source, F.col("doc_id"), wanted.select("rep"), "likely").where("likely and doc_id is not null")
+    texts = wanted.join(likely.select(F.col("doc_id").alias("rep"), "text"), "rep")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     pairs = _opened(texts).withColumn("other", other).select("block", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "chunks", "k1", "k2", "rep", "copies", "sketch", "hashes")
     dealt = pairs.repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi")
-    found = stored(_verified(dealt), "links")
+    found = scratch.store(_verified(dealt), "found")
 
-    # classes of blocks that were cut: components of the links to the roots
+    # classes of blocks that were cut: what hangs together by the chunk pairs' first rows
     cut = found.where("not whole")
-    linked = found.where("whole").select("k1", "k2", F.col("root").alias("class"), "links")
+    linked = found.where("whole").select("k1", "k2", F.struct(F.col("root").alias("rep"), F.col("r1").alias("k1"), F.col("r2").alias("k2")).alias("head"), "links")
     if not cut.isEmpty():
-        tops = components(cut.select(F.col("k1").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("k1"), F.col("component").alias("top"))
-        sums = cut.groupBy("k1", "k2").agg(F.sum("links").alias("links"), F.min("rep").alias("rep")).join(tops, "k1")
-        smallest = sums.groupBy("top").agg(F.min("rep").alias("class"))
-        linked = linked.unionByName(sums.join(smallest, "top").select("k1", "k2", "class", "links"))
-    described = keys.join(linked, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("class", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    described = stored(described, "classes")  # so that a key of many copies can be split when it is joined
+        tops = gathered(cut.select("k1", F.col("r1").alias("hub")), scratch, "roots")
+        sums = scratch.store(cut.groupBy("k1", "k2").agg(F.sum("links").alias("links"), F.min("rep").alias("rep")).join(tops, "k1"), "sums")
+        heads = scratch.store(sums.groupBy("block").agg(F.min(F.struct("rep", "k1", "k2")).alias("head")), "heads")
+        linked = linked.unionByName(sums.join(heads, "block").select("k1", "k2", "head", "links"))
+    described = keys.join(linked, ["k1", "k2"], "left").select("k1", "k2", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("head", F.struct("rep", "k1", "k2")).alias("head"))
+    return signed, scratch.store(described, "described")  # stored, so that a key of many copies can be split when it is joined
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links of every row of ``docs`` (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    signed, described = _described(_source(docs), scratch)
+    scratch.close("signatures", "described")
+    described = described.select("k1", "k2", F.col("head.rep").alias("class_id"), (F.col("copies") - 1 + F.col("links")).alias("n_links"))
     alone = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return signed.where("n > 0").join(described, ["k1", "k2"]).select("doc_id", F.col("class").alias("class_id"), "n_links").unionByName(alone)
+    return signed.where("n > 0").join(described, ["k1", "k2"]).select("doc_id", "class_id", "n_links").unionByName(alone)
+
+
+def _keyed(docs: DataFrame, k1: str, k2: str) -> DataFrame:
+    """``docs`` and the key of each row's shingle set."""
+    names, at = [*docs.columns, k1, k2], docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [set_key(shingles(text.as_py())) for text in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], names=names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(k1, T.LongType()), T.StructField(k2, T.LongType())]))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """One row of each class, that of the smallest id; rows without an id all stay. All columns are kept."""
-    found = stored(classes(docs).where("doc_id = class_id").select("doc_id"), "kept")
-    kept = docs.where("doc_id is not null").join(found.distinct(), "doc_id", "left_semi")
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])  # several rows of the smallest id
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each class, with all columns.
+
+    Only rows whose id is that of a row with copies or links are looked at again;
+    their keys are made anew, since an id may have several texts.
+    """
+    bounded_batches(docs.sparkSession)
+    names = docs.columns
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    signed, described = _described(_source(docs), scratch)
+    several = scratch.store(described.where("copies > 1 or links > 0").select("k1", "k2", "head"), "several")
+    ids = signed.where("n > 0").join(several.select("k1", "k2"), ["k1", "k2"]).select("doc_id")
+    maybe, k1, k2, head, same = fresh(names, "maybe", "k1", "k2", "head", "same")
+    rows = flagged(docs, F.col("doc_id").cast("bigint"), ids, maybe)
+    keyed = _keyed(rows.where(F.col(maybe)).drop(maybe), k1, k2)
+    judged = keyed.join(several.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("head").alias(head)), [k1, k2], "left")
+    first = F.col("doc_id").cast("bigint").eqNullSafe(F.col(f"{head}.rep")) & (F.col(k1) == F.col(f"{head}.k1")) & (F.col(k2) == F.col(f"{head}.k2"))
+    kept = scratch.store(judged.where(F.col(head).isNull() | first), "kept")
+    # equal rows of a class's first id: one of them
+    one = kept.where(F.col(head).isNotNull()).groupBy(k1, k2).agg(F.any_value(F.struct(*(F.col(f"`{n}`") for n in names))).alias(same)).select(f"{same}.*")
+    out = rows.where(~F.col(maybe)).select(names).unionByName(kept.where(F.col(head).isNull()).select(names)).unionByName(one)
+    scratch.close("signatures", "several", "kept")
+    return out
