@@ -10,11 +10,12 @@ tables grow with the number of merges and not with its square.
 
 Text is split first; every distinct word is encoded once per worker by walking
 its prefixes along the automaton's arcs (each prefix has one valid last token),
-and words that share a prefix share that walk. Decoding emits the arcs' labels.
+and words that share their first letters share that walk. Decoding emits the arcs' labels.
 
 Defined results: null is encoded as null ids and decodes to null; an empty text
 has no ids; texts are encoded whole whatever their length; repeated rows are
-encoded each; other columns are kept.
+encoded each; other columns are kept, but those with the names that are added,
+which can be chosen. A word of n letters takes memory in proportion to n.
 """
 
 from __future__ import annotations
@@ -22,17 +23,20 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .caching import Cache
 from .common import bounded_batches, held
 
 #: Entries of each generation of the word caches of a worker.
 CACHED_WORDS = 100_000
+#: Beginnings of words up to this length are walked once for all words that share them.
+SHARED_LETTERS = 24
 
 
 class Automaton:
@@ -152,14 +156,18 @@ class WordBpe(Labels):
         walks, n = self.walks, len(word)
         if len(walks) > 2 * CACHED_WORDS:
             walks.clear()
-        states, steps = [0], []
-        for j in range(1, n):
+        states, steps, find = [0], [], self._step
+        for j in range(1, min(n, SHARED_LETTERS + 1)):
             step = walks.get(word[:j])
             if step is None:
-                walks[word[:j]] = step = self._step(word, j, states, "")
+                walks[word[:j]] = step = find(word, j, states, "")
             states.append(step >> 40)
             steps.append(step)
-        steps.append(self._step(word, n, states, self.end))
+        for j in range(SHARED_LETTERS + 1, n):
+            step = find(word, j, states, "")
+            states.append(step >> 40)
+            steps.append(step)
+        steps.append(find(word, n, states, self.end))
         ids, at = [], n
         while at:
             step = steps[at - 1]
@@ -168,7 +176,7 @@ class WordBpe(Labels):
                 at -= step & 0xFF
             else:
                 at -= 1
-        return np.array(ids[::-1], "<u4").tobytes()
+        return array("I", ids[::-1]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         """The ids of a text without white space."""
@@ -195,21 +203,22 @@ def opened(file: str, kind: type = WordBpe):
     return held(("bpe", kind.__name__, hashlib.sha256(file.encode()).hexdigest()), lambda: kind(file))
 
 
-def _mapped(docs: DataFrame, tokenizer: str, text: str, added: dict[str, str], convert, kind: type) -> DataFrame:
+def _mapped(docs: DataFrame, tokenizer: str, text: str, added: dict[str, T.DataType], convert, kind: type) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     file = spark.sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())  # of the vocabulary's size
     names = docs.columns
     at = names.index(text)
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema} | added
+    schema = T.StructType([f for f in docs.schema if f.name not in added] + [T.StructField(n, t) for n, t in added.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = opened(file.value, kind)
         for batch in batches:
-            columns = dict(zip(names, batch.columns)) | convert(model, batch.column(at))
+            made = convert(model, batch.column(at))
+            columns = {n: c for n, c in zip(names, batch.columns) if n not in made} | made
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields.items()))
+    return docs.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -218,7 +227,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     def convert(model: WordBpe, texts: pa.Array) -> dict:
         return {ids: pa.array([None if t is None else model.encode(t) for t in texts.to_pylist()], pa.binary())}
 
-    return _mapped(docs, tokenizer, text, {ids: "binary"}, convert, WordBpe)
+    return _mapped(docs, tokenizer, text, {ids: T.BinaryType()}, convert, WordBpe)
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -227,7 +236,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", text: str = "de
     def convert(model: Labels, values: pa.Array) -> dict:
         return {text: pa.array([None if v is None else model.decode(v) for v in values.to_pylist()], pa.string())}
 
-    return _mapped(encoded, tokenizer, ids, {text: "string"}, convert, Labels)
+    return _mapped(encoded, tokenizer, ids, {text: T.StringType()}, convert, Labels)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -237,7 +246,7 @@ def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "
         coded = [None if t is None else model.encode(t) for t in texts.to_pylist()]
         return {ids: pa.array(coded, pa.binary()), decoded: pa.array([None if c is None else model.decode(c) for c in coded], pa.string())}
 
-    return _mapped(docs, tokenizer, text, {ids: "binary", decoded: "string"}, convert, WordBpe)
+    return _mapped(docs, tokenizer, text, {ids: T.BinaryType(), decoded: T.StringType()}, convert, WordBpe)
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:

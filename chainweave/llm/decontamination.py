@@ -9,11 +9,13 @@ word of a phrase first; ``proximity_hits`` relaxes the offsets to a distance.
 
 No word or document is ever moved between executors: postings of a frequent
 word are spread over all shards, so no key can be hot. The phrases are the
-stated query set; they go to the executors in blocks of bounded size.
+stated query set; they pass the driver in blocks of ``BLOCK_WORDS`` words. One
+block at a time is sent and searched: what it hits is stored and it is let go.
 
 Defined results: a null or empty text has no words and is not contaminated; an
 item without words has no window; repeated documents are each reported; null
-ids are carried through; other columns of the input are ignored.
+ids are carried through; other columns of the input are ignored, whatever their
+names (``clean`` hands them through); empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,33 +24,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Numbering, bounded_batches, held, stored, words_of
+from .common import Numbering, Scratch, bounded_batches, flagged, fresh, held, stored, words_of
 
 WINDOW = 13
 #: Words after which a shard is closed. A longer document has a shard of its own.
 SHARD_WORDS = 1 << 20
-#: Words of the phrases that are sent to the executors at once (some 20 MB).
-BLOCK_WORDS = 1 << 20
+#: Words of the phrases that are sent to the executors at once (some 15 MB: a window for each, of 13 numbers of 4 bytes).
+BLOCK_WORDS = 1 << 18
 #: Candidate positions held at once while lists are intersected.
 CANDIDATES = 1 << 21
 
-SHARD_SCHEMA = "shard string, doc_ids array<bigint>, doc_words array<int>, vocabulary binary, starts binary, postings binary"
-_SHARD = pa.schema([("shard", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("doc_words", pa.list_(pa.int32())), ("vocabulary", pa.binary()), ("starts", pa.binary()), ("postings", pa.binary())])
+#: The names of documents may be numbers or strings.
+_NAMES = {T.LongType(): pa.int64(), T.StringType(): pa.string()}
 
 
-def _shard_row(name: str, ids: list, lengths: list[int], parts: list[np.ndarray], vocabulary: dict) -> pa.RecordBatch:
+def _shard_schema(kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("shard", pa.string()), ("doc_ids", pa.list_(kind)), ("doc_words", pa.list_(pa.int32())), ("vocabulary", pa.binary()), ("starts", pa.binary()), ("postings", pa.binary())])
+
+
+def _shard_row(schema: pa.Schema, name: str, ids: list, lengths: list[int], parts: list[np.ndarray], vocabulary: dict) -> pa.RecordBatch:
     words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     postings = np.argsort(words, kind="stable").astype("<i4")
     starts = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=len(vocabulary)))]).astype("<i4")
     row = {"shard": name, "doc_ids": ids, "doc_words": lengths, "vocabulary": b" ".join(vocabulary), "starts": starts.tobytes(), "postings": postings.tobytes()}
-    return pa.RecordBatch.from_pylist([row], schema=_SHARD)
+    return pa.RecordBatch.from_pylist([row], schema=schema)
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Index shards of every row of ``docs``, stored in the shared folder."""
+    """Index shards of every row of ``docs``, stored in the shared folder. The id is a string or becomes a bigint."""
     shard_words = SHARD_WORDS
+    kind = T.StringType() if isinstance(docs.schema[doc_id].dataType, T.StringType) else T.LongType()
+    schema = _shard_schema(_NAMES[kind])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -64,14 +72,14 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 parts.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
                 size += len(words)
                 if size >= shard_words or len(ids) >= shard_words:
-                    yield _shard_row(f"{task}-{n}", ids, lengths, parts, vocabulary)
+                    yield _shard_row(schema, f"{task}-{n}", ids, lengths, parts, vocabulary)
                     ids, lengths, parts, size, vocabulary, n = [], [], [], 0, Numbering(), n + 1
         if ids:
-            yield _shard_row(f"{task}-{n}", ids, lengths, parts, vocabulary)
+            yield _shard_row(schema, f"{task}-{n}", ids, lengths, parts, vocabulary)
 
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    index = source.mapInArrow(shards, SHARD_SCHEMA)
+    source = docs.select(F.col(doc_id).cast(kind).alias("doc_id"), F.col(text).alias("text"))
+    index = source.mapInArrow(shards, f"shard string, doc_ids array<{kind.simpleString()}>, doc_words array<int>, vocabulary binary, starts binary, postings binary")
     return stored(index, "postings", **{"parquet.block.size": str(16 << 20), "compression": "zstd"})
 
 
@@ -150,7 +158,7 @@ def _blocks(items: DataFrame, window: int) -> Iterator[tuple[list, list[bytes],
     ids, terms, by_length, held = [], Numbering(), {}, 0
 
     def block():
-        return ids, list(terms), {n: (np.array(w, np.int64), np.array(i, np.int64)) for n, (w, i) in by_length.items()}
+        return ids, list(terms), {n: (np.array(w, np.int32), np.array(i, np.int32)) for n, (w, i) in by_length.items()}
 
     for item, text in items.toLocalIterator():
         words = [terms[w] for w in words_of(text)]
@@ -168,12 +176,12 @@ def _blocks(items: DataFrame, window: int) -> Iterator[tuple[list, list[bytes],
         yield block()
 
 
-HITS_SCHEMA = "shard string, doc_no int, doc_id bigint, n_words bigint, hits array<struct<start:bigint,stop:bigint>>, items array<bigint>"
-_HITS = pa.schema([("shard", pa.string()), ("doc_no", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.int64()))])
-
-
-def _search(index: DataFrame, block, reach: int | None) -> DataFrame:
+def _search(index: DataFrame, block, reach: int | None) -> tuple[DataFrame, object]:
+    """The documents' hits, and what was broadcast for them."""
     shared = index.sparkSession.sparkContext.broadcast(block)
+    kind = index.schema["doc_ids"].dataType.elementType
+    schema = f"shard string, doc_no int, doc_id {kind.simpleString()}, n_words bigint, hits array<struct<start:bigint,stop:bigint>>, items array<bigint>"
+    types = [pa.string(), pa.int32(), _NAMES[kind], pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.int64())]
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(("decontamination",), None)
@@ -200,23 +208,25 @@ def _search(index: DataFrame, block, reach: int | None) -> DataFrame:
                         else:
                             merged[d].append({"start": s, "stop": e})
                 found = [[ids[o] for o in sorted(owners.get(d, ()))] for d in range(len(doc_ids))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t.type) for x, t in zip(([name] * len(doc_ids), range(len(doc_ids)), doc_ids, doc_words, merged, found), _HITS)], schema=_HITS
-                )
+                columns = ([name] * len(doc_ids), range(len(doc_ids)), doc_ids, doc_words, merged, found)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=["shard", "doc_no", "doc_id", "n_words", "hits", "items"])
 
-    return index.mapInArrow(hits, HITS_SCHEMA)
+    return index.mapInArrow(hits, schema), shared
 
 
 def _hits(index: DataFrame, items: DataFrame, window: int, reach: int | None, item_id: str, text: str) -> DataFrame:
     bounded_batches(index.sparkSession)
-    source = items.select(F.col(item_id).cast("bigint"), F.col(text))
-    parts = [_search(index, block, reach) for block in _blocks(source, window)] or [_search(index, ([], [], {}), reach)]
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.union(part.where(F.size("hits") > 0))
-    return whole.groupBy("shard", "doc_no").agg(
+    blocks = _blocks(items.select(F.col(item_id).cast("bigint"), F.col(text)), window)
+    whole, _ = _search(index, next(blocks, ([], [], {})), reach)
+    rest, scratch = None, Scratch(index.sparkSession, "hits")
+    for n, block in enumerate(blocks):
+        more, shared = _search(index, block, reach)
+        more = scratch.store(more.where(F.size("hits") > 0), f"block-{n}")
+        shared.unpersist()
+        rest = more if rest is None else rest.unionByName(more)
+    if rest is None:
+        return whole
+    return whole.unionByName(rest).groupBy("shard", "doc_no").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"),
     )
@@ -232,9 +242,9 @@ def proximity_hits(index: DataFrame, items: DataFrame, window: int = WINDOW, rea
     return _hits(index, items, window, reach, item_id, text)
 
 
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: the words that benchmark windows hit, and whether that is a twentieth or more."""
-    found = phrase_hits(build_index(docs), items)
+    found = phrase_hits(build_index(docs, doc_id), items)
     covered = F.aggregate(
         F.array_sort("hits"),
         F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("upto")),
@@ -248,6 +258,21 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all columns.
+
+    A row is judged by its text, so documents are indexed under their text's hash:
+    ids may be null or repeated. Only texts that a filter of bounded size lets
+    through are moved for the last join.
+    """
+    maybe, digest = fresh(docs.columns, "maybe", "digest")
+    judged = contamination(docs.select(F.sha1(F.col("text").cast("binary")).alias("digest"), "text"), items, "digest")
+    bad = stored(judged.where("contaminated").select(F.col("doc_id").alias(digest)).distinct(), "contaminated")
+    rows = flagged(docs.withColumn(digest, F.coalesce(F.sha1(F.col("text").cast("binary")), F.lit(""))), F.col(digest), bad, maybe)
+    sure = rows.where(~F.col(maybe)).select(docs.columns)
+    return sure.unionByName(rows.where(F.col(maybe)).join(bad, digest, "left_anti").select(docs.columns))
+
+
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``contamination`` with the items' ids as a hash."""
     return contamination(docs, items).select(

@@ -14,7 +14,8 @@ over all rows. The model has a fixed size, so it can be sent to every executor.
 
 Defined results: ``und`` with score 0 for null, empty or letterless texts, and
 for all if there is nothing to learn from; with a single learned language all
-else is that language; repeated rows get equal results; other columns are kept.
+else is that language; repeated rows get equal results; other columns are kept,
+but those with the names that are added, which can be chosen.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BUCKETS = 1 << 15
 BITS = 5
 #: A prediction whose score leads the next by less is ambiguous.
 MARGIN = 0.1
+#: Texts of a gradient step.
+BATCH = 64
 UNDETERMINED = "und"
 
 
@@ -114,37 +117,58 @@ def codewords(n: int) -> np.ndarray:
     return tries[int(np.argmax(apart))]
 
 
-def fit_texts(texts: list[bytes], labels: list[str], rounds: int = 60) -> Model:
-    """Logistic classifiers of the codewords' bits, by full-batch gradient steps with a scale per feature."""
+class _Rows:
+    """Texts as sparse rows of n-gram shares; ``dense`` opens some of them."""
+
+    def __init__(self, texts: list[bytes]):
+        self.at, self.share = [], []
+        for text in texts:  # one at a time: only the n-grams that a text has are held
+            hashed, _ = grams([text])
+            at, count = np.unique(hashed, return_counts=True)
+            self.at.append(at.astype(np.uint16 if BUCKETS <= 1 << 16 else np.uint32))
+            self.share.append((count * (SCALE / hashed.size)).astype(np.float32))
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), BUCKETS), np.float32)
+        for k, row in enumerate(rows):
+            x[k, self.at[row]] = self.share[row]
+        return x
+
+
+def fit_texts(texts: list[bytes], labels: list[str], rounds: int = 12) -> Model:
+    """Logistic classifiers of the codewords' bits, by gradient steps on batches of texts with a scale per feature.
+
+    Memory is the texts' n-grams and one dense batch, however many the languages.
+    """
     languages = sorted(set(labels))
     code = codewords(len(languages))
     if code.shape[1] == 0 or not texts:
         return Model(languages, np.ones((len(languages), 1)), np.zeros((BUCKETS + 1, 1)), np.ones(1))
-    x = np.zeros((len(texts), BUCKETS), np.float32)
-    hashed, starts = grams(texts)
-    ends = np.append(starts[1:], hashed.shape[1])
-    for k, (s, e) in enumerate(zip(starts, ends)):
-        x[k] = np.bincount(hashed[:, s:e].reshape(-1), minlength=BUCKETS) * (SCALE / (2 * (e - s)))
-    which = np.array([languages.index(v) for v in labels])
+    rows = _Rows(texts)
+    numbers = {v: k for k, v in enumerate(languages)}
+    which = np.array([numbers[v] for v in labels])
     y = code[which].astype(np.float32)
-    share = (1 / np.bincount(which)[which]).astype(np.float32)[:, None] / len(languages)  # languages weigh alike
-    used = np.flatnonzero(x.any(0))
-    x = np.ascontiguousarray(x[:, used])
-    w, b = np.zeros((len(used), y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
-    squares = np.full_like(w, 1e-8)
-    squares_b = np.full_like(b, 1e-8)
+    share = (len(texts) / np.bincount(which)[which] / len(languages)).astype(np.float32)[:, None]  # languages weigh alike
+    w, b = np.zeros((BUCKETS, y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    squares, squares_b = np.full_like(w, 1e-6), np.full_like(b, 1e-6)
+    order = np.random.default_rng(5)
     for _ in range(rounds):
-        slope = -y * share / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30)))
-        g, gb = x.T @ slope + 1e-5 * w, slope.sum(0)
-        squares += g * g
-        squares_b += gb * gb
-        w -= 0.5 * g / np.sqrt(squares)
-        b -= 0.5 * gb / np.sqrt(squares_b)
-    right = ((y * (x @ w + b)) > 0).mean(0)
-    weights = np.zeros((BUCKETS + 1, y.shape[1]))
-    weights[used], weights[-1] = w, b
-    trust = np.clip(2 * right - 1, 0.05, 1)
-    return Model(languages, code, weights, trust / trust.mean())
+        shuffled = order.permutation(len(texts))
+        for lo in range(0, len(texts), BATCH):
+            some = shuffled[lo : lo + BATCH]
+            x, own = rows.dense(some), y[some]
+            slope = -own * share[some] / (1 + np.exp(np.clip(own * (x @ w + b), -30, 30))) / len(some)
+            g, gb = x.T @ slope + 1e-5 * w, slope.sum(0)
+            squares += g * g
+            squares_b += gb * gb
+            w -= 0.5 * g / np.sqrt(squares)
+            b -= 0.5 * gb / np.sqrt(squares_b)
+    right = np.zeros(y.shape[1])
+    for lo in range(0, len(texts), BATCH):
+        some = np.arange(lo, min(lo + BATCH, len(texts)))
+        right += ((y[some] * (rows.dense(some) @ w + b)) > 0).sum(0)
+    trust = np.clip(2 * right / len(texts) - 1, 0.05, 1)
+    return Model(languages, code, np.vstack([w, b]).astype(float), trust / trust.mean())
 
 
 def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
@@ -170,14 +194,14 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
     return fit_texts(texts, labels)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns and lang_pred, score, ambiguous."""
+def predict(docs: DataFrame, model: Model, text: str = "text", added: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """All columns and three more: the language, its score, whether the next one is close. Columns of these names are replaced."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # of a fixed size for each language
     names = docs.columns
     at = names.index(text)
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema} | {"lang_pred": "string", "score": "double", "ambiguous": "boolean"}
+    schema = T.StructType([f for f in docs.schema if f.name not in added] + [T.StructField(n, t) for n, t in zip(added, (T.StringType(), T.DoubleType(), T.BooleanType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(("language",), None)
@@ -198,10 +222,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                         labels[j], score[j] = model.languages[b], float(row[b])
                         lead[j] = float(row[b] - max([0.0, *np.delete(row, b)]))
                     some, size = [], 0
-            columns = dict(zip(names, batch.columns)) | {"lang_pred": pa.array(labels, pa.string()), "score": pa.array(score, pa.float64()), "ambiguous": pa.array([x < MARGIN for x in lead], pa.bool_())}
+            found = (pa.array(labels, pa.string()), pa.array(score, pa.float64()), pa.array([x < MARGIN for x in lead], pa.bool_()))
+            columns = {n: c for n, c in zip(names, batch.columns) if n not in added} | dict(zip(added, found))
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields.items()))
+    return docs.mapInArrow(run, schema)
 
 
 def held_out() -> Column:

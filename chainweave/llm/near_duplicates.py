@@ -55,8 +55,11 @@ HASHES = BANDS * BAND_ROWS
 #: MinHash values compared before the posterior is looked at again.
 STEP = 20
 TOLERANCE = 1e-9
-#: Keys and shingles of a chunk of a large block.
-CHUNK_KEYS, CHUNK_SHINGLES = 2048, 1 << 20
+#: Blocks of more keys than WHOLE_KEYS are cut. The number of chunks is the root of a
+#: block's keys by CHUNK_ROOT (copies of a row and rows of a task then grow alike),
+#: and more if a chunk would be beyond these keys and shingles, which bound a task.
+WHOLE_KEYS, CHUNK_ROOT = 256, 20
+CHUNK_KEYS, CHUNK_SHINGLES = 4096, 1 << 20
 #: Keys that a task remembers, to write the bands of a key's copies once.
 REMEMBERED = 1 << 17
 CACHED_WORDS = 150_000
@@ -276,7 +279,9 @@ def _blocks(signed: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
     shared = scratch.store(band.groupBy("band").agg(F.min("k1").alias("hub"), F.max("k1").alias("other")).where("hub <> other").select("band", "hub"), "bands")
     blocks = gathered(band.join(shared, "band").select("k1", "hub"), scratch, "hubs")
     members = scratch.store(keys.where("rep is not null").join(blocks, "k1"), "members")
-    chunks = F.greatest(F.ceil(F.count("*") / CHUNK_KEYS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
+    count = F.count("*")
+    root = F.when(count > WHOLE_KEYS, F.ceil(F.sqrt(count / CHUNK_ROOT))).otherwise(1)
+    chunks = F.greatest(root, F.ceil(count / CHUNK_KEYS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
     large = scratch.store(members.groupBy("block").agg(chunks.alias("chunks")).where("chunks > 1"), "large")
     wanted = members.join(large, "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     return wanted.withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int"))

@@ -12,8 +12,9 @@ tasks that it ran. Only the counts per id (at most the vocabulary) and the sums
 per partition reach the driver.
 
 Defined results: null counts as an empty text, which is one end id; a null
-document id sorts first; equal ids are ordered by text; very long texts make a
-long segment of their own; other columns are ignored.
+document id sorts first; rows of equal id are ordered by a hash of their text,
+so that many of them can be dealt to several tasks; very long texts make a long
+segment of their own; other columns are ignored.
 
 File: ``CWTOK1``, header length (u32), header (JSON), then the sections named
 in the header with their sizes, then one zero byte. All little-endian but the
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bpe import BYTE_LETTERS
+from .bpe import BYTE_LETTERS, SPACES
 from .caching import Cache
 from .common import bounded_batches, held, shared_folder, stored
 
@@ -83,12 +84,14 @@ class Pieces:
         return self._word(" " + chunk) if chunk.isalpha() else self._chunk(" " + chunk)
 
     def _chunk(self, chunk: str) -> bytes | None:
-        if not chunk or chunk[-1].isspace() or chunk.lstrip(" ")[:1].isspace() or chunk[:2] == "  ":
-            return None  # not certain
+        if not chunk or chunk[-1] in SPACES or chunk.lstrip(" ")[:1] in SPACES or chunk[:2] == "  ":
+            return None  # not certain: white space that could belong to what is beside it
         words = self.split(chunk)
         if len(words) == 1:
             return self._word(words[0])
-        return b"".join(self.next_ids[w[1:]] if w[0] == " " and w != " " else self.word_ids[w] for w in words)
+        # a pre-token that begins with the space is the space and a chunk again, if that is certain
+        found = (self.next_ids[w[1:]] if w[0] == " " and w != " " else self.word_ids[w] for w in words)
+        return b"".join(self.word_ids[w] if ids is None else ids for w, ids in zip(words, found))
 
     def _plain(self, text: str) -> bytes:
         out = []
@@ -274,7 +277,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
         if doc_ids:
             yield row()
 
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    order = ["doc_id", F.xxhash64(F.coalesce("text", F.lit("")))]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     raw = ordered.mapInArrow(segments, "part int, before bigint, count bigint, doc_ids array<bigint>, tokens array<bigint>, ids binary")
     return stored(raw, "token-segments", **{"parquet.block.size": str(16 << 20), "compression": "zstd"})
 
