@@ -1,20 +1,25 @@
 """Threshold-scaled sketches of documents, in DataFrame functions only.
 
 A sketch keeps every 5-word-shingle hash below a fixed fraction of the hash
-range. Sketches of parts of a text merge by union, and two sketches estimate
-likeness and containment whatever the texts' lengths, since the same hashes
-survive in both. A text whose hashes are all above the threshold keeps its
-smallest one, so only a text without words has an empty sketch.
+range. Two sketches estimate likeness and containment whatever the texts'
+lengths, since the same hashes survive in both, and sketches of parts merge to
+exactly the sketch of the whole. A text so short that none of its hashes is below
+the threshold keeps its least hash as a witness: a single value above the
+threshold, known by that. It tells such texts apart, says nothing of containment
+(null), and goes when a sketch with other hashes is merged in.
 
 ``beside`` gives each document its successor in descending id order without one
 task seeing all rows: ids are cut into ranges at approximate quantiles, each
 range is ordered on its own, and the first document of each range is also put
 after the last of the range before it.
 
-Defined results: null text counts as empty; two empty sketches are alike (1), an
-empty and another are not (0); a text of fewer than five words is one shingle;
-documents of equal id are ordered by text; null ids come last; the only document
-of a table follows itself; long texts are used whole; other columns are kept.
+Defined results: null text counts as empty. Two witnesses, or two empty sketches
+(no words), are alike (1) if equal, else not (0); the containment of a text
+without words is 1. A text of fewer than five words is
+one shingle; documents of equal id are ordered by text; null ids come last; the
+only document of a table follows itself; long texts are used whole; other columns
+are kept by ``with_sketch`` and ``beside``, but those with the names they add
+(``next``, and names that begin with an underscore).
 """
 
 from __future__ import annotations
@@ -41,9 +46,13 @@ def shingle_hashes(terms: Column, length: int = SHINGLE) -> Column:
     return F.transform(places, lambda i: F.xxhash64(F.slice(terms, i, length)))
 
 
+def _threshold(fraction: float) -> Column:
+    return F.lit(int(-(2**63) + fraction * 2**64))
+
+
 def kept(hashes: Column, fraction: float = FRACTION) -> Column:
-    """The sketch of an array of hashes: sorted, each once."""
-    below = F.filter(hashes, lambda h: h < F.lit(int(-(2**63) + fraction * 2**64)))
+    """The sketch of an array of hashes: sorted, each once; the witness if none is below the threshold."""
+    below = F.filter(hashes, lambda h: h < _threshold(fraction))
     return F.array_sort(F.array_distinct(F.when((F.size(below) > 0) | (F.size(hashes) == 0), below).otherwise(F.array(F.array_min(hashes)))))
 
 
@@ -60,14 +69,15 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Estimated share of a's shingles that b has; null if a is only a witness."""
+    there = F.size(F.array_intersect(a, b)) / F.size(a)
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(F.array_min(a) < _threshold(fraction), there)
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The sketch of two texts together."""
-    return F.array_sort(F.array_union(a, b))
+def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """The sketch of the shingles of both: equal to that of their union."""
+    return kept(F.array_union(a, b), fraction)
 
 
 def as_text(sketch: Column) -> Column:

@@ -2,24 +2,28 @@
 
 Four base kinds (email, ip, card, phone) are reported wherever their pattern and
 check hold, whatever the context says. The method adds spans of further kinds:
-``iban`` (mod-97), ``routing`` (weighted mod-10), ``ssn`` and ``account``
-numbers; the last two have no checksum strong enough, so they need a context
-word close by. Every span has a score: the kind's prior, raised by a checksum
-and by context words within ``CONTEXT`` code points.
+``iban`` (mod-97), ``routing`` (weighted mod-10), ``ssn`` (needs a context word),
+``key`` (access keys of a fixed form) and ``secret`` (the value set after a word
+such as password or token, if its characters are as mixed as those of a random
+string). Every span has a score: the kind's prior, raised by a checksum and by
+context words within ``CONTEXT`` code points.
 
 Defined results: a null or empty text has no spans; spans are in code points,
 the end exclusive; copies of a row are each reported; very long texts are
-scanned whole; other columns are kept by ``detect``.
+scanned whole; other columns are kept by ``detect``, but those with the names
+that it adds, which can be chosen.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import bounded_batches, held
 
@@ -37,7 +41,12 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 ROUTING = re.compile(r"(?<![0-9])[0-9]{9}(?![0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-KINDS = ("email", "ip", "card", "phone", "iban", "routing", "ssn")
+KEY = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b")
+# a word that names a secret, a sign that sets it, the value
+SECRET = re.compile(r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?[ \t]{0,4}(?::=|=>|[=:])[ \t]{0,4}(?:[\"'`]([^\s\"'`]{8,512})[\"'`]|([A-Za-z0-9_./+=~-]{8,512}))")
+KINDS = ("email", "ip", "card", "phone", "iban", "routing", "ssn", "key", "secret")
+#: Bits a character that a secret's value must have at least.
+MIXED = 2.5
 
 # Words that make a kind likelier (lower case).
 WORDS = {
@@ -48,8 +57,10 @@ WORDS = {
     "iban": ("iban", "account", "bank", "konto", "cuenta", "compte"),
     "routing": ("routing", "aba", "bank", "transfer"),
     "ssn": ("ssn", "social", "security"),
+    "key": ("aws", "key", "access", "credential", "credentials"),
+    "secret": ("login", "user", "credential", "credentials", "auth", "bearer"),
 }
-PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "routing": 0.35, "ssn": 0.55}
+PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "routing": 0.35, "ssn": 0.55, "key": 0.8, "secret": 0.65}
 _CONTEXT_WORDS = {kind: re.compile(r"\b(?:" + "|".join(words) + r")\b", re.IGNORECASE) for kind, words in WORDS.items()}
 
 
@@ -71,6 +82,12 @@ def routing_sum(digits: str) -> bool:
     return sum(w * int(c) for w, c in zip((3, 7, 1) * 3, digits)) % 10 == 0 and digits != "000000000"
 
 
+def mixture(value: str) -> float:
+    """Bits a character of the value's own letters."""
+    counts = Counter(value)
+    return -sum(n / len(value) * log2(n / len(value)) for n in counts.values())
+
+
 def _digits(span: str) -> str:
     return "".join(c for c in span if "0" <= c <= "9")
 
@@ -125,6 +142,12 @@ def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
         for m in SSN.finditer(text):
             if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
                 found.append(("ssn", *m.span(), False))
+        for m in KEY.finditer(text) if "AKIA" in text or "ASIA" in text else ():
+            found.append(("key", *m.span(), False))
+    for m in SECRET.finditer(text) if "=" in text or ":" in text else ():
+        own = 1 if m[1] else 2
+        if mixture(m[own]) >= MIXED and _DIGIT.search(m[own]):
+            found.append(("secret", *m.span(own), False))
     out = []
     for kind, s, e, checked in found:
         near = f"{text[max(0, s - CONTEXT) : s]} {text[e : e + CONTEXT]}"
@@ -134,7 +157,7 @@ def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
     return out
 
 
-SPAN_TYPE = "array<struct<kind:string,start:int,stop:int,score:double>>"
+SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("score", T.DoubleType())]))
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
 
 
@@ -148,8 +171,8 @@ def detect(docs: DataFrame, text: str = "text", spans: str = "spans", redacted:
     bounded_batches(docs.sparkSession)
     names = docs.columns
     at = names.index(text)
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    fields |= {spans: SPAN_TYPE} | ({redacted: "string"} if redacted else {})
+    added = {spans: SPAN_TYPE} | ({redacted: T.StringType()} if redacted else {})
+    schema = T.StructType([T.StructField(f.name, added.pop(f.name)) if f.name in added else f for f in docs.schema] + [T.StructField(n, t) for n, t in added.items()])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(("pii",), None)
@@ -162,7 +185,7 @@ def detect(docs: DataFrame, text: str = "text", spans: str = "spans", redacted:
                 columns[redacted] = pa.array([redact(t, row) for t, row in zip(texts, found)], pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(find, ", ".join(f"`{n}` {t}" for n, t in fields.items()))
+    return docs.mapInArrow(find, schema)
 
 
 def redact(text: str | None, found: list[tuple[str, int, int, float]]) -> str | None:
@@ -179,19 +202,20 @@ def redact(text: str | None, found: list[tuple[str, int, int, float]]) -> str |
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per document the counts of the base kinds and the spans as text."""
+    """Per document the counts of the base kinds and of all others, and the spans as text."""
     bounded_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for found in batch.column(1).to_pylist():
                 base = [f"{x['kind']}:{x['start']}:{x['stop']}" for x in found if x["kind"] in KINDS[:4]]
                 for k, kind in enumerate(KINDS[:4]):
                     out[k].append(sum(x["kind"] == kind for x in found))
                 out[4].append(hashlib.sha256(",".join(base).encode()).hexdigest())
                 out[5].append(",".join(f"{x['kind']}:{x['start']}:{x['stop']}" for x in found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.string()), pa.array(out[5], pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                out[6].append(len(found) - len(base))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.string()), pa.array(out[5], pa.string()), pa.array(out[6], pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
     found = detect(docs.select("doc_id", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "spans")
-    return found.mapInArrow(rows, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return found.mapInArrow(rows, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")

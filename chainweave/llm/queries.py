@@ -15,7 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": lambda s, d: fingerprints.digest(table(s, d, "documents")),
     "op3_token_files": lambda s, d: token_files.round_trip(table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
     "op4_token_counts": lambda s, d: token_counts.count_tokens(table(s, d, "documents").select("doc_id", "text"), token_counts.unigram_pieces(public_tokenizers.path("piece_bpe_32k.model"))).drop("text"),
-    "op5_preferences": lambda s, d: preferences.neighbours(table(s, d, "conversations")),
+    "op5_preferences": lambda s, d: preferences.replies(table(s, d, "conversations")),
     "op6_pii": lambda s, d: pii.digest(table(s, d, "documents")),
     "op7_decontamination": lambda s, d: decontamination.digest(table(s, d, "documents"), table(s, d, "benchmark")),
     "op8_bpe": lambda s, d: bpe.digest(table(s, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
@@ -23,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": lambda s, d: language.identify(table(s, d, "documents")),
 }
 
-SQL: dict[str, str] = {"op5_preferences": preferences.NEIGHBOURS_SQL}
+SQL: dict[str, str] = {"op5_preferences": preferences.REPLIES_SQL}

@@ -7,6 +7,12 @@ score the one whose last piece starts first wins, a character without a piece of
 its own costs the lowest score less ten, and unknown characters in a row are one
 token. Each distinct word is solved once per worker.
 
+No unigram vocabulary is at hand, and tokenizers are not trained here: the query
+takes the pieces of a byte-pair file with its scores, which are negated merge
+ranks, as a unigram model. Its counts are exact for that model (the tokenizers
+library's Unigram with the same pieces and ``Metaspace``), not those of the
+byte-pair encoder that the file was made for.
+
 Defined results: null or empty text has no tokens and score 0; white space other
 than the space is part of words, as in the tokenizer; texts are counted whole
 whatever their length; repeated rows are counted each; other columns are kept.
@@ -17,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 from .caching import Cache
 from .common import bounded_batches, held
@@ -81,21 +87,22 @@ class Counter:
         return sum(n for n, _ in found), sum(s for _, s in found)
 
 
-def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], text: str = "text") -> DataFrame:
-    """All columns, the number of tokens of the whole text and the score of its segmentation."""
+def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], text: str = "text", added: tuple[str, str] = ("n_tokens", "score")) -> DataFrame:
+    """All columns, the number of tokens of the whole text and the score of its segmentation. Columns of these names are replaced."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(pieces)  # of the vocabulary's size
     key = hash(tuple(pieces))
     names = docs.columns
     at = names.index(text)
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema} | {"n_tokens": "bigint", "score": "double"}
+    schema = T.StructType([f for f in docs.schema if f.name not in added] + [T.StructField(added[0], T.LongType()), T.StructField(added[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = held(("counts", key), lambda: Counter(shared.value))
         for batch in batches:
             found = [counter.text(t) for t in batch.column(at).to_pylist()]
-            columns = dict(zip(names, batch.columns)) | {"n_tokens": pa.array([n for n, _ in found], pa.int64()), "score": pa.array([s for _, s in found], pa.float64())}
+            counts = (pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64()))
+            columns = {n: c for n, c in zip(names, batch.columns) if n not in added} | dict(zip(added, counts))
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields.items()))
+    return docs.mapInArrow(run, schema)

@@ -5,21 +5,29 @@ are stored once; the row with the largest key is the response, the others
 revisit it. Only digests and keys are grouped; a digest that many rows share is
 spread over ``SALTS`` groups first. Every archive is a value of bounded size.
 
-Reading: an archive is a row of gzip members, one for each record. The reader
-inflates one member after another in small steps (``zlib.decompressobj``), takes
-the header up to its empty line, then exactly ``Content-Length`` bytes, and
-verifies the block and payload digests; damage raises ``WarcError``.
+Reading: an archive is a file of gzip members, one for each record (or several),
+or a plain file; its name does not matter. The reader inflates in small steps of
+bounded output (``zlib.decompressobj``), takes the header up to its empty line,
+then exactly ``Content-Length`` bytes, and verifies the block and payload digests
+(hexadecimal or Base32; the payload's only if it has no transfer coding). Damage
+raises ``WarcError``. A file is one value of Spark's binary source, so it may have
+2 GB at most and must fit an executor's memory; of what it inflates to, one record
+is held at a time.
 
 Defined results: null html is an empty payload; rows of equal key and payload are
 all responses if theirs is the largest key; a null key never is the largest one
 unless all are null; an empty table gives an empty archive folder and no rows;
-other columns are ignored; long payloads make an archive of their own.
+other columns are ignored; long payloads make an archive of their own. HTTP
+header lines may be folded and may end in a line feed alone; those without a
+colon are passed over; without an empty line all is header.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +42,8 @@ SALTS = 32
 ARCHIVE_BYTES = 8 << 20
 #: Compressed bytes inflated in one step.
 STEP = 1 << 16
+#: Bytes that one step inflates to, at most.
+INFLATED = 1 << 20
 LEVEL = 6
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
@@ -62,33 +72,60 @@ def record(kind: str, key: int | None, url: str | None, payload: bytes, digest:
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-class _Member:
-    """The bytes of one gzip member, inflated as they are asked for."""
+class _Stream:
+    """The bytes of an archive, inflated as they are asked for: gzip members one after another, or a plain file."""
 
-    def __init__(self, data: memoryview, at: int):
-        self.data, self.at, self.inflate, self.held = data, at, zlib.decompressobj(31), b""
+    def __init__(self, content):
+        self.data, self.at, self.held = memoryview(content), 0, b""
+        self.inflate = None
+        self.plain = bytes(self.data[:2]) != b"\x1f\x8b"
 
     def more(self) -> bool:
-        if self.inflate.eof:
-            return False
-        if self.at >= len(self.data):
-            raise WarcError("the archive ends within a member")
-        step = self.inflate.unconsumed_tail or self.data[self.at : self.at + STEP]
-        if not self.inflate.unconsumed_tail:
+        """Hold some bytes more; false at the archive's end."""
+        data = self.data
+        if self.plain:
+            step = data[self.at : self.at + STEP]
+            self.at += len(step)
+            self.held += step
+            return len(step) > 0
+        if self.inflate is None:
+            while self.at < len(data) and data[self.at] == 0:  # zero bytes after a member are padding
+                self.at += 1
+            if self.at == len(data):
+                return False
+            self.inflate = zlib.decompressobj(31)
+        step = self.inflate.unconsumed_tail
+        if not step:
+            step = data[self.at : self.at + STEP]
             self.at += len(step)
         try:
-            self.held += self.inflate.decompress(step)
+            self.held += self.inflate.decompress(step, INFLATED)
         except zlib.error as e:
             raise WarcError(f"a member is damaged: {e}") from e
         if self.inflate.eof:
             self.at -= len(self.inflate.unused_data)
+            self.inflate = None
+        elif not len(step):
+            raise WarcError("the archive ends within a member")
         return True
 
-    def until(self, mark: bytes) -> bytes:
-        while (k := self.held.find(mark)) < 0:
+    def began(self) -> bool:
+        """Pass over the line ends (and padding) before a record; false if there is none."""
+        while True:
+            self.held = self.held.lstrip(b"\r\n\0" if self.plain else b"\r\n")
+            if self.held:
+                return True
+            if not self.more():
+                return False
+
+    def header(self) -> bytes:
+        """What precedes the first empty line."""
+        seen = 0
+        while not (end := _EMPTY_LINE.search(self.held, max(0, seen - 3))):
+            seen = len(self.held)
             if not self.more():
                 raise WarcError("a header has no end")
-        found, self.held = self.held[:k], self.held[k + len(mark) :]
+        found, self.held = self.held[: end.start()], self.held[end.end() :]
         return found
 
     def exactly(self, n: int) -> bytes:
@@ -103,50 +140,60 @@ class _Member:
             if not self.more():
                 raise WarcError("a block is shorter than its Content-Length")
 
-    def close(self) -> int:
-        while self.more():
-            pass
-        if self.held != b"\r\n\r\n":
-            raise WarcError("a record does not end as it should")
-        return self.at
+
+_EMPTY_LINE = re.compile(rb"\r?\n\r?\n")
 
 
-def _fields(head: bytes) -> dict[str, str]:
-    fields = {}
-    for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:]:
+def _fields(head: bytes, strict: bool) -> dict[str, str]:
+    """Header lines by lower-case name; a line that begins with white space continues the one before."""
+    fields, last = {}, None
+    for line in re.split(r"\r?\n", head.decode("utf-8", "surrogateescape"))[1:]:
         name, colon, value = line.partition(":")
-        if not colon:
+        if line[:1] in (" ", "\t") and last:
+            fields[last] = f"{fields[last]} {line.strip()}"
+        elif colon:
+            last = name.strip().lower()
+            fields[last] = value.strip()
+        elif strict and line:
             raise WarcError(f"not a header line: {line[:80]!r}")
-        fields[name.strip().lower()] = value.strip()
     return fields
 
 
-def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
+def _digest(value: str) -> tuple[str, str]:
+    """The algorithm, and the digest in lower-case hexadecimal where it can be read."""
+    kind, _, digest = value.strip().partition(":")
+    kind = kind.lower().replace("-", "")
+    size = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}.get(kind)
+    if size and len(digest) != 2 * size:
+        try:
+            digest = base64.b32decode(digest.upper() + "=" * (-len(digest) % 8)).hex()
+        except ValueError:
+            pass
+    return kind if size else "", digest.lower()
+
+
+def read_archive(content) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
     """WARC fields, HTTP fields and payload of each record, in order. One record is held at a time."""
-    data, at = memoryview(content), 0
-    while at < len(data):
-        if data[at] == 0 and not any(data[at : at + 64]):  # zero bytes after the last member are padding
-            at += 1
-            continue
-        member = _Member(data, at)
-        head = member.until(b"\r\n\r\n")
-        if not head.startswith(b"WARC/1."):
+    stream = _Stream(content)
+    while stream.began():
+        head = stream.header()
+        if not head.startswith(b"WARC/"):
             raise WarcError("not a WARC record")
-        fields = _fields(head)
-        try:
-            block = member.exactly(int(fields["content-length"]))
-        except (KeyError, ValueError) as e:
-            raise e if isinstance(e, WarcError) else WarcError("a record has no valid Content-Length") from e
-        at = member.close()
+        fields = _fields(head, strict=True)
+        length = fields.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            raise WarcError("a record has no valid Content-Length")
+        block = stream.exactly(int(length))
         http, payload = {}, block
-        if fields.get("content-type", "").startswith("application/http"):
-            top, _, payload = block.partition(b"\r\n\r\n")
-            http = _fields(top)
-        for name, data_of in (("warc-block-digest", block), ("warc-payload-digest", payload)):
-            if name in fields and not (name == "warc-payload-digest" and fields.get("warc-type") == "revisit"):
-                kind, _, value = fields[name].partition(":")
-                if kind == "sha1" and value.lower() != hashlib.sha1(data_of).hexdigest():
-                    raise WarcError(f"wrong {name} in record {fields.get('warc-record-id')}")
+        if fields.get("content-type", "").lower().startswith("application/http"):
+            end = _EMPTY_LINE.search(block)
+            http = _fields(block[: end.start()] if end else block, strict=False)
+            payload = block[end.end() :] if end else b""
+        whole = fields.get("warc-type") != "revisit" and "transfer-encoding" not in http and "warc-truncated" not in fields
+        for name, data, sure in (("warc-block-digest", block, True), ("warc-payload-digest", payload, whole)):
+            kind, value = _digest(fields.get(name, ""))
+            if kind and sure and value != hashlib.new(kind, data).hexdigest():
+                raise WarcError(f"wrong {name} in record {fields.get('warc-record-id')}")
         yield fields, http, payload
 
 
@@ -191,8 +238,18 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     made.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
+def _shown(value: str | None) -> str | None:
+    """A header value as valid text: bytes that are not UTF-8 are replaced."""
+    return value and value.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """record_type, record_id, target_uri, refers_to, payload_digest, payload_bytes (of the full payload), payload (null for revisits)."""
+    """The records of all archives in a folder (or of one file, or of a pattern).
+
+    record_type, record_id, target_uri, refers_to, payload_digest (lower-case
+    hexadecimal), payload_bytes (of the full payload, null where a revisit does not
+    say), payload (null for revisits).
+    """
     bounded_batches(spark)
     names = ["record_type", "record_id", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload"]
 
@@ -204,8 +261,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for fields, http, payload in read_archive(content.as_buffer()):
                     kind = fields.get("warc-type")
                     whole = kind != "revisit"
-                    digest = fields.get("warc-payload-digest", "").partition(":")[2].lower() or hashlib.sha1(payload).hexdigest()
-                    rows.append((kind, fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-refers-to"), digest, len(payload) if whole else int(http.get("content-length", 0)), payload if whole else None))
+                    digest = _digest(fields.get("warc-payload-digest", ""))[1] or (hashlib.sha1(payload).hexdigest() if whole else None)
+                    length = http.get("content-length", "")
+                    size = len(payload) if whole else int(length) if length.isascii() and length.isdigit() else None
+                    rows.append((kind, *(_shown(fields.get(n)) for n in ("warc-record-id", "warc-target-uri", "warc-refers-to")), digest, size, payload if whole else None))
                     held += len(payload)
                     if held > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -213,7 +272,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 1").select("content")
+    found = spark.read.format("binaryFile").load(path).where("length > 1").select("content")  # one byte: a task without rows
     return found.mapInArrow(records, "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes bigint, payload binary")
 
 
