@@ -4,22 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Pronouns by what they agree with.
-FIRST_SINGULAR = ("i", "me", "my", "mine", "myself")
-FIRST_PLURAL = ("we", "us", "our", "ours", "ourselves")
-SECOND = ("you", "your", "yours", "yourself", "yourselves")
-THIRD_MALE = ("he", "him", "his", "himself")
-THIRD_FEMALE = ("she", "her", "hers", "herself")
-THIRD_NEUTER = ("it", "its", "itself")
-THIRD_PLURAL = ("they", "them", "their", "theirs", "themselves", "'em")
-OTHER = ("one", "one's", "oneself", "this", "that", "these", "those", "who", "whom", "whose", "which", "what")
+# Pronouns by person, number and gender.
+FIRST_PERSON = ("i", "me", "myself", "mine", "my", "we", "us", "ourself", "ourselves", "ours", "our")
+SECOND_PERSON = ("you", "yourself", "yours", "your", "yourselves")
+THIRD_PERSON = ("he", "him", "himself", "his", "she", "her", "herself", "hers", "it", "itself", "its", "one", "oneself", "one's", "they", "them", "themself", "themselves", "theirs", "their", "'em")
+OTHER = ("who", "whom", "whose", "where", "when", "which")
 DEMONSTRATIVE = ("this", "that", "these", "those")
-GROUPS = {"i": FIRST_SINGULAR, "we": FIRST_PLURAL, "you": SECOND, "he": THIRD_MALE, "she": THIRD_FEMALE, "it": THIRD_NEUTER, "they": THIRD_PLURAL}
-PRONOUNS = tuple(p for group in GROUPS.values() for p in group) + OTHER
-ARTICLES = {"the": "DEF", "a": "INDEF", "an": "INDEF"}
-# Entity labels that tell animacy.
+SINGULAR = ("i", "me", "myself", "mine", "my", "yourself", "he", "him", "himself", "his", "she", "her", "herself", "hers", "it", "itself", "its", "one", "oneself", "one's")
+PLURAL = ("we", "us", "ourself", "ourselves", "ours", "our", "yourself", "yourselves", "they", "them", "themself", "themselves", "theirs", "their")
+MALE = ("he", "him", "himself", "his")
+FEMALE = ("her", "hers", "herself", "she")
+NEUTRAL = ("it", "its", "itself", "where", "here", "there", "which")
+PRONOUNS = FIRST_PERSON + SECOND_PERSON + THIRD_PERSON + OTHER
+# The form that a pronoun is counted under.
+CANONICAL = {
+    "i": "i", "me": "i", "my": "i", "myself": "i", "mine": "i",
+    "you": "you", "your": "you", "yourself": "you", "yourselves": "you", "yours": "you",
+    "he": "he", "him": "he", "his": "he", "himself": "he",
+    "she": "she", "her": "she", "herself": "she", "hers": "she",
+    "we": "we", "us": "we", "our": "we", "ourself": "we", "ourselves": "we", "ours": "we",
+    "they": "they", "them": "they", "their": "they", "themself": "they", "themselves": "they", "theirs": "they", "'em": "they",
+    "it": "it", "itself": "it", "its": "it",
+    "one": "one", "oneself": "one", "one's": "one",
+    "this": "this", "that": "that", "these": "these", "those": "those",
+    "which": "which", "who": "who", "whom": "who",
+    "thy": "thy", "y'all": "you", "you're": "you", "you'll": "you", "'s": "'s",
+}
+# Entity labels that tell animacy (beside those that begin with PER or LOC).
 ANIMATE_NER = ("PERSON",)
-INANIMATE_NER = ("FAC", "LOC", "GPE", "ORG", "PRODUCT", "EVENT", "WORK_OF_ART", "LAW", "LANGUAGE", "NORP")
+INANIMATE_NER = ("LOCATION", "MONEY", "NUMBER", "PERCENT", "DATE", "TIME", "FAC", "GPE", "WEA", "ORG")
 # Entity labels that make no mention.
 NON_MENTION_NER = ("O", "QUANTITY", "CARDINAL", "PERCENT")
 
@@ -33,27 +46,25 @@ def is_demonstrative(w: Column) -> Column:
 
 
 def canonical_pronoun(w: Column) -> Column:
-    """The subject form of a personal pronoun, the word itself for others, empty for no pronoun."""
-    out = F.when(F.lower(w).isin(*OTHER), F.lower(w)).otherwise("")
-    for name, group in GROUPS.items():
-        out = F.when(F.lower(w).isin(*group), name).otherwise(out)
-    return out
+    """The form that a pronoun is counted under, empty for no pronoun."""
+    forms = F.create_map(*(F.lit(x) for pair in CANONICAL.items() for x in pair))
+    return F.coalesce(F.try_element_at(forms, F.lower(w)), F.lit(""))
 
 
 def pronoun_number(w: Column) -> Column:
-    return F.when(F.lower(w).isin(*FIRST_PLURAL, *THIRD_PLURAL), "PLURAL").when(F.lower(w).isin(*FIRST_SINGULAR, *THIRD_MALE, *THIRD_FEMALE, *THIRD_NEUTER), "SINGULAR").otherwise("UNKNOWN")
+    return F.when(F.lower(w).isin(*SINGULAR), "SINGULAR").when(F.lower(w).isin(*PLURAL), "PLURAL").otherwise("UNKNOWN")
 
 
 def pronoun_gender(w: Column) -> Column:
-    return F.when(F.lower(w).isin(*THIRD_MALE), "MALE").when(F.lower(w).isin(*THIRD_FEMALE), "FEMALE").when(F.lower(w).isin(*THIRD_NEUTER), "NEUTRAL").otherwise("UNKNOWN")
+    return F.when(F.lower(w).isin(*MALE), "MALE").when(F.lower(w).isin(*FEMALE), "FEMALE").when(F.lower(w).isin(*NEUTRAL), "NEUTRAL").otherwise("UNKNOWN")
 
 
 def person(w: Column) -> Column:
-    return F.when(F.lower(w).isin(*FIRST_SINGULAR, *FIRST_PLURAL), "1st").when(F.lower(w).isin(*SECOND), "2nd").when(F.lower(w).isin(*THIRD_MALE, *THIRD_FEMALE, *THIRD_NEUTER, *THIRD_PLURAL), "3rd").otherwise("OTHER")
+    return F.when(F.lower(w).isin(*FIRST_PERSON), "1st").when(F.lower(w).isin(*SECOND_PERSON), "2nd").when(F.lower(w).isin(*THIRD_PERSON), "3rd").otherwise("OTHER")
 
 
 def person_compat(w: Column) -> Column:
-    """As the features of the reference have it: never ``3rd``."""
+    """As the features must have it: never ``3rd``."""
     return F.when(person(w) == "3rd", "OTHER").otherwise(person(w))
 
 

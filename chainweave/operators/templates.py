@@ -78,11 +78,15 @@ def entity_tag_features(tokens: DataFrame) -> DataFrame:
 
 
 def name_gender(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``name_gender``: the gender counted for the capitalised word before a person's head, else for the head."""
+    """``name_gender``: of a person whose capitalised head follows a capitalised word, the gender counted for that first name; else for the head.
+
+    A first name that is not counted leaves the gender unknown, whatever the head is.
+    """
     from ..functions.linguistic import gender_of
 
-    d = lambda k, c: dictionary.select(F.col("key").alias(k), F.col("counts").alias(c))
-    given = F.when((F.col("ner") == "PERSON") & F.rlike("prev1", F.lit(r"^\p{Lu}")), F.lower("prev1"))
-    both = mentions.withColumn("_given", given).join(d("_given", "_gc"), "_given", "left").join(d("_hk", "_hc"), F.lower("head") == F.col("_hk"), "left")
-    first = gender_of(F.col("_gc"))
-    return both.withColumn("name_gender", F.when(first != "UNKNOWN", first).otherwise(gender_of(F.col("_hc")))).drop("_given", "_gc", "_hk", "_hc")
+    counted = dictionary.select(F.col("key").alias("_key"), F.col("counts").alias("_counts"))
+    upper = lambda c: F.rlike(c, F.lit(r"^\p{Lu}"))
+    named = (F.col("ner") == "PERSON") & upper("head") & upper("prev1")
+    asked = mentions.withColumn("_asked", F.lower(F.when(named, F.col("prev1")).otherwise(F.col("head"))))
+    found = asked.join(counted, F.col("_asked") == F.col("_key"), "left")
+    return found.withColumn("name_gender", gender_of(F.col("_counts"))).drop("_asked", "_key", "_counts")

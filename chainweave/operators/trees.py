@@ -8,17 +8,46 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-# Where each phrase looks for its head. l: from the left, r: from the right; the labels in order of preference.
+# The side from which each phrase looks for its head, and the labels in order of preference.
 HEAD_RULES = {
-    "ADJP": ("l", "NNS QP NN $ ADVP JJ VBN VBG ADJP JJR NP JJS DT FW RBR RBS SBAR RB"), "ADVP": ("r", "RB RBR RBS FW ADVP TO CD JJR JJ IN NP JJS NN"), "CONJP": ("r", "CC RB IN"),
-    "FRAG": ("r", ""), "INTJ": ("l", ""), "LST": ("r", "LS :"), "NAC": ("l", "NN NNS NNP NNPS NP NAC EX $ CD QP PRP VBG JJ JJS JJR ADJP FW"), "PP": ("r", "IN TO VBG VBN RP FW"),
-    "PRN": ("l", ""), "PRT": ("r", "RP"), "QP": ("l", "$ IN NNS NN JJ RB DT CD NCD QP JJR JJS"), "RRC": ("r", "VP NP ADVP ADJP PP"), "S": ("l", "TO IN VP S SBAR ADJP UCP NP"),
-    "SBAR": ("l", "WHNP WHPP WHADVP WHADJP IN DT S SQ SINV SBAR FRAG"), "SBARQ": ("l", "SQ S SINV SBARQ FRAG"), "SINV": ("l", "VBZ VBD VBP VB MD VP S SINV ADJP NP"),
-    "SQ": ("l", "VBZ VBD VBP VB MD VP SQ"), "UCP": ("r", ""), "VP": ("l", "TO VBD VBN MD VBZ VB VBG VBP VP ADJP NN NNS NP"), "WHADJP": ("l", "CC WRB JJ ADJP"), "WHADVP": ("r", "CC WRB"),
-    "WHNP": ("l", "WDT WP WP$ WHADJP WHPP WHNP"), "WHPP": ("r", "IN TO FW"), "X": ("r", ""), "TOP": ("l", ""), "ROOT": ("l", ""),
-}
-# In a noun phrase, first of these from the right, then NP from the left, and so on.
-NOUN_RULES = (("r", "NN NNP NNPS NNS NX POS JJR"), ("l", "NP NML"), ("r", "$ ADJP PRN"), ("r", "CD"), ("r", "JJ JJS RB QP"))
+    "ADJP": ("left", ("NNS", "QP", "NN", "$", "ADVP", "JJ", "VBN", "VBG", "ADJP", "JJR", "NP", "JJS", "DT", "FW", "RBR", "RBS", "SBAR", "RB")),
+    "ADVP": ("right", ("RB", "RBR", "RBS", "FW", "ADVP", "TO", "CD", "JJR", "JJ", "IN", "NP", "JJS", "NN")),
+    "CONJP": ("right", ("CC", "RB", "IN")),
+    "FRAG": ("right", ()),
+    "INTJ": ("left", ()),
+    "LST": ("right", ("LS", ":")),
+    "NAC": ("left", ("NN", "NNS", "NNP", "NNPS", "NP", "NAC", "EX", "$", "CD", "QP", "PRP", "VBG", "JJ", "JJS", "JJR", "ADJP", "FW")),
+    "NX": ("left", ()),
+    "PP": ("right", ("IN", "TO", "VBG", "VBN", "RP", "FW")),
+    "PRN": ("left", ()),
+    "PRT": ("right", ("RP",)),
+    "QP": ("left", ("$", "IN", "NNS", "NN", "JJ", "RB", "DT", "CD", "NCD", "QP", "JJR", "JJS")),
+    "RRC": ("right", ("VP", "NP", "ADVP", "ADJP", "PP")),
+    "S": ("left", ("TO", "IN", "VP", "S", "SBAR", "ADJP", "UCP", "NP")),
+    "SBAR": ("left", ("WHNP", "WHPP", "WHADVP", "WHADJP", "IN", "DT", "S", "SQ", "SINV", "SBAR", "FRAG")),
+    "SBARQ": ("left", ("SQ", "S", "SINV", "SBARQ", "FRAG")),
+    "SINV": ("left", ("VBZ", "VBD", "VBP", "VB", "MD", "VP", "S", "SINV", "ADJP", "NP")),
+    "SQ": ("left", ("VBZ", "VBD", "VBP", "VB", "MD", "VP", "SQ")),
+    "UCP": ("right", ()),
+    "VP": ("left", ("TO", "VBD", "VBN", "MD", "VBZ", "VB", "VBG", "VBP", "AUX", "AUXG", "VP", "ADJP", "NN", "NNS", "NP")),
+    "WHADJP": ("left", ("CC", "WRB", "JJ", "ADJP")),
+    "WHADVP": ("right", ("CC", "WRB")),
+    "WHNP": ("left", ("WDT", "WP", "WP$", "WHADJP", "WHPP", "WHNP")),
+    "WHPP": ("right", ("IN", "TO", "FW")),
+    "X": ("right", ()),
+    "TYPO": ("left", ()),
+    "TOP": ("left", ()),
+}
+# A noun phrase looks for any of these labels at once where the side says so, else for one after another.
+NOUN_RULES = (
+    ("right, any", ("NN", "NNP", "NNPS", "NNS", "NX", "JJR")),
+    ("left", ("NP",)),
+    ("right, any", ("$", "ADJP", "PRN")),
+    ("right", ("CD",)),
+    ("right, any", ("JJ", "JJS", "RB", "QP")),
+)
+#: Where a phrase without a rule looks.
+DEFAULT_SIDE = "right"
 
 
 class Node:
@@ -63,25 +92,24 @@ def head_child(node: Node) -> Node:
     labels = [c.label.split("-")[0] if c.label[:1].isalpha() else c.label for c in node.children]
 
     def first(side: str, wanted: set[str]) -> int | None:
-        order = range(len(labels)) if side == "l" else range(len(labels) - 1, -1, -1)
+        order = range(len(labels)) if side == "left" else range(len(labels) - 1, -1, -1)
         return next((k for k in order if labels[k] in wanted), None)
 
-    name, found = node.label.split("-")[0], None
-    if name in ("NP", "NML", "NX"):
-        if labels[-1] == "POS":
-            found = len(labels) - 1
-        for side, wanted in NOUN_RULES if found is None else ():
-            if (found := first(side, set(wanted.split()))) is not None:
-                break
-        found = len(labels) - 1 if found is None else found
+    name = node.label.split("-")[0] or node.label
+    if name in ("NP", "NML"):
+        tries = [(side.split(",")[0], wanted, "any" in side) for side, wanted in NOUN_RULES]
     else:
-        side, wanted = HEAD_RULES.get(name, ("l", ""))
-        for w in wanted.split():
-            if (found := first(side, {w})) is not None:
-                break
-        found = (0 if side == "l" else len(labels) - 1) if found is None else found
+        side, wanted = HEAD_RULES.get("TOP" if name == "ROOT" else name, (DEFAULT_SIDE, ()))
+        tries = [(side, wanted, False)]
+    found = None
+    for side, wanted, at_once in tries:
+        for group in [set(wanted)] if at_once else [{w} for w in wanted]:
+            if found is None:
+                found = first(side, group)
+    if found is None:  # the last rule's side
+        found = 0 if tries[-1][0] == "left" else len(labels) - 1
     # a conjunct before a conjunction leads
-    if found >= 2 and labels[found - 1] in ("CC", "CONJP"):
+    if found >= 2 and labels[found - 1] == "CC":
         before = [k for k in range(found - 1) if not re.fullmatch(r"[,:.]|``|''", labels[k])]
         found = before[-1] if before else found
     return node.children[found]

@@ -112,7 +112,8 @@ PLAIN = TOKENS + r""",
 plain as (
   select *, cast(row_number() over (partition by doc_key order by sent_idx, tok_idx) - 1 as bigint) as ment_idx
   from tokens where regexp_matches(word, '^\p{Lu}'))"""
-_PRONOUNS = "('i','me','my','mine','myself','we','us','our','ours','ourselves','you','your','yours','yourself','yourselves','he','him','his','himself','she','her','hers','herself','it','its','itself','they','them','their','theirs','themselves','''em','one','one''s','oneself','this','that','these','those','who','whom','whose','which','what')"
+# The pronouns, apart from the engine's own table.
+_PRONOUNS = "('i','me','myself','mine','my','we','us','ourself','ourselves','ours','our','you','yourself','yours','your','yourselves','he','him','himself','his','she','her','herself','hers','it','itself','its','one','oneself','one''s','they','them','themself','themselves','theirs','their','''em','who','whom','whose','where','when','which')"
 _DEMONSTRATIVE = "('this','that','these','those')"
 TYPE = f"case when lower(word) in {_DEMONSTRATIVE} then 'DEMONSTRATIVE' when lower(word) in {_PRONOUNS} then 'PRONOMINAL' when length(word) >= 7 then 'PROPER' else 'NOMINAL' end"
 PAIRS = PLAIN + f""",

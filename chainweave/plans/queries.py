@@ -227,9 +227,11 @@ def suffix_backoff(s, d):
 # -- features -------------------------------------------------------------------------
 
 _ANA = "['SNMentLen=' || (end_idx - start_idx), 'SNMentHead=' || lower(head), 'SNMentFirst=' || lower(head), 'SNMentLast=' || lower(head), 'SNMentPreceding=' || lower(prev1), 'SNMentFollowing=' || lower(next1), 'SNSynPos=' || syn_uni, 'SNSynPos2=' || syn_bi, 'SNGovernor=' || governor, 'SNSentMentIdx=' || least(sent_ment_idx, 10), 'SNNerStr=' || ner, 'SNAnimacy=' || animacy, 'SNGend=' || gender, 'SNNumber=' || number, 'SNPerson=' || person, 'CurrPronConjStr=' || conj, 'SNSpeaker=' || lower(translate(speaker, '-_.', '')), 'SNDocType=' || genre, 'SNMentHeadTrueCase=' || head, 'SNCurrContainedBySpeaker=' || contained_by_speaker, 'SNCurrContainsSpeaker=' || contains_speaker]"
-_GROUPS = {k: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in v) + ")" for k, v in linguistic.GROUPS.items()}
-_PERSON = f"case when lower(head) in {_GROUPS['i']} or lower(head) in {_GROUPS['we']} then '1st' when lower(head) in {_GROUPS['you']} then '2nd' else 'OTHER' end"
-_CONJ = "case when ment_type <> 'PRONOMINAL' then ment_type " + " ".join(f"when lower(head) in {g} then '{k}'" for k, g in _GROUPS.items()) + " else lower(head) end"
+# Persons and canonical forms of pronouns, apart from the engine's own tables.
+_PERSON = "case when lower(head) in ('i','me','myself','mine','my','we','us','ourself','ourselves','ours','our') then '1st' when lower(head) in ('you','yourself','yours','your','yourselves') then '2nd' else 'OTHER' end"
+_CONJ = """case when ment_type <> 'PRONOMINAL' then ment_type when lower(head) in ('me','my','myself','mine') then 'i' when lower(head) in ('your','yourself','yourselves','yours') then 'you'
+  when lower(head) in ('him','his','himself') then 'he' when lower(head) in ('her','herself','hers') then 'she' when lower(head) in ('us','our','ourself','ourselves','ours') then 'we'
+  when lower(head) in ('them','their','themself','themselves','theirs','''em') then 'they' when lower(head) in ('itself','its') then 'it' when lower(head) in ('oneself','one''s') then 'one' when lower(head) = 'whom' then 'who' else lower(head) end"""
 RICH = FU + f", rich as (select *, {_PERSON} as person, {_CONJ} as conj from mentions)"
 
 
@@ -826,9 +828,9 @@ def entity_tag_features(s, d):
     return rows.select("doc_key", "sent_idx", "tok_idx", F.col("feats")[1].alias("before"), F.col("feats")[4].alias("after"), F.size("feats").alias("arity"))
 
 
-@query("name_gender", FU + ", g(key, c1, c2, c3) as (values " + ", ".join(str(x[:4]) for x in _GENDERS) + """), j as (select m.doc_key, m.ment_idx, a.c1 as a1, a.c2 as a2, a.c3 as a3, b.c1 as b1, b.c2 as b2, b.c3 as b3 from mentions m left join g a on m.ner = 'PERSON' and regexp_matches(m.prev1, '^\\p{Lu}') and lower(m.prev1) = a.key left join g b on lower(m.head) = b.key),
+@query("name_gender", FU + ", g(key, c1, c2, c3) as (values " + ", ".join(str(x[:4]) for x in _GENDERS) + """), j as (select m.doc_key, m.ment_idx, m.named, a.c1 as a1, a.c2 as a2, a.c3 as a3, b.c1 as b1, b.c2 as b2, b.c3 as b3 from (select *, ner = 'PERSON' and regexp_matches(prev1, '^\\p{Lu}') and regexp_matches(head, '^\\p{Lu}') as named from mentions) m left join g a on m.named and lower(m.prev1) = a.key left join g b on lower(m.head) = b.key),
 k as (select *, case when a1 >= 3 and a1 >= 2 * (a2 + a3) then 'MALE' when a2 >= 3 and a2 >= 2 * (a1 + a3) then 'FEMALE' when a3 >= 3 and a3 >= 2 * (a1 + a2) then 'NEUTRAL' end as one, case when b1 >= 3 and b1 >= 2 * (b2 + b3) then 'MALE' when b2 >= 3 and b2 >= 2 * (b1 + b3) then 'FEMALE' when b3 >= 3 and b3 >= 2 * (b1 + b2) then 'NEUTRAL' else 'UNKNOWN' end as two from j)
-select doc_key, ment_idx, coalesce(one, two) as name_gender from k""")
+select doc_key, ment_idx, case when named then coalesce(one, 'UNKNOWN') else two end as name_gender from k""")
 def name_gender(s, d):
     from ..operators.templates import name_gender as named
 
