@@ -142,7 +142,8 @@ def ceaf_e(s, d):
 
 @query("conll_average")
 def conll_average(s, d):
-    return metrics.conll_average(proxy.overlaps(s, d))
+    found = metrics.conll_average(proxy.overlaps(s, d))
+    return found.select(*(metrics.two_digits(F.col(c)).alias(c) for c in found.columns))
 
 
 @query("pairwise_prf", PR + """, c as (select count(*) filter (where coreferent and response_link) as tp, count(*) filter (where not coreferent and response_link) as fp, count(*) filter (where coreferent and not response_link) as fn from strict),
