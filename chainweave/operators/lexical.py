@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.strings import prefixes, suffixes, word_class, word_shape
+from ..storage import Scratch
 
 
 def counted(df: DataFrame, template: str, key: Column, cutoff: int = 20) -> DataFrame:
@@ -49,18 +50,19 @@ def template_counts(features: DataFrame, feature: str = "feat", top: int = 200)
     return counts.orderBy(F.desc("cnt"), "template").limit(top)
 
 
-def feature_index(features: DataFrame, feature: str = "feat", buckets: int = 64) -> DataFrame:
+def feature_index(features: DataFrame, feature: str = "feat") -> DataFrame:
     """feat_idx, feat: dense ids from 1 in order of the feature's text; 0 is for unknown ones.
 
-    Numbering goes bucket by bucket of the text's first characters, so the
-    ordering runs in parallel; only the buckets' sizes are summed up.
+    The features are dealt by ranges of their text and stored, so that numbering
+    and counting see the same ranges; only the ranges' sizes are summed up.
     """
-    known = features.select(F.col(feature).alias("feat")).where("feat is not null").distinct().withColumn("_b", F.left("feat", F.lit(6)))
-    within = known.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy("feat")))
-    sizes = known.groupBy("_b").agg(F.count("*").alias("_s"))
-    # a row for each beginning of six characters: the number of templates, not of features
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return within.join(before, "_b").select((F.col("_before") + F.col("_n")).cast("bigint").alias("feat_idx"), "feat")
+    known = features.select(F.col(feature).alias("feat")).where("feat is not null").distinct()
+    ranged = Scratch(features.sparkSession, "feature-index").store(known.repartitionByRange("feat").withColumn("_p", F.spark_partition_id()), "ranges")
+    within = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("feat")))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_s"))
+    # a row for each range
+    before = sizes.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return within.join(F.broadcast(before), "_p").select((F.col("_before") + F.col("_n")).cast("bigint").alias("feat_idx"), "feat")
 
 
 def indexed(features: DataFrame, index: DataFrame, feature: str = "feat") -> DataFrame:
