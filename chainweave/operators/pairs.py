@@ -11,8 +11,8 @@ def mention_pairs(mentions: DataFrame, columns: list[str], diagonal: bool = Fals
     ``columns`` come twice, as m_<name> and a_<name>. With ``diagonal`` a mention
     is also paired with itself, for "starts a cluster". ``keep`` (over these names)
     is part of the join, so pruned pairs are never made (F9). Only the columns
-    asked for are shuffled, and only by document; a long document's pairs are
-    split among tasks by adaptive skew handling.
+    asked for are shuffled, and only by document. Adaptive skew handling goes by
+    the bytes of the mentions, so the pairs of a long document stay in few tasks.
     """
     side = lambda p, i: mentions.select("doc_key", F.col("ment_idx").alias(i), *(F.col(c).alias(f"{p}_{c}") for c in columns))
     m, a = side("m", "m"), side("a", "a").withColumnRenamed("doc_key", "a_doc")
