@@ -12,10 +12,11 @@ contains_speaker, text (the span's words).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.linguistic import canonical_pronoun, person_compat
 from ..functions.strings import contained, feature, same_text, speaker_name
+from .ordering import totals_before
 from .pairs import mention_pairs
 
 ANAPHORICITY, PAIR = 21, 53
@@ -71,10 +72,10 @@ def pair_features() -> Column:
     )
 
 
-def featurized_pairs(mentions: DataFrame, keep: Column | None = None) -> DataFrame:
-    """doc_key, m, a and ``feats``, the 53 features of each pair (strings)."""
+def featurized_pairs(mentions: DataFrame, keep: Column | None = None, back: int | None = None) -> DataFrame:
+    """doc_key, m, a and ``feats``, the 53 features of each pair (strings); ``keep`` and ``back`` as for ``mention_pairs``."""
     own = mentions.withColumns({"as_ante": side_features("Prev"), "as_curr": side_features("Curr"), "conj": pronoun_or_type()})
-    pairs = mention_pairs(own, [*MENTION_COLUMNS, "conj", "as_ante", "as_curr"], keep=keep)
+    pairs = mention_pairs(own, [*MENTION_COLUMNS, "conj", "as_ante", "as_curr"], keep=keep, back=back)
     return pairs.select("doc_key", "m", "a", F.concat("a_as_ante", "m_as_curr", pair_features()).alias("feats"))
 
 
@@ -97,8 +98,7 @@ def unknown_replaced(vectors: DataFrame, dummy: int) -> DataFrame:
 def offsets(vectors: DataFrame, order: list[str]) -> DataFrame:
     """Per document the number of ids and the sum over the documents before it."""
     sizes = vectors.groupBy("doc_key").agg(F.sum(F.size("feats")).cast("bigint").alias("n_ids"), F.count("*").alias("n_vectors"))
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # one row for each document
-    return sizes.withColumns({"ids_before": F.coalesce(F.sum("n_ids").over(before), F.lit(0)), "vectors_before": F.coalesce(F.sum("n_vectors").over(before), F.lit(0))})
+    return totals_before(sizes, order, ids_before=F.col("n_ids"), vectors_before=F.col("n_vectors"))
 
 
 def triangular_place(m: Column, a: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.strings import prefixes, suffixes, word_class, word_shape
-from ..storage import Scratch
+from .ordering import totals_before
 
 
 def counted(df: DataFrame, template: str, key: Column, cutoff: int = 20) -> DataFrame:
@@ -53,16 +53,10 @@ def template_counts(features: DataFrame, feature: str = "feat", top: int = 200)
 def feature_index(features: DataFrame, feature: str = "feat") -> DataFrame:
     """feat_idx, feat: dense ids from 1 in order of the feature's text; 0 is for unknown ones.
 
-    The features are dealt by ranges of their text and stored, so that numbering
-    and counting see the same ranges; only the ranges' sizes are summed up.
+    Numbering goes by ranges of the text (``totals_before``).
     """
     known = features.select(F.col(feature).alias("feat")).where("feat is not null").distinct()
-    ranged = Scratch(features.sparkSession, "feature-index").store(known.repartitionByRange("feat").withColumn("_p", F.spark_partition_id()), "ranges")
-    within = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("feat")))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_s"))
-    # a row for each range
-    before = sizes.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return within.join(F.broadcast(before), "_p").select((F.col("_before") + F.col("_n")).cast("bigint").alias("feat_idx"), "feat")
+    return totals_before(known, ["feat"], feat_idx=F.lit(1)).select((F.col("feat_idx") + 1).alias("feat_idx"), "feat")
 
 
 def indexed(features: DataFrame, index: DataFrame, feature: str = "feat") -> DataFrame:

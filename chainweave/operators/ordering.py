@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import Scratch
+
 
 def by_name(docs: DataFrame, doc_id: str = "doc_id", part: str = "part_no") -> DataFrame:
     """Documents by their printable name ``id (part n)``."""
@@ -43,11 +45,25 @@ def training_pool(train: DataFrame, held_out: DataFrame, ignore: bool = False) -
     return train if ignore else train.unionByName(held_out)
 
 
+def totals_before(rows: DataFrame, order: list[str], **sums: Column) -> DataFrame:
+    """The rows with the sums of columns over all rows before them; ``order`` tells all rows apart.
+
+    The rows are dealt by ranges of the order and stored, so that the sums within
+    ranges and over ranges see the same ranges; one row a range meets in one task.
+    """
+    ranged = Scratch(rows.sparkSession, "totals").store(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    earlier = (Window.unboundedPreceding, -1)
+    within, over = Window.partitionBy("_p").orderBy(*order).rowsBetween(*earlier), Window.orderBy("_p").rowsBetween(*earlier)
+    sizes = ranged.groupBy("_p").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    before = sizes.select("_p", *(F.coalesce(F.sum(n).over(over), F.lit(0)).alias(f"_{n}") for n in sums))
+    placed = ranged.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()})
+    return placed.join(F.broadcast(before), "_p").select(*rows.columns, *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums))
+
+
 def maxima(clusters: DataFrame, batch: int = 1) -> DataFrame:
     """Most mentions and clusters of a document, and most mentions of ``batch`` documents in a row."""
     each = clusters.groupBy("doc_key").agg(F.count("*").alias("mentions"), F.count_distinct("cluster_id").alias("clusters"))
-    place = F.floor((F.row_number().over(Window.orderBy("doc_key")) - 1) / batch)  # a row for each document
-    batches = each.withColumn("b", place).groupBy("b").agg(F.sum("mentions").alias("in_batch"), F.max("mentions").alias("mentions"), F.max("clusters").alias("clusters"))
+    batches = totals_before(each, ["doc_key"], place=F.lit(1)).groupBy(F.floor(F.col("place") / batch).alias("b")).agg(F.sum("mentions").alias("in_batch"), F.max("mentions").alias("mentions"), F.max("clusters").alias("clusters"))
     return batches.agg(F.max("mentions").alias("most_mentions"), F.max("clusters").alias("most_clusters"), F.max("in_batch").alias("most_in_batch"))
 
 

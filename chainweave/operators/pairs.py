@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def mention_pairs(mentions: DataFrame, columns: list[str], diagonal: bool = False, keep: Column | None = None) -> DataFrame:
+#: Antecedents of a document that are one key of the pair join.
+BLOCK = 512
+
+
+def mention_pairs(mentions: DataFrame, columns: list[str], diagonal: bool = False, keep: Column | None = None, back: int | None = None) -> DataFrame:
     """Every mention ``m`` with each earlier mention ``a`` of its document.
 
     ``columns`` come twice, as m_<name> and a_<name>. With ``diagonal`` a mention
     is also paired with itself, for "starts a cluster". ``keep`` (over these names)
-    is part of the join, so pruned pairs are never made (F9). Only the columns
-    asked for are shuffled, and only by document. Adaptive skew handling goes by
-    the bytes of the mentions, so the pairs of a long document stay in few tasks.
+    is part of the join, so pruned pairs are never made (F9); ``back``, if given,
+    is the most mentions between a pair that ``keep`` lets through, so that farther
+    blocks are not visited. Only the columns asked for are shuffled, by document
+    and block of antecedents: a long document is many keys, each with at most
+    BLOCK pairs a mention. Mentions are numbered from 0.
     """
     side = lambda p, i: mentions.select("doc_key", F.col("ment_idx").alias(i), *(F.col(c).alias(f"{p}_{c}") for c in columns))
-    m, a = side("m", "m"), side("a", "a").withColumnRenamed("doc_key", "a_doc")
-    on = (m["doc_key"] == a["a_doc"]) & ((a["a"] <= m["m"]) if diagonal else (a["a"] < m["m"]))
-    return m.join(a, on & keep if keep is not None else on).drop("a_doc")
+    block = lambda c: F.floor(c / BLOCK)
+    first = F.lit(0).cast("bigint") if back is None else block(F.greatest(F.col("m") - back, F.lit(0)))
+    m = side("m", "m").withColumn("m_block", F.explode(F.sequence(first, block(F.col("m")))))
+    a = side("a", "a").withColumnRenamed("doc_key", "a_doc").withColumn("a_block", block(F.col("a")))
+    on = (m["doc_key"] == a["a_doc"]) & (m["m_block"] == a["a_block"]) & ((a["a"] <= m["m"]) if diagonal else (a["a"] < m["m"]))
+    if back is not None:
+        on &= a["a"] >= m["m"] - back
+    return m.join(a, on & keep if keep is not None else on).drop("a_doc", "m_block", "a_block")
 
 
 def near_enough(most_mentions: int = 10_000, most_sentences: int = 5_000) -> Column:

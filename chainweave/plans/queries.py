@@ -377,7 +377,7 @@ def best_first(s, d):
 @query("distance_prune", PR + "select doc_key, m, count(*) as kept, min(a) as first from strict where a >= m - 20 and (m_ment_type <> 'PRONOMINAL' or m_sent_idx - a_sent_idx <= 1) group by 1, 2")
 def distance_prune(s, d):
     m = proxy.mentions(s, d)
-    kept = P.mention_pairs(m, ["sent_idx", "ment_type"], keep=P.near_enough(20, 1))
+    kept = P.mention_pairs(m, ["sent_idx", "ment_type"], keep=P.near_enough(20, 1), back=20)
     return kept.groupBy("doc_key", "m").agg(F.count("*").alias("kept"), F.min("a").alias("first"))
 
 

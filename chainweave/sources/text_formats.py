@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..operators.ordering import totals_before
 
 
 def numbered_lines(df: DataFrame, value: str = "value") -> DataFrame:
@@ -110,7 +112,7 @@ def pointers_from_text(lines: DataFrame, docs: DataFrame, line: str = "line") ->
 
     ``lines``: line_no, line; ``docs``: doc_key.
     """
-    named = docs.select("doc_key").distinct().withColumn("line_no", (F.row_number().over(Window.orderBy("doc_key")) - 1).cast("int"))  # a row for each document
+    named = totals_before(docs.select("doc_key").distinct(), ["doc_key"], line_no=F.lit(1))
     return lines.join(named, "line_no").select("doc_key", F.posexplode(F.split(F.trim(line), r"\s+")).alias("m", "a")).select("doc_key", F.col("m").cast("bigint").alias("m"), F.col("a").cast("bigint").alias("a"))
 
 
