@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import string
 import struct
 import zlib
 from array import array
@@ -46,6 +47,8 @@ BLOCK = 256
 #: Ids after which a segment (one file) is closed.
 SEGMENT = 1 << 20
 MAGIC = b"CWTOK1"
+#: ASCII characters that are neither letters, digits nor white space.
+MARKS = string.punctuation
 
 
 class Pieces:
@@ -64,6 +67,7 @@ class Pieces:
         if spec["normalizer"] or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
             raise ValueError("not a byte-level tokenizer file")
         self.model = Tokenizer.from_str(file).model
+        self.tokenize, self.space = self.model.tokenize, " ".translate(BYTE_LETTERS)
         self.size = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
         self.kind, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -81,7 +85,14 @@ class Pieces:
 
     def _next(self, chunk: str) -> bytes | None:
         """The ids of a space and a chunk without spaces."""
-        return self._word(" " + chunk) if chunk.isalpha() else self._chunk(" " + chunk)
+        if chunk.isalpha():
+            if chunk.isascii():  # each letter stands for its byte
+                return array(self.code, [t.id for t in self.tokenize(self.space + chunk)]).tobytes()
+            return self._word(" " + chunk)
+        body = chunk.rstrip(MARKS)
+        if body.isalpha():  # a pre-token of letters and one of marks, as marks alone are no contraction
+            return self.next_ids[body] + self.word_ids[chunk[len(body) :]]
+        return self._chunk(" " + chunk)
 
     def _chunk(self, chunk: str) -> bytes | None:
         if not chunk or chunk[-1] in SPACES or chunk.lstrip(" ")[:1] in SPACES or chunk[:2] == "  ":
