@@ -44,6 +44,8 @@ CACHED_WORDS = 400_000
 LONGEST_CODE = 18
 #: Ids of a block; each has a checkpoint.
 BLOCK = 256
+#: Ids packed at a time, whole blocks.
+PACKED = 256 * BLOCK
 #: Ids after which a segment (one file) is closed.
 SEGMENT = 1 << 20
 MAGIC = b"CWTOK1"
@@ -174,19 +176,23 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bit stream, and the bit offset of each block."""
-    n = lengths[ids].astype(np.int64)
-    ends = np.cumsum(n)
-    starts = ends - n
-    words = np.zeros((int(ends[-1]) >> 5) + 2 if len(ids) else 0, np.uint64)
-    if len(ids):
-        shifted = codes[ids] << (64 - n - (starts & 31)).astype(np.uint64)
+    """The bit stream, and the bit offset of each block; ``PACKED`` ids are worked on at a time."""
+    words = np.zeros((int(lengths[ids].sum(dtype=np.int64)) >> 5) + 2 if len(ids) else 0, np.uint64)
+    offsets, bit = [np.zeros(0, "<u8")], 0
+    for lo in range(0, len(ids), PACKED):
+        some = ids[lo : lo + PACKED]
+        n = lengths[some].astype(np.int64)
+        ends = bit + np.cumsum(n)
+        starts = ends - n
+        shifted = codes[some] << (64 - n - (starts & 31)).astype(np.uint64)
         at = starts >> 5
         first = np.flatnonzero(np.diff(at, prepend=-1))
         both = np.bitwise_or.reduceat(shifted, first)
         words[at[first]] |= both >> np.uint64(32)
         words[at[first] + 1] |= both & np.uint64(0xFFFFFFFF)
-    return words.astype(">u4").tobytes(), starts[::BLOCK].astype("<u8")
+        offsets.append(starts[::BLOCK].astype("<u8"))
+        bit = int(ends[-1])
+    return words.astype(">u4").tobytes(), np.concatenate(offsets)
 
 
 def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
@@ -299,6 +305,7 @@ def counted(raw: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs in all documents. At most the vocabulary comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("token files",), None)  # the encoder's memory is not needed here
         total = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column(0):
@@ -328,6 +335,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str, longest:
     shared = spark.sparkContext.broadcast((lengths, starts))
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("token files",), None)
         lengths, starts = shared.value
         codes = canonical(lengths)
         for batch in batches:
@@ -346,6 +354,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     bounded_batches(spark)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("token files",), None)
         for batch in batches:
             for content in batch.column(0):
                 start, doc_ids, tokens, ids = from_file(content.as_py())
