@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import BYTE_LETTERS, SPACES
-from .caching import Cache
+from .caching import TextCache
 from .common import bounded_batches, held, shared_folder, stored
 
 #: Entries of each generation of a worker's cache of words after a space; others are a tenth.
@@ -76,9 +76,9 @@ class Pieces:
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")").split
         # Fixed value: the byte-level pattern.
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.word_ids = Cache(self._word, CACHED_WORDS // 10)
-        self.first_ids = Cache(self._chunk, CACHED_WORDS // 10)
-        self.next_ids = Cache(self._next, CACHED_WORDS)
+        self.word_ids = TextCache(self._word, CACHED_WORDS // 10)
+        self.first_ids = TextCache(self._chunk, CACHED_WORDS // 10)
+        self.next_ids = TextCache(self._next, CACHED_WORDS)
         self.line_feed = self.word_ids["\n"]
 
     def _word(self, word: str) -> bytes:
@@ -113,9 +113,11 @@ class Pieces:
             out.append(self.first_ids[first])
             out += map(self.next_ids.__getitem__, rest)
             out.append(self.line_feed)
-        if None in out:
+        out.pop()
+        try:
+            return b"".join(out)
+        except TypeError:  # None: a cut that is not certain
             return b"".join(map(self.word_ids.__getitem__, self.split(text)))
-        return b"".join(out[:-1])
 
     def encode(self, text: str) -> bytes:
         if not text:
