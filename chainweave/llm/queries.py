@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, fingerprints, language, near_duplicates, pii, preferences, token_counts, token_files, warc
+from . import alignment, bpe, decontamination, fingerprints, language, near_duplicates, pii, preferences, token_counts, token_files, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": lambda s, d: bpe.digest(table(s, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
     "op9_near_duplicates": lambda s, d: near_duplicates.classes(table(s, d, "documents")),
     "op10_language": lambda s, d: language.identify(table(s, d, "documents")),
+    "op11_alignment": lambda s, d: alignment.digest(table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")),
 }
 
 SQL: dict[str, str] = {"op5_preferences": preferences.REPLIES_SQL}

@@ -69,6 +69,7 @@ class Pieces:
         if spec["normalizer"] or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
             raise ValueError("not a byte-level tokenizer file")
         self.model = Tokenizer.from_str(file).model
+        self.vocabulary: dict[str, int] = spec["model"]["vocab"]
         self.tokenize, self.space = self.model.tokenize, " ".translate(BYTE_LETTERS)
         self.size = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
         self.kind, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
