@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, decontamination, digest_index, fingerprints, language, near_duplicates, pii, preferences, token_counts, token_files, warc
+from . import alignment, bpe, conversation_repair, decontamination, digest_index, fingerprints, language, near_duplicates, pii, preferences, token_counts, token_files, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": lambda s, d: language.identify(table(s, d, "documents")),
     "op11_alignment": lambda s, d: alignment.digest(table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")),
     "op12_copies": lambda s, d: digest_index.copies(table(s, d, "documents")),
+    "op13_conversation_repair": lambda s, d: conversation_repair.digest(table(s, d, "conversations")),
 }
 
-SQL: dict[str, str] = {"op5_preferences": preferences.REPLIES_SQL, "op12_copies": digest_index.COPIES_SQL}
+SQL: dict[str, str] = {"op5_preferences": preferences.REPLIES_SQL, "op12_copies": digest_index.COPIES_SQL, "op13_conversation_repair": conversation_repair.REPAIR_SQL}
