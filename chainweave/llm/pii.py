@@ -3,9 +3,10 @@
 Four base kinds (email, ip, card, phone) are reported wherever their pattern and
 check hold, whatever the context says. The method adds spans of further kinds:
 ``iban`` (mod-97), ``routing`` (weighted mod-10), ``ssn`` (needs a context word),
-``key`` (access keys of a fixed form) and ``secret`` (the value set after a word
-such as password or token, if its characters are as mixed as those of a random
-string). Every span has a score: the kind's prior, raised by a checksum and by
+``key`` (access keys and tokens of a known form, JSON web tokens, private keys in
+PEM) and ``secret`` (the value set after a word such as password or token, or after
+``Bearer``, if its characters are as mixed as those of a random string; values of
+any length, in quotes that close or not). Every span has a score: the kind's prior, raised by a checksum and by
 context words within ``CONTEXT`` code points.
 
 Defined results: a null or empty text has no spans; spans are in code points,
@@ -41,9 +42,17 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 ROUTING = re.compile(r"(?<![0-9])[0-9]{9}(?![0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-KEY = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b")
-# a word that names a secret, a sign that sets it, the value
-SECRET = re.compile(r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?[ \t]{0,4}(?::=|=>|[=:])[ \t]{0,4}(?:[\"'`]([^\s\"'`]{8,512})[\"'`]|([A-Za-z0-9_./+=~-]{8,512}))")
+# access keys and tokens by their beginnings; JSON web tokens
+KEY = re.compile(
+    r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
+    r"|(?<![A-Za-z0-9_-])(?:gh[opsur]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeprs]-[A-Za-z0-9-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35,}"
+    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"
+)
+KEY_BEGINNINGS = ("AKIA", "ASIA", "gh", "glpat-", "xox", "k_", "sk-", "AIza", "eyJ")
+# a private key, also one that is cut off: whole lines of Base64, then the end if it is there
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----(?:\s+[A-Za-z-]{1,40}: [^\n]*)*(?:\s+[A-Za-z0-9+/=]{16,}(?![^\s-]))*(?:(?:\s+[A-Za-z0-9+/=]{1,15})?\s*-----END (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----)?")
+# a word that names a secret, a sign that sets it, the value; or Bearer and a value
+SECRET = re.compile(r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?[ \t]{0,4}(?::=|=>|[=:])[ \t]{0,4}(?:[\"'`]([^\s\"'`]{8,})|([A-Za-z0-9_./+=~-]{8,}))|\b(?i:bearer)[ \t]{1,4}([A-Za-z0-9_./+=~-]{16,})")
 KINDS = ("email", "ip", "card", "phone", "iban", "routing", "ssn", "key", "secret")
 #: Bits a character that a secret's value must have at least.
 MIXED = 2.5
@@ -112,6 +121,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
+_BEARER = re.compile(r"[Bb](?:earer|EARER)[ \t]")
 _UPPER2 = re.compile(r"[A-Z]{2}[0-9]{2}")
 
 
@@ -142,10 +152,12 @@ def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
         for m in SSN.finditer(text):
             if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
                 found.append(("ssn", *m.span(), False))
-        for m in KEY.finditer(text) if "AKIA" in text or "ASIA" in text else ():
+        for m in KEY.finditer(text) if any(b in text for b in KEY_BEGINNINGS) else ():
             found.append(("key", *m.span(), False))
-    for m in SECRET.finditer(text) if "=" in text or ":" in text else ():
-        own = 1 if m[1] else 2
+    for m in PEM.finditer(text) if "PRIVATE KEY-----" in text else ():
+        found.append(("key", *m.span(), False))
+    for m in SECRET.finditer(text) if "=" in text or ":" in text or _BEARER.search(text) else ():
+        own = m.lastindex
         if mixture(m[own]) >= MIXED and _DIGIT.search(m[own]):
             found.append(("secret", *m.span(own), False))
     out = []
