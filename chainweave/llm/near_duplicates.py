@@ -25,10 +25,10 @@ nanoseconds); exact copies cost nothing, since only keys are compared.
 Defined results: ``class_id`` is the smallest doc_id of the class, ``n_links``
 the number of other documents whose similarity is 0.8 or more, copies included.
 A text of fewer than five words is one shingle. A null or wordless text has no
-shingles and no links: its class is itself. A document without an id has class
-null unless a copy has one, and links to its copies only; repeated rows are
-copies of each other; rows of equal id and different text are classed each on
-its own. ``distinct_documents`` keeps of each class one row: the smallest id (a
+shingles and no links: its class is itself. A document without an id is linked
+like any other; a class none of whose documents has an id is null. Repeated rows
+are copies of each other; rows of equal id and different text are compared each by
+its own text, which is found again by id and hash. ``distinct_documents`` keeps of each class one row: the smallest id (a
 missing one comes last), then the smallest key, any one of equal rows; it hands
 all columns through whatever their names. Empty tables give empty results.
 """
@@ -128,14 +128,14 @@ def least_matches(threshold: float, compared: int) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (the set's key), n (its shingles), bands (of copies that one task meets, the first one's only)."""
+    """doc_id, th (the text's hash), k1, k2 (the set's key), n (its shingles), bands (of copies that one task meets, the first one's only)."""
     none, most = np.zeros(0, np.int64), REMEMBERED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             keys, sizes, bands = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 own = shingles(text.as_py())
                 key = set_key(own)
                 bands.append(band_hashes(minhash(own)) if len(own) and key not in seen else none)
@@ -147,11 +147,11 @@ def signatures(docs: DataFrame) -> DataFrame:
             ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
             flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)],
-                names=["doc_id", "k1", "k2", "n", "bands"],
+                [batch.column(0), batch.column(1), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)],
+                names=["doc_id", "th", "k1", "k2", "n", "bands"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, n int, bands array<bigint>")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id bigint, th bigint, k1 bigint, k2 bigint, n int, bands array<bigint>")
 
 
 _BLOCK = "block bigint, chunk int, chunks int, k1 bigint, k2 bigint, rep bigint, copies bigint, sketch binary, hashes binary"
@@ -166,7 +166,7 @@ def _opened(wanted: DataFrame) -> DataFrame:
             columns = [c.to_pylist() for c in batch.columns]
             for k, text in enumerate(columns[7]):
                 own = shingles(text)
-                if set_key(own) == (columns[3][k], columns[4][k]):  # not another text of the same id
+                if set_key(own) == (columns[3][k], columns[4][k]):  # not another text of the same id and hash
                     keep.append(k)
                     sketches.append(minhash(own).tobytes())
                     hashes.append(own.tobytes())
@@ -208,7 +208,7 @@ def _block_links(rows: list[tuple]) -> list[tuple]:
     unique = {}
     for row in rows:
         unique.setdefault((row[5], row[6]), row)
-    rows = sorted(unique.values(), key=lambda r: (r[7], r[5], r[6]))
+    rows = sorted(unique.values(), key=lambda r: (r[7] is None, r[7] or 0, r[5], r[6]))
     whole = rows[0][4] == 1
     sketches = np.frombuffer(b"".join(r[9] for r in rows), np.uint32).reshape(len(rows), HASHES)
     sets = [np.frombuffer(r[10], np.uint64) for r in rows]
@@ -274,11 +274,11 @@ def gathered(stars: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def _blocks(signed: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of the keys that share a band hash with others: k1, k2, rep, copies, block, chunk, chunks."""
+    """Of the keys that share a band hash with others: k1, k2, rep, th, copies, block, chunk, chunks."""
     band = signed.select("k1", F.explode("bands").alias("band"))
     shared = scratch.store(band.groupBy("band").agg(F.min("k1").alias("hub"), F.max("k1").alias("other")).where("hub <> other").select("band", "hub"), "bands")
     blocks = gathered(band.join(shared, "band").select("k1", "hub"), scratch, "hubs")
-    members = scratch.store(keys.where("rep is not null").join(blocks, "k1"), "members")
+    members = scratch.store(keys.join(blocks, "k1"), "members")
     count = F.count("*")
     root = F.when(count > WHOLE_KEYS, F.ceil(F.sqrt(count / CHUNK_ROOT))).otherwise(1)
     chunks = F.greatest(root, F.ceil(count / CHUNK_KEYS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
@@ -290,13 +290,20 @@ def _blocks(signed: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
 def _described(source: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The signatures of all rows, and for each key: k1, k2, copies, links (other keys' rows), head (rep, k1, k2 of its class's first key)."""
     signed = scratch.store(signatures(source), "signatures")
-    keys = scratch.store(signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")), "keys")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("rep"), "th")).alias("first")
+    keys = signed.where("n > 0").groupBy("k1", "k2").agg(first, F.count("*").alias("copies"), F.max("n").alias("n"))
+    keys = scratch.store(keys.select("k1", "k2", "first.rep", "first.th", "copies", "n"), "keys")
     wanted = _blocks(signed, keys, scratch)
-    likely = flagged(source, F.col("doc_id"), wanted.select("rep"), "likely").where("likely and doc_id is not null")
-    texts = wanted.join(likely.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    # a text by its id and hash, once however often the row is repeated
+    likely = flagged(source, F.col("th"), wanted.select("th"), "likely").where("likely")
+    texts = likely.groupBy(F.col("doc_id").alias("own"), F.col("th").alias("hash")).agg(F.any_value("text").alias("text"))
+    texts = wanted.join(texts, F.col("rep").eqNullSafe(F.col("own")) & (F.col("th") == F.col("hash")))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     pairs = _opened(texts).withColumn("other", other).select("block", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "chunks", "k1", "k2", "rep", "copies", "sketch", "hashes")
-    dealt = pairs.repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi")
+    # the pairs of a block's chunks go to tasks in turn, so no two meet before each task has one
+    tasks = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = F.pmod(F.xxhash64("block") + F.col("lo") * F.col("chunks") + F.col("hi"), F.lit(tasks)).cast("int")
+    dealt = pairs.repartitionById(tasks, turn).sortWithinPartitions("block", "lo", "hi")
     found = scratch.store(_verified(dealt), "found")
 
     # classes of blocks that were cut: what hangs together by the chunk pairs' first rows
@@ -305,14 +312,15 @@ def _described(source: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     if not cut.isEmpty():
         tops = gathered(cut.select("k1", F.col("r1").alias("hub")), scratch, "roots")
         sums = scratch.store(cut.groupBy("k1", "k2").agg(F.sum("links").alias("links"), F.min("rep").alias("rep")).join(tops, "k1"), "sums")
-        heads = scratch.store(sums.groupBy("block").agg(F.min(F.struct("rep", "k1", "k2")).alias("head")), "heads")
+        least = F.min(F.struct(F.col("rep").isNull().alias("missing"), F.struct("rep", "k1", "k2").alias("head"))).alias("least")
+        heads = scratch.store(sums.groupBy("block").agg(least).select("block", "least.head"), "heads")
         linked = linked.unionByName(sums.join(heads, "block").select("k1", "k2", "head", "links"))
     described = keys.join(linked, ["k1", "k2"], "left").select("k1", "k2", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("head", F.struct("rep", "k1", "k2")).alias("head"))
     return signed, scratch.store(described, "described")  # stored, so that a key of many copies can be split when it is joined
 
 
 def _source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -341,17 +349,16 @@ def _keyed(docs: DataFrame, k1: str, k2: str) -> DataFrame:
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """One row of each class, with all columns.
 
-    Only rows whose id is that of a row with copies or links are looked at again;
-    their keys are made anew, since an id may have several texts.
+    Only rows whose text's hash is that of a row with copies or links are looked at again.
     """
     bounded_batches(docs.sparkSession)
     names = docs.columns
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     signed, described = _described(_source(docs), scratch)
     several = scratch.store(described.where("copies > 1 or links > 0").select("k1", "k2", "head"), "several")
-    ids = signed.where("n > 0").join(several.select("k1", "k2"), ["k1", "k2"]).select("doc_id")
+    hashes = signed.where("n > 0").join(several.select("k1", "k2"), ["k1", "k2"]).select("th")
     maybe, k1, k2, head, same = fresh(names, "maybe", "k1", "k2", "head", "same")
-    rows = flagged(docs, F.col("doc_id").cast("bigint"), ids, maybe)
+    rows = flagged(docs, F.xxhash64("text"), hashes, maybe)
     keyed = _keyed(rows.where(F.col(maybe)).drop(maybe), k1, k2)
     judged = keyed.join(several.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("head").alias(head)), [k1, k2], "left")
     first = F.col("doc_id").cast("bigint").eqNullSafe(F.col(f"{head}.rep")) & (F.col(k1) == F.col(f"{head}.k1")) & (F.col(k2) == F.col(f"{head}.k2"))
