@@ -5,12 +5,13 @@ texts of some documents and holds, for every word of theirs, the sorted list of
 its positions (postings). Shards are rows of a table in the shared folder, so
 the index is built once, survives lost executors and serves any number of
 searches. ``phrase_hits`` intersects offset-adjusted posting lists, the rarest
-word of a phrase first; ``proximity_hits`` relaxes the offsets to a distance.
+word of a phrase first; ``proximity_hits`` relaxes the offsets to a distance. The ids
+of items are strings, or numbers written as strings.
 
 No word or document is ever moved between executors: postings of a frequent
 word are spread over all shards, so no key can be hot. The phrases are the
-stated query set; they pass the driver in blocks of ``BLOCK_WORDS`` words. One
-block at a time is sent and searched: what it hits is stored and it is let go.
+stated query set; they pass the driver in blocks of ``BLOCK_WORDS`` words. The index
+is read once: a task opens a shard and searches it for one block after the other.
 
 Defined results: a null or empty text has no words and is not contaminated; an
 item without words has no window; repeated documents are each reported; null
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Numbering, Scratch, bounded_batches, flagged, fresh, held, stored, words_of
+from .common import Numbering, bounded_batches, flagged, fresh, held, stored, words_of
 
 WINDOW = 13
 #: Words after which a shard is closed. A longer document has a shard of its own.
@@ -176,30 +177,38 @@ def _blocks(items: DataFrame, window: int) -> Iterator[tuple[list, list[bytes],
         yield block()
 
 
-def _search(index: DataFrame, block, reach: int | None) -> tuple[DataFrame, object]:
-    """The documents' hits, and what was broadcast for them."""
-    shared = index.sparkSession.sparkContext.broadcast(block)
+def _hits(index: DataFrame, items: DataFrame, window: int, reach: int | None, item_id: str, text: str) -> DataFrame:
+    """Per document of the index its hits and items, over all blocks."""
+    bounded_batches(index.sparkSession)
+    context = index.sparkSession.sparkContext
+    blocks = [context.broadcast(block) for block in _blocks(items.select(F.col(item_id).cast("string"), F.col(text)), window)]
     kind = index.schema["doc_ids"].dataType.elementType
-    schema = f"shard string, doc_no int, doc_id {kind.simpleString()}, n_words bigint, hits array<struct<start:bigint,stop:bigint>>, items array<bigint>"
-    types = [pa.string(), pa.int32(), _NAMES[kind], pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.int64())]
+    schema = f"shard string, doc_no int, doc_id {kind.simpleString()}, n_words bigint, hits array<struct<start:bigint,stop:bigint>>, items array<string>"
+    types = [pa.string(), pa.int32(), _NAMES[kind], pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.string())]
+
+    def search(shard: Shard, block, spans: dict[int, set], owners: dict[int, set]) -> None:
+        ids, terms, by_length = block
+        number = shard.numbered(terms)
+        for length, (windows, owner) in by_length.items():
+            which, start = shard.exact(number[windows]) if reach is None else shard.near(number[windows], reach)
+            size = length if reach is None else 1
+            docs = np.searchsorted(shard.bases, start, side="right") - 1
+            for d, s, o in zip(docs.tolist(), (start - shard.bases[docs]).tolist(), owner[which].tolist()):
+                spans.setdefault(d, set()).add((s, s + size))
+                owners.setdefault(d, set()).add(ids[o])
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(("decontamination",), None)
-        ids, terms, by_length = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
                 name, doc_ids, doc_words, vocabulary, starts, postings = (batch.column(k)[row].as_py() for k in range(6))
                 shard = Shard(doc_words, vocabulary, starts, postings)
-                number = shard.numbered(terms)
                 spans: dict[int, set] = {}
                 owners: dict[int, set] = {}
-                for length, (windows, owner) in by_length.items():
-                    which, start = shard.exact(number[windows]) if reach is None else shard.near(number[windows], reach)
-                    size = length if reach is None else 1
-                    docs = np.searchsorted(shard.bases, start, side="right") - 1
-                    for d, s, o in zip(docs.tolist(), (start - shard.bases[docs]).tolist(), owner[which].tolist()):
-                        spans.setdefault(d, set()).add((s, s + size))
-                        owners.setdefault(d, set()).add(o)
+                for block in blocks:
+                    search(shard, block.value, spans, owners)
+                    if len(blocks) > 1:  # a worker holds one at a time; the next use reads it again from the executor's disk
+                        vars(block).pop("_value", None)
                 merged = [[] for _ in doc_ids]
                 for d, pairs in spans.items():
                     for s, e in sorted(pairs):
@@ -207,29 +216,11 @@ def _search(index: DataFrame, block, reach: int | None) -> tuple[DataFrame, obje
                             merged[d][-1]["stop"] = max(e, merged[d][-1]["stop"])
                         else:
                             merged[d].append({"start": s, "stop": e})
-                found = [[ids[o] for o in sorted(owners.get(d, ()))] for d in range(len(doc_ids))]
+                found = [sorted(owners.get(d, ()), key=lambda o: (o is None, o or "")) for d in range(len(doc_ids))]
                 columns = ([name] * len(doc_ids), range(len(doc_ids)), doc_ids, doc_words, merged, found)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=["shard", "doc_no", "doc_id", "n_words", "hits", "items"])
 
-    return index.mapInArrow(hits, schema), shared
-
-
-def _hits(index: DataFrame, items: DataFrame, window: int, reach: int | None, item_id: str, text: str) -> DataFrame:
-    bounded_batches(index.sparkSession)
-    blocks = _blocks(items.select(F.col(item_id).cast("bigint"), F.col(text)), window)
-    whole, _ = _search(index, next(blocks, ([], [], {})), reach)
-    rest, scratch = None, Scratch(index.sparkSession, "hits")
-    for n, block in enumerate(blocks):
-        more, shared = _search(index, block, reach)
-        more = scratch.store(more.where(F.size("hits") > 0), f"block-{n}")
-        shared.unpersist()
-        rest = more if rest is None else rest.unionByName(more)
-    if rest is None:
-        return whole
-    return whole.unionByName(rest).groupBy("shard", "doc_no").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"),
-    )
+    return index.mapInArrow(hits, schema)
 
 
 def phrase_hits(index: DataFrame, items: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -250,7 +241,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id") ->
         F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("upto")),
         lambda a, x: F.struct((a["n"] + F.greatest(x["stop"] - F.greatest(x["start"], a["upto"]), F.lit(0))).alias("n"), F.greatest(a["upto"], x["stop"]).alias("upto")),
     )["n"]
-    names = F.array_sort(F.transform(F.filter(F.array_distinct("items"), lambda x: x.isNotNull()), lambda x: x.cast("string")))
+    names = F.array_sort(F.filter(F.array_distinct("items"), lambda x: x.isNotNull()))
     return found.select(
         "doc_id", "n_words", covered.alias("n_hit"), F.size(F.array_distinct("items")).cast("bigint").alias("n_items"), names.alias("item_names")
     ).select(
