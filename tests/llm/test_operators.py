@@ -495,7 +495,7 @@ def linked(rows):
 
     for a, b in itertools.combinations(range(len(sets)), 2):
         x, y = sets[a][1], sets[b][1]
-        if x and y and len(x & y) >= 0.8 * len(x | y) - 1e-12 and sets[a][0] is not None and sets[b][0] is not None:
+        if x and y and len(x & y) >= 0.8 * len(x | y) - 1e-12:
             links[a] += 1
             links[b] += 1
             u, v = top(a), top(b)
