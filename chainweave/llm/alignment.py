@@ -35,20 +35,22 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import BYTE_LETTERS, SPACES
-from .caching import Cache
 from .common import Scratch, bounded_batches, held
 from .token_files import Pieces
 
 #: Group references after which a segment is closed, and groups that a worker numbers before it starts anew.
 SEGMENT, NUMBERED = 1 << 20, 1 << 20
-#: Entries of each generation of a worker's cache of units.
-CACHED_UNITS = 150_000
+#: Entries of each generation of a worker's cache of units (beyond it by those of one text), and code points of a unit that is kept.
+CACHED_UNITS, LONGEST_UNIT = 250_000, 64
+#: Letters of a regular expression's class.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 class Aligner:
@@ -68,67 +70,93 @@ class Aligner:
         joined = {c for p in pieces for k, c in enumerate(p.replace("▁", " ")) if c in " \n\t" and k and (c != " " or p[k - 1] != "▁")}
         sure = "".join(c for c in " \n\t" if c not in joined)
         odd = "".join(c for c in SPACES if c not in sure)
-        self.units = re.compile(f"[{SPACES}]*[^{SPACES}]+(?:[{odd}][{SPACES}]*[^{SPACES}]+)*(?:[{odd}][{SPACES}]*$)?|[{SPACES}]+").findall
+        unit = f"[{SPACES}]*[^{SPACES}]+(?:[{odd}][{SPACES}]*[^{SPACES}]+)*(?:[{odd}][{SPACES}]*$)?|[{SPACES}]+"
+        # between a letter and a mark A always cuts; B does if no piece has both
+        if "\n" in sure and not any(re.search(f"[{LETTERS}][.,]", p) for p in pieces):
+            unit = f"[{SPACES}]*[{LETTERS}]+(?=[.,])|{unit}"
+        self.units = re.compile(unit).findall
+        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
         self.restart()
 
     def restart(self) -> None:
         self.groups: list[str] = []
-        self.numbers: dict[str, int] = {}
+        #: The groups' numbers: by a << 32 | b for those of two tokens, by their text for others.
+        self.numbers: dict[int | str, int] = {}
         #: For each group its tokens of A and of B, and its distinct links as a << 32 | b.
         self.sizes: list[tuple[int, int]] = []
         self.links: list[bytes] = []
-        self.cache = Cache(self._unit, CACHED_UNITS)
+        self.cache: dict[str, tuple[str, bytes] | None] = {}
+        self.older: dict[str, tuple[str, bytes] | None] = {}
 
-    def ids(self, unit: str) -> tuple[list[int], list[int]]:
-        """The ids of a unit by A and by B. A unit but the first begins with white space."""
+    def a_ids(self, unit: str) -> list[int]:
         rest = unit[1:]
         if rest.isascii() and rest.isalpha() and unit[0] == " ":
-            a = [t.id for t in self.a.tokenize(self.a.space + rest)]
-        else:
-            a = array(self.a.code)
-            a.frombytes(b"".join(map(self.a._word, self.a.split(unit))))
-            a = a.tolist()
-        if unit == " ":  # at the end of a text; B adds no space to nothing
-            return a, [self.space]
-        return a, self.b.encode(rest) if unit[0] == " " else self.b.encode(unit)[1:]
+            return [t.id for t in self.a.tokenize(self.a.space + rest)]
+        ids = array(self.a.code)
+        ids.frombytes(b"".join(map(self.a._word, self.a.split(unit))))
+        return ids.tolist()
+
+    def b_ids(self, units: list[str]) -> list[list[int]]:
+        """B puts a space before what it gets, so that is left out, or cut off again behind a line feed."""
+        cut = [0 if u[0] == " " else 2 if u[0] in ".," else 1 for u in units]
+        ids = self.b.encode([u[1:] if c == 0 else "\n" + u if c == 2 else u for u, c in zip(units, cut)], num_threads=1)
+        # to nothing B adds no space
+        return [[self.space] if u == " " else i[c:] if c else i for u, i, c in zip(units, ids, cut)]
+
+    def _added(self, key: int | str, a: list[int], b: list[int]) -> int:
+        self.numbers[key] = number = len(self.groups)
+        self.groups.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
+        self.sizes.append((len(a), len(b)))
+        self.links.append(array("q", [x << 32 | y for x in set(a) for y in set(b)]).tobytes())
+        return number
 
     def _number(self, a: list[int], b: list[int]) -> int:
-        group = f"{a[0]}|{b[0]}" if len(a) == len(b) == 1 else f"{','.join(map(str, a))}|{','.join(map(str, b))}"
-        number = self.numbers.get(group)
-        if number is None:
-            self.numbers[group] = number = len(self.groups)
-            self.groups.append(group)
-            self.sizes.append((len(a), len(b)))
-            self.links.append(array("q", [x << 32 | y for x in set(a) for y in set(b)]).tobytes())
-        return number
+        key = a[0] << 32 | b[0] if len(a) == len(b) == 1 else f"{a}{b}"
+        number = self.numbers.get(key)
+        return self._added(key, a, b) if number is None else number
 
-    def _unit(self, unit: str) -> tuple[str, bytes] | None:
+    def _unit(self, unit: str, b: list[int]) -> tuple[str, bytes] | None:
         """The unit's groups as text, and their numbers; None if B spells other bytes."""
-        a, b = self.ids(unit)
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
+        b_bytes = self.b_bytes
         if b"".join([b_bytes[i] for i in b]) != unit.encode():
             return None
-        found, i, j, a_from, b_from, a_end, b_end = [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            a_end += len(a_bytes[a[i]])
-            i += 1
-            while b_end < a_end:
-                b_end += len(b_bytes[b[j]])
-                j += 1
-            if a_end == b_end:
-                found.append(self._number(a[a_from:i], b[b_from:j]))
-                a_from, b_from = i, j
-        return ";".join([self.groups[g] for g in found]), array("i", found).tobytes()
+        a = self.a_ids(unit)
+        a_sizes, b_sizes = self.a_sizes, self.b_sizes
+        a_ends, b_ends = list(accumulate([a_sizes[i] for i in a])), list(accumulate([b_sizes[i] for i in b]))
+        number = self._number
+        if a_ends == b_ends:
+            found = [number([x], [y]) for x, y in zip(a, b)]
+        else:
+            found, j, a_from, b_from = [], 0, 0, 0
+            for i, end in enumerate(a_ends, 1):
+                while b_ends[j] < end:
+                    j += 1
+                if b_ends[j] == end:
+                    j += 1
+                    found.append(number(a[a_from:i], b[b_from:j]))
+                    a_from, b_from = i, j
+        groups = self.groups
+        return ";".join([groups[g] for g in found]), array("i", found).tobytes()
 
     def align(self, text: str | None) -> tuple[str, np.ndarray] | None:
         """The text's groups as text, and their numbers; None if it has no tokens."""
         if not text:
             return None
-        cached = self.cache
-        found = [cached[u] for u in self.units(" " + text)]
+        units, cache, older = self.units(" " + text), self.cache, self.older
+        missing = set(units).difference(cache)
+        new = [u for u in missing if u not in older]
+        cache.update((u, older[u]) for u in missing.difference(new))
+        cache.update((u, self._unit(u, b)) for u, b in zip(new, self.b_ids(new)))
+        found = list(map(cache.__getitem__, units))
+        for u in new:
+            if len(u) > LONGEST_UNIT:
+                del cache[u]
+        if len(cache) >= CACHED_UNITS:
+            self.cache, self.older = {}, cache
         if None in found:  # a change of bytes in one unit is one of the whole
             return None
-        return ";".join([f[0] for f in found]), np.frombuffer(b"".join([f[1] for f in found]), np.int32)
+        spelled, numbers = zip(*found)
+        return ";".join(spelled), np.frombuffer(b"".join(numbers), np.int32)
 
 
 _SEGMENT = [
