@@ -1,104 +1,11 @@
-"""Inference that is sequential or iterative within a document.
-
-Every operator groups by document; a document's mentions meet in one task and
-nothing else does. Sums over documents and parameters stay relational.
-"""
+"""Latent properties and features of partial clusters."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import agreement_bucket, smoothed_choice
 
-ROUNDS = 5
-
-
-def agreement_grid(size: int, weight: float = 1.0, kind: str = "agree") -> np.ndarray:
-    """Potentials of a pair of property values (L10): ``agree`` favours equal ones, ``half`` by half, ``empty`` none."""
-    w = {"agree": weight, "half": weight / 2, "empty": 0.0}[kind]
-    return np.exp(w * np.eye(size))
-
-
-def _normal(x: np.ndarray, axis: int = -1) -> np.ndarray:
-    total = x.sum(axis=axis, keepdims=True)
-    return np.divide(x, total, out=np.full_like(x, 1.0 / x.shape[axis]), where=total > 0)
-
-
-def propagate(scores: list[np.ndarray], antecedents: list[np.ndarray], unary: np.ndarray, grid: np.ndarray, rounds: int = ROUNDS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Loopy sum-product over a document (L7-L9): antecedent marginals of each mention, and property beliefs.
-
-    A mention has an antecedent variable, with potentials exp(score), and a
-    property variable, with the unary potentials. A factor for each pair (m, a)
-    multiplies by ``grid`` of both properties if a is chosen, by 1 if not.
-    Messages are of probabilities, normalised; constant messages are sent once.
-    """
-    n, k = unary.shape
-    prior = [_normal(np.exp(s - s.max())) for s in scores]
-    # all choices in one row, mention after mention; links are those that choose another mention
-    owner = np.repeat(np.arange(n), [len(x) for x in antecedents])
-    chosen = np.concatenate(antecedents).astype(int) if n else np.zeros(0, int)
-    link = np.flatnonzero(chosen != owner)
-    m, a, p = owner[link], chosen[link], np.concatenate(prior)[link] if n else np.zeros(0)
-    other = np.concatenate(prior)[chosen == owner] if n else np.zeros(0)
-    rest = np.zeros(n)
-    rest[owner[chosen == owner]] = other
-    to_m, to_a, to_choice = np.full((len(link), k), 1.0 / k), np.full((len(link), k), 1.0 / k), np.ones(len(link))
-    unary = np.log(np.maximum(_normal(unary.astype(float)), 1e-300))
-
-    def beliefs() -> np.ndarray:
-        total = unary.copy()
-        np.add.at(total, m, np.log(to_m))
-        np.add.at(total, a, np.log(to_a))
-        return total
-
-    def cavity(total: np.ndarray, message: np.ndarray) -> np.ndarray:
-        x = total - np.log(message)
-        return _normal(np.exp(x - x.max(1, keepdims=True)))
-
-    for _ in range(rounds):
-        total = beliefs()
-        at_m, at_a = cavity(total[m], to_m), cavity(total[a], to_a)
-        weight = p * to_choice
-        q = p / (rest[m] + np.bincount(m, weight, n)[m] - weight + p)  # without the link's own message
-        q = q[:, None]
-        to_choice = np.einsum("lx,xy,ly->l", at_m, grid, at_a)
-        to_m = _normal(q * (at_a @ grid.T) + 1 - q)
-        to_a = _normal(q * (at_m @ grid) + 1 - q)
-    total = beliefs()
-    if not np.isfinite(total).all():
-        raise FloatingPointError("a message is not a number")
-    factor = np.ones(len(owner))
-    factor[link] = to_choice
-    ends = np.cumsum([len(x) for x in antecedents])[:-1]
-    return [_normal(x * c) for x, c in zip(prior, np.split(factor, ends))], _normal(np.exp(total - total.max(1, keepdims=True)))
-
-
-def belief_marginals(pairs: DataFrame, properties: DataFrame, size: int, weight: float = 1.0, rounds: int = ROUNDS) -> DataFrame:
-    """doc_key, m, a, marginal with agreement of a latent property.
-
-    ``pairs``: doc_key, m, a (a = m: new), score; ``properties``: doc_key,
-    ment_idx, posterior array<double> (G7), see ``smoothed_choice``.
-    """
-    own = properties.select("doc_key", F.col("ment_idx").alias("m"), "posterior")
-    rows = pairs.select("doc_key", "m", "a", "score").join(own, ["doc_key", "m"])
-    grid = agreement_grid(size, weight)
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["m", "a"])
-        names = rows["m"].unique()
-        place = {m: i for i, m in enumerate(names)}
-        groups = [g for _, g in rows.groupby("m", sort=True)]
-        ante = [np.array([place.get(a, -1) for a in g["a"]]) for g in groups]
-        keep = [x >= 0 for x in ante]
-        found, _ = propagate([g["score"].to_numpy()[k] for g, k in zip(groups, keep)], [x[k] for x, k in zip(ante, keep)], np.stack([np.asarray(g["posterior"].iloc[0], float) for g in groups]), grid, rounds)
-        out = [pd.DataFrame({"doc_key": key[0], "m": g["m"][k], "a": g["a"][k], "marginal": p}) for g, k, p in zip(groups, keep, found)]
-        return pd.concat(out)
-
-    kind = pairs.schema["doc_key"].dataType.simpleString()
-    return rows.groupBy("doc_key").applyInPandas(run, f"doc_key {kind}, m bigint, a bigint, marginal double")
-
 
 def phi_posteriors(mentions: DataFrame, value: str, values: list[str], confidence: float = 0.75) -> DataFrame:
     """doc_key, ment_idx, posterior: mostly the known value, uniform if it is unknown."""
@@ -106,11 +13,6 @@ def phi_posteriors(mentions: DataFrame, value: str, values: list[str], confidenc
     return mentions.select("doc_key", "ment_idx", smoothed_choice(F.when(place >= 0, place.cast("int")), len(values), confidence).alias("posterior"))
 
 
-def best_value(posterior: str):
-    """The place of the largest probability, the first of equals."""
-    return F.array_position(posterior, F.array_max(posterior)) - 1
-
-
 def entity_features(mentions: DataFrame, clusters: DataFrame, properties: list[str]) -> DataFrame:
     """Per mention and earlier cluster of its document, how many members agree with it in each property.
 
@@ -122,72 +24,3 @@ def entity_features(mentions: DataFrame, clusters: DataFrame, properties: list[s
     both = m.join(member, (F.col("doc_key") == F.col("d")) & (F.col("c_ment_idx") < F.col("m_ment_idx")))
     counts = both.groupBy("doc_key", F.col("m_ment_idx").alias("m"), "cluster_id").agg(F.count("*").alias("size"), *(F.count_if(F.col(f"m_{p}") == F.col(f"c_{p}")).alias(p) for p in properties))
     return counts.select("doc_key", "m", "cluster_id", "size", *(F.concat(F.lit(f"{p}="), agreement_bucket(F.col(p), F.col("size"))).alias(p) for p in properties))
-
-
-def entity_mention_decode(mentions: DataFrame, properties: list[str], weights: dict[str, float], new_score: float = 0.0) -> DataFrame:
-    """Left to right, each mention joins the partial cluster of the largest summed feature weight, or starts one.
-
-    Features are ``property=bucket``; a mention links to its cluster's last member.
-    """
-
-    def bucket(agree: int, n: int) -> str:
-        if n <= 2:
-            return f"{agree}/{n}"
-        return "NONE" if agree == 0 else "ALL" if agree == n else "MANY" if 2 * agree > n else "AL1"
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[dict] = []
-        out = []
-        for m, *values in rows.sort_values("ment_idx")[["ment_idx", *properties]].itertuples(index=False):
-            best, chosen = new_score, None
-            for c in clusters:
-                score = sum(weights.get(f"{p}={bucket(c['counts'][p].get(v, 0), c['n'])}", 0.0) for p, v in zip(properties, values))
-                if score > best:
-                    best, chosen = score, c
-            if chosen is None:
-                chosen = {"n": 0, "counts": {p: {} for p in properties}, "last": m}
-                clusters.append(chosen)
-            out.append((key[0], m, chosen["last"], float(best)))
-            chosen["n"] += 1
-            chosen["last"] = m
-            for p, v in zip(properties, values):
-                chosen["counts"][p][v] = chosen["counts"][p].get(v, 0) + 1
-        return pd.DataFrame(out, columns=["doc_key", "m", "a", "score"])
-
-    kind = mentions.schema["doc_key"].dataType.simpleString()
-    return mentions.select("doc_key", "ment_idx", *properties).groupBy("doc_key").applyInPandas(run, f"doc_key {kind}, m bigint, a bigint, score double")
-
-
-def viterbi(emissions: np.ndarray, labels: list[str], transitions: np.ndarray | None = None) -> list[str]:
-    """The best label sequence; an I-x may follow only B-x or I-x."""
-    n = len(labels)
-    step = np.zeros((n, n)) if transitions is None else transitions.astype(float).copy()
-    start = np.zeros(n)
-    for j, to in enumerate(labels):
-        if to.startswith("I-"):
-            start[j] = -np.inf
-            for i, before in enumerate(labels):
-                if before[2:] != to[2:] or before == "O":
-                    step[i, j] = -np.inf
-    best, back = start + emissions[0], []
-    for row in emissions[1:]:
-        through = best[:, None] + step
-        back.append(through.argmax(0))
-        best = through.max(0) + row
-    at = int(best.argmax())
-    path = [at]
-    for b in reversed(back):
-        at = int(b[at])
-        path.append(at)
-    return [labels[k] for k in reversed(path)]
-
-
-def tag_sequences(emissions: DataFrame, labels: list[str]) -> DataFrame:
-    """doc_key, sent_idx, tok_idx, bio: the best sequence of each sentence. ``emissions``: scores array<double> in order of labels."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("tok_idx")
-        return pd.DataFrame({"doc_key": key[0], "sent_idx": key[1], "tok_idx": rows["tok_idx"], "bio": viterbi(np.stack(rows["scores"].to_numpy()), labels)})
-
-    kind = emissions.schema["doc_key"].dataType.simpleString()
-    return emissions.groupBy("doc_key", "sent_idx").applyInPandas(run, f"doc_key {kind}, sent_idx bigint, tok_idx bigint, bio string")

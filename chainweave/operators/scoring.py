@@ -1,9 +1,7 @@
-"""Scores of pairs, antecedent choice and decoding."""
+"""Scores of pairs, antecedent choice and decoding."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import components
@@ -81,37 +79,6 @@ def expected_counts(pairs: DataFrame, gold: str = "gold_marginal") -> DataFrame:
     return each.groupBy("feat_idx").agg(F.sum("d").alias("gradient"))
 
 
-def left_to_right(pairs: DataFrame) -> DataFrame:
-    """Clusters built left to right (C5, G9): a mention joins the cluster of the largest summed probability,
-    linking to its last member, or starts one if that is strictly likelier. One document is one task's group."""
-
-    def decode(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        cluster: dict[int, int] = {}
-        members: list[int] = []
-        out = []
-        for m, own in rows.sort_values(["m", "a"]).groupby("m", sort=True):
-            chance: dict[int, float] = {}
-            new = 0.0
-            for a, p in zip(own["a"], own["marginal"]):
-                if a == m:
-                    new = p
-                elif a in cluster:
-                    chance[cluster[a]] = chance.get(cluster[a], 0.0) + p
-            best = max(chance, key=lambda c: (chance[c], -c), default=None)
-            if best is None or new > chance[best]:
-                best, a = len(members), m
-                members.append(m)
-            else:
-                a = members[best]
-                members[best] = m
-            cluster[m] = best
-            out.append((key[0], m, a))
-        return pd.DataFrame(out, columns=["doc_key", "m", "a"])
-
-    kind = pairs.schema["doc_key"].dataType.simpleString()
-    return pairs.select("doc_key", "m", "a", "marginal").groupBy("doc_key").applyInPandas(decode, f"doc_key {kind}, m bigint, a bigint")
-
-
 def antecedent_accuracy(chosen: DataFrame, gold: DataFrame) -> DataFrame:
     """Share of anaphoric mentions whose chosen antecedent is a gold one."""
     marks = gold.where("coreferent").select("doc_key", "m", "a", F.lit(1).alias("right"))

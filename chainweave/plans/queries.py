@@ -426,18 +426,6 @@ def antecedent_accuracy(s, d):
     return scoring.antecedent_accuracy(proxy.choices(s, d), proxy.scored_pairs(s, d)).withColumn("accuracy", six(F.col("accuracy")))
 
 
-@query("l2r_marginal_decode")
-def l2r_marginal_decode(s, d):
-    return scoring.left_to_right(scoring.marginals(proxy.scored_pairs(s, d, diagonal=True)))
-
-
-@query("bp_marginals")
-def bp_marginals(s, d):
-    posteriors = inference.phi_posteriors(proxy.mentions(s, d), "gender", ["MALE", "FEMALE", "NEUTRAL"])
-    found = inference.belief_marginals(proxy.scored_pairs(s, d, diagonal=True), posteriors, 3)
-    return found.withColumn("marginal", six(F.col("marginal")))
-
-
 @query("entity_features", FU + """, labelled as (select m.doc_key, m.ment_idx, m.number, m.gender, c.key_id from mentions m join clusters c using (doc_key, ment_idx)),
 counts as (select x.doc_key, x.ment_idx as m, y.key_id as cluster_id, count(*) as size, count(*) filter (where x.number = y.number) as n, count(*) filter (where x.gender = y.gender) as g from labelled x join labelled y on x.doc_key = y.doc_key and y.ment_idx < x.ment_idx group by 1, 2, 3)
 select doc_key, m, cluster_id, size, """ + ", ".join(f"'{name}=' || case when size <= 2 then {c} || '/' || size when {c} = 0 then 'NONE' when {c} = size then 'ALL' when 2 * {c} > size then 'MANY' else 'AL1' end as {name}" for name, c in (("number", "n"), ("gender", "g"))) + " from counts")
@@ -446,12 +434,6 @@ def entity_features(s, d):
     return inference.entity_features(m.select("doc_key", "ment_idx", "number", "gender"), proxy.key_clusters(m), ["number", "gender"])
 
 
-@query("entity_mention_decode")
-def entity_mention_decode(s, d):
-    weights = {"head=1/1": 3.0, "head=2/2": 3.0, "head=ALL": 3.0, "gender=0/1": -1.0, "number=0/1": -1.0}
-    return inference.entity_mention_decode(proxy.mentions(s, d).withColumn("head", F.lower("head")), ["head", "gender", "number"], weights)
-
-
 @query("mlp_score")
 def mlp_score(s, d):
     from ..operators.learning import SparseMlp, scored_vectors

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from chainweave.operators import inference, learning
+from chainweave.operators import learning, sequential
 
 
 def document(rng, n=8, groups=3):
@@ -12,19 +12,10 @@ def document(rng, n=8, groups=3):
     return learning.Document(np.array([[f, 2 + k % 3] for k, f in enumerate(first)]), np.array([[int(same(m, a)), 2] for m in range(n) for a in range(m)]), c)
 
 
-def test_viterbi_forbids_stray_inside():
+def test_best_sequence_forbids_stray_inside():
     labels = ["O", "B-X", "I-X"]
     scores = np.array([[0.0, 0.1, 5.0], [0.0, 0.0, 5.0], [3.0, 0.0, 0.0]])
-    assert inference.viterbi(scores, labels) == ["B-X", "I-X", "O"]
-
-
-def test_propagation_prefers_agreement():
-    scores, antecedents = [np.zeros(1), np.zeros(2), np.zeros(3)], [np.array([0]), np.array([0, 1]), np.array([0, 1, 2])]
-    unary = np.array([[0.9, 0.1], [0.1, 0.9], [0.9, 0.1]])
-    found, beliefs = inference.propagate(scores, antecedents, unary, inference.agreement_grid(2, 2.0))
-    assert found[2][0] > found[2][1] and all(abs(p.sum() - 1) < 1e-9 for p in found)
-    even, _ = inference.propagate(scores, antecedents, unary, inference.agreement_grid(2, 2.0, "empty"))
-    assert np.allclose(even[2], 1 / 3)
+    assert sequential.best_sequence(scores, labels) == ["B-X", "I-X", "O"]
 
 
 def test_lstm_gradient():
