@@ -3,15 +3,19 @@
 Both clusterings are rows of doc_key, mention, cluster_id; a mention is whatever
 identifies it in its document. One full join on (doc_key, mention) and one
 grouping by pairs of clusters carry every metric but the alignments, which solve
-an assignment for each document in Python.
+an assignment for each block of clusters that overlap.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from heapq import heappop, heappush
+from math import inf
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import Scratch
+from .components import components
 from .pairs import with_prf
 
 PARTS = ["r_num", "r_den", "p_num", "p_den"]
@@ -88,55 +92,67 @@ def blanc_scores(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"recall": pick(0), "precision": pick(1), "f1": pick(2)})
 
 
-def best_assignment(gain: np.ndarray) -> float:
-    """The largest sum of one-to-one gains (shortest augmenting paths with potentials)."""
-    if gain.shape[0] > gain.shape[1]:
-        gain = gain.T
-    n, m = gain.shape
-    cost = -gain.astype(float)
-    rows, columns = np.zeros(n + 1), np.zeros(m + 1)
-    owner = np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        owner[0], at = i, 0
-        least, back, done = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while owner[at]:
-            done[at] = True
-            slack = cost[owner[at] - 1] - rows[owner[at]] - columns[1:]
-            better = ~done[1:] & (slack < least[1:])
-            least[1:][better] = slack[better]
-            back[1:][better] = at
-            free = np.where(done[1:], np.inf, least[1:])
-            nxt = int(free.argmin()) + 1
-            step = free[nxt - 1]
-            rows[owner[done]] += step
-            columns[done] -= step
-            least[~done] -= step
-            at = nxt
-        while at:
-            owner[at] = owner[back[at]]
-            at = back[at]
-    return float(sum(gain[owner[j] - 1, j - 1] for j in range(1, m + 1) if owner[j]))
+def best_assignment(edges: list[tuple]) -> float:
+    """The largest sum of gains of edges (k, r, gain > 0) of which no two meet: shortest augmenting paths, with potentials,
+    over the edges there are. Every k may also stay alone, at no gain, so only edges and ends are held."""
+    near, alone = {}, object()
+    for k, r, gain in edges:
+        near.setdefault(k, []).append((r, -gain))
+    price, value, owner, held = {}, {}, {}, {}  # of columns, of rows; the row that has a column, and the column it has
+    for start, own in near.items():
+        value[start] = min(0.0, min(c - price.get(r, 0.0) for r, c in own))
+        reached, back, done, heap, at, far, n = {}, {}, {}, [], start, 0.0, 0
+        while True:
+            for r, c in (*near[at], ((alone, at), 0.0)):
+                d = far + c - value[at] - price.get(r, 0.0)
+                if r not in done and d < reached.get(r, inf):  # rounding may seem to improve what is settled
+                    reached[r], back[r], n = d, at, n + 1
+                    heappush(heap, (d, n, r))
+            far, _, end = heappop(heap)
+            while far > reached[end] or end in done:  # an older way to it
+                far, _, end = heappop(heap)
+            if end not in owner:
+                break
+            done[end] = True
+            at = owner[end]
+        value[start] += far
+        for r in done:
+            value[owner[r]] += far - reached[r]
+            price[r] = price.get(r, 0.0) + reached[r] - far
+        while end is not None:
+            k = back[end]
+            owner[end], held[k], end = k, end, held.get(k)
+    gains = {(k, r): -c for k, own in near.items() for r, c in own}
+    return float(sum(gains.get((k, r), 0.0) for r, k in owner.items()))
 
 
 def ceaf(shared: DataFrame, entity: bool) -> DataFrame:
-    """The best one-to-one alignment of clusters by shared mentions (M3), or by their share (M4, ``entity``)."""
-
-    def align(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        k, r = rows.dropna(subset=["k"]), rows.dropna(subset=["r"])
-        k_size, r_size = k.groupby("k")["n"].sum(), r.groupby("r")["n"].sum()
-        gain = np.zeros((len(k_size), len(r_size)))
-        both = k.dropna(subset=["r"])
-        if len(both):
-            at, bt = k_size.index.get_indexer(both["k"]), r_size.index.get_indexer(both["r"])
-            n = both["n"].to_numpy(float)
-            gain[at, bt] = 2 * n / (k_size.to_numpy()[at] + r_size.to_numpy()[bt]) if entity else n
-        # clusters that share nothing can't gain; the others' alignment is smaller
-        best = best_assignment(gain[gain.any(1)][:, gain.any(0)]) if gain.any() else 0.0
-        sizes = (len(k_size), len(r_size)) if entity else (k_size.sum(), r_size.sum())
-        return pd.DataFrame({"doc_key": [key[0]], "r_num": [best], "r_den": [float(sizes[0])], "p_num": [best], "p_den": [float(sizes[1])]})
+    """The best one-to-one alignment of clusters by shared mentions (M3), or by their share (M4, ``entity``).
 
+    A pair of clusters that share mentions with each other only is aligned. What is left hangs together in blocks, the
+    components of the graph of overlaps, and no alignment crosses blocks: each is solved alone, from its overlaps.
+    """
+    s = _sized(shared)
+    both = s.where("k is not null and r is not null").withColumn("gain", 2 * F.col("n") / (F.col("k_size") + F.col("r_size")) if entity else F.col("n").cast("double"))
+    degree = lambda c: F.count("*").over(Window.partitionBy("doc_key", c))
+    scratch = Scratch(shared.sparkSession, "ceaf")
+    edges = scratch.store(both.select("doc_key", "k", "r", "gain", ((degree("k") == 1) & (degree("r") == 1)).alias("apart")), "edges")
+    node = lambda side, c: F.struct("doc_key", F.lit(side).alias("side"), F.col(c).cast("string").alias("id"))
+    left = edges.where("not apart").withColumns({"x": node("k", "k"), "y": node("r", "r")})
+    blocks = components(left.select("x", "y"), "x", "y")
+    placed = left.join(blocks.withColumnRenamed("node", "x"), "x").select("doc_key", F.xxhash64("component").alias("block"), F.xxhash64("k").alias("k"), F.xxhash64("r").alias("r"), "gain")
     kind = shared.schema["doc_key"].dataType.simpleString()
-    return shared.groupBy("doc_key").applyInPandas(align, f"doc_key {kind}, r_num double, r_den double, p_num double, p_den double")
+
+    def align(key: tuple, rows: pa.Table) -> pa.Table:
+        best = best_assignment(list(zip(*(rows[c].to_pylist() for c in ("k", "r", "gain")))))
+        return pa.table({"doc_key": rows["doc_key"].slice(0, 1), "best": pa.array([best])})
+
+    solved = placed.groupBy("doc_key", "block").applyInArrow(align, f"doc_key {kind}, best double")
+    best = solved.unionByName(edges.where("apart").select("doc_key", F.col("gain").alias("best"))).groupBy("doc_key").agg(F.sum("best").alias("best"))
+    count = lambda c: F.count_distinct(c) if entity else F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("n"))), F.lit(0))
+    dens = shared.groupBy("doc_key").agg(count("k").cast("double").alias("r_den"), count("r").cast("double").alias("p_den"))
+    num = F.coalesce("best", F.lit(0.0))
+    return dens.join(best, "doc_key", "left").select("doc_key", num.alias("r_num"), "r_den", num.alias("p_num"), "p_den")
 
 
 def scored(parts: DataFrame) -> DataFrame:
