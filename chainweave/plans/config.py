@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterable
+from dataclasses import dataclass, field, fields
 
 
 @dataclass(frozen=True)
@@ -13,8 +14,9 @@ class Options:
     bilexical_cutoff: int = 10
     pruning: str = "distance:10000:5000"
     second_pruning: str = "c2flogratio:2"
-    feature_sets: str = "FINAL+anaphoricity+pair"
-    conjunction: str = "canonical"
+    feature_sets: str = "SURFACE"
+    fine_feature_sets: str = "+FINAL"
+    conjunction: str = "CANONICAL"
     epochs: int = 20
     rate: float = 1.0
     l1: float = 0.001
@@ -24,6 +26,29 @@ class Options:
     wrong_link: float = 1.0
     language: str = "english"
 
+    @classmethod
+    def bound(cls, arguments: Iterable[str]) -> Options:
+        """From ``-name value`` pairs and ``name=value`` strings (S18); a later one wins, an unknown name is an error."""
+        kinds, found, waiting = {f.name: type(f.default) for f in fields(cls)}, {}, None
+        for word in arguments:
+            if waiting is None and "=" in word:
+                name, _, value = word.lstrip("-").partition("=")
+            elif waiting is None and word.startswith("-"):
+                waiting = word.lstrip("-")
+                continue
+            else:
+                name, value, waiting = waiting, word, None
+            if name not in kinds:
+                raise ValueError(f"no option {name!r}; there are {', '.join(kinds)}")
+            found[name] = kinds[name](value)
+        if waiting is not None:
+            raise ValueError(f"no value for {waiting!r}")
+        return cls(**found)
+
+    @property
+    def pack(self) -> LanguagePack:
+        return LANGUAGES[self.language]
+
 
 @dataclass(frozen=True)
 class LanguagePack:

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import chainweave.plans.inference_queries  # noqa: F401
+import chainweave.plans.joint_queries  # noqa: F401
 import chainweave.plans.queries  # noqa: F401
 import chainweave.plans.span_queries  # noqa: F401
 from chainweave.plans.registry import QUERIES, SQL
