@@ -16,7 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..storage import stored
+from ..storage import Scratch
+from .pairs import by_strategy
 from .scoring import expected_counts, linear_scores, marginals
 
 # -- the log-linear model, relational ----------------------------------------
@@ -45,25 +46,45 @@ def train_log_linear(pairs: DataFrame, epochs: int = 20, rate: float = 1.0, l1:
     """feat_idx, weight, squares. ``pairs``: doc_key, m, a, feats array<int>, coreferent, loss.
 
     Scores are loss-augmented in training, as in the sequential trainer; each
-    epoch's weights are stored, so the plan does not grow.
+    epoch's weights are stored, so the plan does not grow, and the ones before removed.
     """
-    spark = pairs.sparkSession
+    spark, scratch = pairs.sparkSession, Scratch(pairs.sparkSession, "log-linear")
     weights = spark.createDataFrame([], "feat_idx int, weight double, squares double")
     keys = ["doc_key", "m", "a"]
-    for _ in range(epochs):
+    for k in range(epochs):
         scores = linear_scores(pairs, weights.select("feat_idx", "weight"))
         augmented = pairs.join(scores, keys).withColumn("score", F.col("score") + F.col("loss"))
-        weights = stored(adagrad_step(weights, expected_counts(gold_marginals(marginals(augmented))), rate, l1))
+        weights = scratch.store(adagrad_step(weights, expected_counts(gold_marginals(marginals(augmented))), rate, l1), f"weights-{k}")
+        scratch.drop(f"weights-{k - 1}") if k else None
     return weights
 
 
-def train_in_two_passes(coarse: DataFrame, fine: Callable[[DataFrame], DataFrame], epochs: int = 20, ratio: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """Coarse weights prune the pairs, ``fine`` featurizes what is left, fine weights are trained."""
-    from .pairs import log_ratio_pruned
+@dataclass(frozen=True)
+class TwoPasses:
+    """Weights of both passes, and the pairs with what the first one thinks of them: score, pruned."""
 
-    first = train_log_linear(coarse, epochs)
-    left = stored(log_ratio_pruned(linear_scores(coarse, first.select("feat_idx", "weight")), ratio).select("doc_key", "m", "a"))
-    return first, train_log_linear(fine(left), epochs)
+    coarse: DataFrame
+    fine: DataFrame
+    pairs: DataFrame
+
+
+def train_in_two_passes(coarse: DataFrame, fine: Callable[[DataFrame], DataFrame], strategy: str = "c2flogratio:2", epochs: int = 20, rate: float = 1.0, l1: float = 0.001) -> TwoPasses:
+    """Coarse weights prune the pairs, ``fine`` featurizes what is left with its own index, fine weights are trained.
+
+    ``coarse``: as ``train_log_linear`` takes it. ``fine`` gets doc_key, m, a, coreferent, loss of the pairs that stay and
+    returns them with feats. Every mention keeps its best pair. What a pass reads is stored once and removed after it.
+    """
+    scratch = Scratch(coarse.sparkSession, "two-passes")
+    coarse = scratch.store(coarse, "coarse")
+    first = train_log_linear(coarse, epochs, rate, l1)
+    keys = ["doc_key", "m", "a"]
+    scored = scratch.store(coarse.join(linear_scores(coarse, first.select("feat_idx", "weight")), keys).select(*keys, "coreferent", "loss", "score"), "scored")
+    kept = scratch.store(by_strategy(scored, strategy).select(*keys, F.lit(False).alias("pruned")), "kept")
+    pairs = scored.join(kept, keys, "left").withColumn("pruned", F.coalesce("pruned", F.lit(True)))
+    featurized = scratch.store(fine(pairs.where("not pruned").select(*keys, "coreferent", "loss")), "fine")
+    second = train_log_linear(featurized, epochs, rate, l1)
+    scratch.close("scored", "kept")
+    return TwoPasses(first, second, pairs)
 
 
 def binary_gradient(pairs: DataFrame, negative_weight: float = 1.0) -> DataFrame:

@@ -47,9 +47,10 @@ def by_strategy(pairs: DataFrame, strategy: str) -> DataFrame:
 
 
 def log_ratio_pruned(pairs: DataFrame, ratio: float = 2.0) -> DataFrame:
-    """Pairs whose score is within ``ratio`` of their mention's best: the best always stays."""
-    best = F.max("score").over(Window.partitionBy("doc_key", "m"))
-    return pairs.withColumn("best", best).where(F.col("score") + ratio >= F.col("best")).drop("best")
+    """Pairs whose score is within ``ratio`` of their mention's best, at nine digits: the best always stays."""
+    own = F.round("score", 9)
+    best = F.max(own).over(Window.partitionBy("doc_key", "m"))
+    return pairs.withColumn("best", best).where(own + ratio >= F.col("best")).drop("best")
 
 
 def chart(pairs: DataFrame, kept: DataFrame) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..operators import joint, learning, lexical, pairs as P
-from ..operators.scoring import linear_scores
 from ..storage import Scratch
 from . import proxy, queries as base
 from .config import Options
@@ -156,3 +155,82 @@ def joint_final(s, d):
 @query("joint_gates", _sql(GATES, None))
 def joint_gates(s, d):
     return _told(featurized(s, d, Options.bound([f"feature_sets={GATES}", "conjunction=NONE"])))
+
+
+# -- training the log-linear model ---------------------------------------------------------
+
+COARSE = F.array(F.least(F.col("m") - F.col("a"), F.lit(10)).cast("int"), F.when(F.col("m_head") == F.col("a_head"), 20).otherwise(21), F.when(F.col("a") == F.col("m"), 30).otherwise(31))
+COARSE_SQL = "[least(m - a, 10), case when m_head = a_head then 20 else 21 end, case when a = m then 30 else 31 end]"
+_RIGHT = "coreferent or (a = m and not anaphoric)"
+
+
+def _training_pairs(s, d):
+    p = base._with_loss(s, d)
+    return p.withColumn("coreferent", F.expr(_RIGHT)).select("doc_key", "m", "a", COARSE.alias("feats"), "coreferent", "loss", "response_link", (F.col("m_sent_idx") - F.col("a_sent_idx")).alias("apart"))
+
+
+def _step_sql(rows: str, out: str) -> str:
+    """One epoch from weights of 0: scores are the losses; gradient, AdaGrad step, soft threshold."""
+    return f"""{out}_e as (select *, exp(loss - max(loss) over (partition by doc_key, m)) as e from {rows}),
+{out}_p as (select *, e / sum(e) over (partition by doc_key, m) as p, case when ok then e / sum(e) filter (where ok) over (partition by doc_key, m) else 0 end as g from {out}_e),
+{out}_g as (select cast(f as integer) as feat_idx, sum(g - p) as g from (select unnest(feats) as f, g, p from {out}_p) x group by 1),
+{out} as (select feat_idx, sign(g) * greatest(abs(g) / (1 + abs(g)) - 0.001 / (1 + abs(g)), 0) as weight from {out}_g)"""
+
+
+ROWS_SQL = base.PR + f", {base._WITH_LOSS}, rows as (select doc_key, m, a, loss, {_RIGHT} as ok, {COARSE_SQL} as feats, response_link, m_sent_idx - a_sent_idx as apart from costs), " + _step_sql("rows", "weights")
+
+
+@query("adagrad_epoch", ROWS_SQL + " select feat_idx, round(weight, 6) as weight from weights")
+def adagrad_epoch(s, d):
+    scratch = Scratch(s, "pairs")
+    return learning.train_log_linear(scratch.store(_training_pairs(s, d), "pairs"), epochs=1).select("feat_idx", F.round("weight", 6).alias("weight"))
+
+
+def _two_passes(s, d):
+    scratch = Scratch(s, "pairs")
+    every = scratch.store(_training_pairs(s, d), "pairs")
+    more = F.array(F.least("apart", F.lit(5)).cast("int") + 40, F.when(F.col("response_link"), 50).otherwise(51))
+
+    def fine(left):
+        return left.join(every.select("doc_key", "m", "a", "feats", "response_link", "apart"), ["doc_key", "m", "a"]).withColumn("feats", F.concat("feats", more))
+
+    return learning.train_in_two_passes(every.drop("response_link", "apart"), fine, "c2flogratio:0.5", epochs=1)
+
+
+PASSES_SQL = ROWS_SQL + """, summed as (select doc_key, m, a, sum(w.weight) as score from (select doc_key, m, a, unnest(feats) as f from rows) x join weights w on w.feat_idx = x.f group by all),
+marked as (select r.*, round(score, 9) + 0.5 < max(round(score, 9)) over (partition by r.doc_key, r.m) as pruned from rows r join summed s on s.doc_key = r.doc_key and s.m = r.m and s.a = r.a)"""
+
+
+@query("two_pass_pruning", PASSES_SQL + """, each as (select doc_key, m, bool_or(ok) as ana, bool_or(ok and not pruned) as kg, count(*) filter (where not pruned) as kept, count(*) filter (where pruned) as dropped, count(*) filter (where ok and pruned) as dg from marked group by 1, 2)
+select count(*) as mentions, cast(sum(kept) as bigint) as kept, cast(sum(dropped) as bigint) as dropped, cast(sum(dg) as bigint) as dropped_gold, count(*) filter (where ana) as anaphoric, count(*) filter (where ana and not kg) as lost, count(*) filter (where kept = 0) as emptied, count(*) filter (where kept = 1) as decided from each""")
+def two_pass_pruning(s, d):
+    return P.pruning_stats(_two_passes(s, d).pairs)
+
+
+@query("two_pass_weights", PASSES_SQL + ", fine as (select doc_key, m, a, loss, ok, list_concat(feats, [least(apart, 5) + 40, case when response_link then 50 else 51 end]) as feats from marked where not pruned), " + _step_sql("fine", "again") + " select 'coarse' as pass, feat_idx, round(weight, 6) as weight from weights union all select 'fine', feat_idx, round(weight, 6) from again")
+def two_pass_weights(s, d):
+    found = _two_passes(s, d)
+    side = lambda name, w: w.select(F.lit(name).alias("pass"), "feat_idx", F.round("weight", 6).alias("weight"))
+    return side("coarse", found.coarse).unionByName(side("fine", found.fine))
+
+
+# -- networks ----------------------------------------------------------------------------
+
+NETWORK = learning.SparseMlp(5001, 16)
+
+
+def _network_sql() -> str:
+    """The network's rows that are not 0, and its second layer, as tables of values."""
+    at = [(int(r), int(c), float(NETWORK.w[r, c])) for r, c in zip(*NETWORK.w.nonzero())]
+    first = ", ".join(f"({r}, {c}, cast({w!r} as double))" for r, c, w in at)
+    second = ", ".join(f"({c}, cast({float(u)!r} as double))" for c, u in enumerate(NETWORK.u))
+    return base.INDEXED + f""", w(f, c, w) as (values {first}), u(c, u) as (values {second}),
+x as (select doc_key, ment_idx, unnest(ids) % 5000 as f from vec), sums as (select x.doc_key, x.ment_idx, w.c, sum(w.w) as s from x join w on w.f = x.f group by all),
+every as (select v.doc_key, v.ment_idx, u.c, u.u from vec v cross join u)
+select e.doc_key, e.ment_idx, round(sum(e.u * tanh(coalesce(s.s, 0) + 0.5)) + 0.5, 6) as score from every e left join sums s on s.doc_key = e.doc_key and s.ment_idx = e.ment_idx and s.c = e.c group by 1, 2"""
+
+
+@query("mlp_score", _network_sql())
+def mlp_score(s, d):
+    vectors = base.indexed_mentions(s, d).withColumn("feats", F.transform("feats", lambda x: x % 5000))
+    return learning.scored_vectors(vectors, NETWORK).select("doc_key", "ment_idx", F.round("score", 6).alias("score"))

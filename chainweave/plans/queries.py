@@ -434,27 +434,6 @@ def entity_features(s, d):
     return inference.entity_features(m.select("doc_key", "ment_idx", "number", "gender"), proxy.key_clusters(m), ["number", "gender"])
 
 
-@query("mlp_score")
-def mlp_score(s, d):
-    from ..operators.learning import SparseMlp, scored_vectors
-
-    vectors = indexed_mentions(s, d).withColumn("feats", F.transform("feats", lambda x: x % 5000))
-    return scored_vectors(vectors, SparseMlp(5001, 16)).select("doc_key", "ment_idx", six(F.col("score")).alias("score"))
-
-
-@query("adagrad_epoch")
-def adagrad_epoch(s, d):
-    from ..operators.learning import train_log_linear
-
-    p = _with_loss(s, d)
-    ids = F.array(numeric.capped(F.col("m") - F.col("a")).cast("int"), F.when(F.col("m_head") == F.col("a_head"), 20).otherwise(21), F.when(F.col("a") == F.col("m"), 30).otherwise(31))
-    right = F.col("coreferent") | ((F.col("a") == F.col("m")) & ~F.col("anaphoric"))
-    from ..storage import stored
-
-    pairs = stored(p.select("doc_key", "m", "a", ids.alias("feats"), right.alias("coreferent"), "loss"))
-    return train_log_linear(pairs, epochs=1).select("feat_idx", six(F.col("weight")).alias("weight"))
-
-
 # -- clusterings ----------------------------------------------------------------------------
 
 
