@@ -9,6 +9,7 @@ import chainweave.plans.inference_queries  # noqa: F401
 import chainweave.plans.joint_queries  # noqa: F401
 import chainweave.plans.queries  # noqa: F401
 import chainweave.plans.span_queries  # noqa: F401
+import chainweave.plans.token_queries  # noqa: F401
 from chainweave.plans.registry import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
