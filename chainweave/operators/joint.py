@@ -1,4 +1,4 @@
-"""The joint feature set of pairs, compiled from an option string into native expressions (T-base, X28-X30, F16, G15, G16).
+"""The joint and the separate feature sets, compiled from an option string into native expressions (T-base, T-larger, T-keep, X28-X30, F16, G15, G16).
 
 A feature set is a string such as ``SURFACE``, ``+FINAL+nomentlen`` or
 ``+bias+bilexical``: what is in it turns templates on or off. A pair of a mention
@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.linguistic import conjunction, definiteness
+from ..functions.linguistic import conjunction, definiteness, person_compat, pronoun_gender, pronoun_number
 from ..functions.strings import word_class
 
 #: Position, its template among the counted words, the mention's column.
@@ -196,3 +196,87 @@ def _conjoined(name: str, text: Column, kind: str, new: Column, m: Callable, a:
         of = lambda side: F.when(~new & closed(m) & closed(a), side("conj_type")).otherwise(side(column))
     current = F.concat(text, F.lit("&Curr="), of(m))
     return [current, F.when(~new, F.concat(current, F.lit("&Prev="), of(a)))]
+
+
+#: What the separate sets need of mentions beyond ``COLUMNS``.
+SEPARATE = [*COLUMNS, "animacy"]
+
+
+def _described(prefix: str, side: Callable, feature_set: str, more: str, tail: str) -> list[Column]:
+    """What both separate sets tell of one mention; ``prefix`` SN, Prev or Curr."""
+    on = lambda *words: any(w in feature_set for w in words)
+    f = lambda name, value: F.concat(F.lit(f"{name}="), value.cast("string"), F.lit(tail))
+    out = []
+    if not on("+nomentlen"):
+        out.append(f(f"{prefix}MentLen", side("end_idx") - side("start_idx")))
+    for name, c, off in (("Head", "head", "+nolexanaph"), ("First", "first", "+nolexfirstword"), ("Last", "last", "+nolexlastword"), ("Preceding", "preceding", "+nolexprecedingword"), ("Following", "following", "+nolexfollowingword")):
+        if not on(off):
+            out.append(f(f"{prefix}Ment{name}", side(f"{c}_or")))
+    if on("FINAL"):
+        out += [F.concat(F.lit(f"{prefix}SynPos="), side(c)) for c in ("syn_uni", "syn_bi")]
+    if on(more):
+        pronoun = side("ment_type") == "PRONOMINAL"
+        kind = {"SN": "SN", "Prev": "Ant", "Curr": "Curr"}[prefix]
+        out += [
+            f("SNGovernor" if prefix == "SN" else f"{prefix}MentGovernor", side("governor_or")), f(f"{prefix}SentMentIdx", side("sent_ment_idx")), f(f"{kind}NerStr", side("ner")), f(f"{kind}Animacy", side("animacy")),
+            f(f"{kind}Gend", F.when(pronoun, pronoun_gender(side("head"))).otherwise(side("gender"))), f(f"{kind}Number", F.when(pronoun, pronoun_number(side("head"))).otherwise(side("number"))),
+            f(f"{kind}Person", person_compat(side("head"))),
+        ]
+    return out
+
+
+def separate_mention_features(feature_set: str = "FINAL+MOARANAPH", first_too: bool = True, conversation: Column | None = None) -> Column:
+    """The features of a mention alone, of the larger separate set (T-larger); with ``first_too`` the first mention of a
+    document has them as well, though it never has an antecedent (T-keep). No conjunctions; unknown words are their tags."""
+    out = _described("SN", F.col, feature_set, "MOARANAPH", "-SN=true")
+    place = F.when(F.lit(False) if conversation is None else conversation, "CONVERSATION").otherwise("ARTICLE")
+    cased = F.when(F.lower("head") == F.col("head_or"), F.col("head")).otherwise("RARE")
+    for name, value in (("CurrPronConjStr", F.col("conj_canonical")), ("SNSpeaker", F.col("speaker")), ("SNDocType", place), ("SNMentHeadTrueCase", cased)):
+        out.append(F.concat(F.lit(f"{name}="), value, F.lit("-SN=true")))
+    every = F.array(*out)
+    return every if first_too else F.when(F.col("ment_idx") == 0, F.slice(every, 1, 0)).otherwise(every)
+
+
+def separate_pair_features(feature_set: str = "FINAL+MOARPW", conversation: Column | None = None) -> Column:
+    """The features of a pair of two mentions, of the larger separate set; over pairs of ``SEPARATE``. ``+bilexical`` reads
+    ``common_heads``, whether the pair of heads as written is counted often enough."""
+    m, a = (lambda c, p=p: F.col(f"{p}_{c}") for p in "ma")
+    on = lambda *words: any(w in feature_set for w in words)
+    closed = m("ment_type").isin("PRONOMINAL", "DEMONSTRATIVE")
+    f = lambda name, value, when=None: F.concat(F.lit(f"{name}="), value.cast("string")) if when is None else F.when(when, F.concat(F.lit(f"{name}="), value.cast("string")))
+    both = lambda x, mark=",": F.concat(x(m), F.lit(mark), x(a))
+    out = _described("Prev", a, feature_set, "MOARPW", "")
+    if on("FINAL") and not on("MOARPW"):
+        out += [f("AntGend", a("gender"), closed), f("AntNumber", a("number"), closed)]
+    out += _described("Curr", m, feature_set, "MOARPW", "")
+    if not on("+nomentdist"):
+        out.append(f("Dist", F.least(F.col("m") - F.col("a"), F.lit(10))))
+    if not on("+nosentdist"):
+        out.append(f("SentDist", F.least(m("sent_idx") - a("sent_idx"), F.lit(10))))
+    if on("FINAL", "+iwi"):
+        within = lambda x, y: (y("start_idx") <= x("start_idx")) & (x("end_idx") <= y("end_idx"))
+        out.append(f("iWi", (m("sent_idx") == a("sent_idx")) & (within(m, a) | within(a, m))))
+    if on("FINAL", "+altsyn"):
+        out += [f("SynPoses", both(lambda s, c=c: s(c), "-")) for c in ("syn_uni", "syn_bi")]
+    if on("FINAL"):
+        out += [f("SameSpeaker", m("speaker") == a("speaker")), f("DocType", F.when(F.lit(False) if conversation is None else conversation, "CONVERSATION").otherwise("ARTICLE"))]
+    if not on("+noexactmatch"):
+        out.append(f("ExactStrMatch", F.lower(m("text")) == F.lower(a("text"))))
+    if on("+bilexical"):
+        out.append(f("Heads", F.when(F.col("common_heads"), both(lambda s: s("head"), "-")).otherwise("BACKOFF_INDICATOR")))
+    person = both(lambda s: person_compat(s("head")))
+    if on("MOARPW"):
+        pronouns = closed & (a("ment_type") == "PRONOMINAL")
+        out += [f("Numbs", both(lambda s: pronoun_number(s("head"))), pronouns), f("Gends", both(lambda s: pronoun_gender(s("head"))), pronouns), f("Persons", person, pronouns)]
+    if on("FINAL", "+emcontained"):
+        out += [f("ThisContained", F.contains(a("text"), m("text")), ~closed), f("AntContained", F.contains(m("text"), a("text")), ~closed)]
+    if not on("+noheadmatch"):
+        out.append(f("ExactHeadMatch", F.lower(m("head")) == F.lower(a("head")), ~closed))
+    if on("FINAL", "+hmcontained"):
+        out += [f("ThisHeadContained", F.contains(a("text"), m("head")), ~closed), f("AntHeadContained", F.contains(m("text"), a("head")), ~closed)]
+    if on("MOARPW"):
+        out += [f("Gends", both(lambda s: s("gender")), ~closed), f("Numbs", both(lambda s: s("number")), ~closed), f("Nerts", both(lambda s: s("ner")), ~closed), f("Persons", person, ~closed)]
+    out += [f("CurrPronConjStr", m("conj_canonical")), f("PrevPronConjStr", a("conj_canonical"))]
+    if on("MOARPW"):
+        out.append(f("TypeStrs", both(lambda s: s("conj_canonical"), "-")))
+    return F.filter(F.array(*out), lambda x: x.isNotNull())

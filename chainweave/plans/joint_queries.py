@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import linguistic
 from ..operators import joint, learning, lexical, pairs as P
 from ..storage import Scratch
 from . import proxy, queries as base
@@ -157,6 +158,56 @@ def joint_gates(s, d):
     return _told(featurized(s, d, Options.bound([f"feature_sets={GATES}", "conjunction=NONE"])))
 
 
+# -- the separate sets ------------------------------------------------------------------
+
+_IN = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+_PRON = {
+    "number": f"case when lower({{x}}head) in {_IN(linguistic.SINGULAR)} then 'SINGULAR' when lower({{x}}head) in {_IN(linguistic.PLURAL)} then 'PLURAL' else 'UNKNOWN' end",
+    "gender": f"case when lower({{x}}head) in {_IN(linguistic.MALE)} then 'MALE' when lower({{x}}head) in {_IN(linguistic.FEMALE)} then 'FEMALE' when lower({{x}}head) in {_IN(linguistic.NEUTRAL)} then 'NEUTRAL' else 'UNKNOWN' end",
+}
+
+
+def _mention_sql(prefix: str, x: str, tail: str = "") -> list[str]:
+    kind = {"SN": "SN", "Prev": "Ant", "Curr": "Curr"}[prefix]
+    pron = lambda c: f"case when {x}ment_type = 'PRONOMINAL' then {_PRON[c].format(x=x)} else {x}{c} end"
+    plain = [(f"{prefix}MentLen", f"({x}end_idx - {x}start_idx)")] + [(f"{prefix}Ment{n}", f"{x}{n.lower()}_or") for n in ("Head", "First", "Last", "Preceding", "Following")]
+    syn = [f"'{prefix}SynPos=' || {x}syn_uni", f"'{prefix}SynPos=' || {x}syn_bi"]
+    rest = [("SNGovernor" if prefix == "SN" else f"{prefix}MentGovernor", f"{x}governor_or"), (f"{prefix}SentMentIdx", f"{x}sent_ment_idx"), (f"{kind}NerStr", f"{x}ner"), (f"{kind}Animacy", f"{x}animacy"), (f"{kind}Gend", pron("gender")), (f"{kind}Number", pron("number")), (f"{kind}Person", f"{x}person")]
+    shown = lambda items: [f"'{n}=' || {v} || '{tail}'" for n, v in items]
+    return [*shown(plain), *syn, *shown(rest)]
+
+
+_ALONE = [*_mention_sql("SN", "", "-SN=true"), "'CurrPronConjStr=' || conj || '-SN=true'", "'SNSpeaker=' || speaker || '-SN=true'", "'SNDocType=ARTICLE-SN=true'", "'SNMentHeadTrueCase=' || case when lower(head) = head_or then head else 'RARE' end || '-SN=true'"]
+_CLOSED = "m.ment_type in ('PRONOMINAL', 'DEMONSTRATIVE')"
+_when = lambda c, t: f"case when {c} then {t} end"
+_BOTH = [
+    *_mention_sql("Prev", "a."), *_mention_sql("Curr", "m."), "'Dist=' || least(m.k - a.k, 10)", "'SentDist=' || least(m.sent_idx - a.sent_idx, 10)",
+    "'iWi=' || (m.sent_idx = a.sent_idx and (a.start_idx <= m.start_idx and m.end_idx <= a.end_idx or m.start_idx <= a.start_idx and a.end_idx <= m.end_idx))",
+    "'SynPoses=' || m.syn_uni || '-' || a.syn_uni", "'SynPoses=' || m.syn_bi || '-' || a.syn_bi", "'SameSpeaker=' || (m.speaker = a.speaker)", "'DocType=ARTICLE'", "'ExactStrMatch=' || (lower(m.head) = lower(a.head))",
+    "'Heads=' || case when h.x is not null then m.head || '-' || a.head else 'BACKOFF_INDICATOR' end",
+    *(_when(f"{_CLOSED} and a.ment_type = 'PRONOMINAL'", f"'{n}=' || {u} || ',' || {v}") for n, u, v in (("Numbs", _PRON["number"].format(x="m."), _PRON["number"].format(x="a.")), ("Gends", _PRON["gender"].format(x="m."), _PRON["gender"].format(x="a.")), ("Persons", "m.person", "a.person"))),
+    *(_when(f"not ({_CLOSED})", t) for t in ("'ThisContained=' || contains(a.head, m.head)", "'AntContained=' || contains(m.head, a.head)", "'ExactHeadMatch=' || (lower(m.head) = lower(a.head))", "'ThisHeadContained=' || contains(a.head, m.head)", "'AntHeadContained=' || contains(m.head, a.head)")),
+    *(_when(f"not ({_CLOSED})", f"'{n}=' || m.{c} || ',' || a.{c}") for n, c in (("Gends", "gender"), ("Numbs", "number"), ("Nerts", "ner"), ("Persons", "person"))),
+    "'CurrPronConjStr=' || m.conj", "'PrevPronConjStr=' || a.conj", "'TypeStrs=' || m.conj || '-' || a.conj",
+]
+
+
+@query("keep_first_features", RESOLVED + f", f as (select doc_key, k as ment_idx, [{', '.join(_ALONE)}] as feats from described) select doc_key, ment_idx, cast(len(feats) as integer) as features, array_to_string(feats, ' ') as feats from f")
+def keep_first_features(s, d):
+    rows = described(s, d).select("doc_key", "ment_idx", joint.separate_mention_features().alias("feats"))
+    return rows.select("doc_key", "ment_idx", F.size("feats").alias("features"), F.array_join("feats", " ").alias("feats"))
+
+
+@query("separate_pairs", RESOLVED + f""", h as (select m.head as x, a.head as y from described m join described a on m.doc_key = a.doc_key and a.k < m.k group by 1, 2 having count(*) >= 2),
+f as (select m.doc_key, m.k as m, a.k as a, list_filter([{', '.join(_BOTH)}], lambda x: x is not null) as feats from described m join described a on m.doc_key = a.doc_key and a.k < m.k left join h on h.x = m.head and h.y = a.head)
+select doc_key, m, a, cast(len(feats) as integer) as features, md5(array_to_string(feats, ' ')) as digest from f""")
+def separate_pairs(s, d):
+    p = P.mention_pairs(described(s, d), joint.SEPARATE)
+    common = lexical.bilexical_counts(p, cutoff=2).select(F.col("current").alias("x"), F.col("antecedent").alias("y"), F.lit(True).alias("common_heads"))
+    rows = p.join(common, (F.col("m_head") == F.col("x")) & (F.col("a_head") == F.col("y")), "left").withColumn("common_heads", F.coalesce("common_heads", F.lit(False)))
+    return _told(rows.select("doc_key", "m", "a", joint.separate_pair_features("FINAL+MOARPW+bilexical").alias("feats")))
+
+
 # -- training the log-linear model ---------------------------------------------------------
 
 COARSE = F.array(F.least(F.col("m") - F.col("a"), F.lit(10)).cast("int"), F.when(F.col("m_head") == F.col("a_head"), 20).otherwise(21), F.when(F.col("a") == F.col("m"), 30).otherwise(31))
