@@ -132,11 +132,3 @@ def conjunction(kind: str, ment_type: Column, head: Column, common: Column | Non
     if kind == "canonical":
         return canonical.otherwise(ment_type)
     return canonical.when(common, F.lower(head)).otherwise(ment_type)
-
-
-def conjoined(features: Column, current: Column, antecedent: Column | None = None) -> Column:
-    """Each feature, the feature with the current mention's string, and with both."""
-    both = [F.transform(features, lambda f: F.concat(f, F.lit("&c="), current))]
-    if antecedent is not None:
-        both.append(F.transform(features, lambda f: F.concat(f, F.lit("&c="), current, F.lit("&a="), antecedent)))
-    return F.flatten(F.array(features, *both))

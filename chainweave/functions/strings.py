@@ -109,6 +109,14 @@ def in_context(words: Column, start: Column, stop: Column, around: int = 3) -> C
     return F.trim(F.concat(part(lo, start), F.lit(" ["), part(start, stop), F.lit("] "), part(stop, F.least(stop + around, F.size(words)))))
 
 
+def around_head(words: Column, head: Column, around: int = 2) -> Column:
+    """The words of a mention near its head, the head as ``_head_``; ``head`` is its place in them, from 0."""
+    lo, n = F.greatest(head - around, F.lit(0)), F.size(words)
+    part = lambda a, b: F.slice(words, a + 1, F.greatest(b - a, F.lit(0)))
+    shown = F.array(F.concat(F.lit("_"), F.get(words, head), F.lit("_")))
+    return F.array_join(F.concat(part(lo, head), shown, part(head + 1, F.least(head + around + 1, n))), " ")
+
+
 def feature(name: str, value: Column) -> Column:
     """``name=value``."""
     return F.concat(F.lit(f"{name}="), F.coalesce(value.cast("string"), F.lit("")))

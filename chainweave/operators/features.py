@@ -106,19 +106,6 @@ def triangular_place(m: Column, a: Column) -> Column:
     return (m * (m - 1) / 2).cast("bigint") + a
 
 
-#: Feature sets by flag (F16): a flag is a plus-separated list, matched exactly.
-GATES = {"anaphoricity": anaphoricity_features, "pair": pair_features}
-
-
-def gated(flag: str) -> list[str]:
-    """The known names in a flag string such as ``FINAL+anaphoricity+pair``; unknown ones raise."""
-    names = [x for x in flag.split("+") if x and x != "FINAL"]
-    unknown = [x for x in names if x not in GATES]
-    if unknown:
-        raise ValueError(f"no feature set {unknown}")
-    return names
-
-
 def feature_stats(vectors: DataFrame) -> DataFrame:
     """Vectors, their mean size and largest id."""
     return vectors.agg(F.count("*").alias("vectors"), F.avg(F.size("feats")).alias("mean_size"), F.max(F.array_max("feats")).cast("bigint").alias("largest_id"))

@@ -70,13 +70,13 @@ def word_or_fallback(df: DataFrame, words: DataFrame, word: str, fallback: Colum
     return df.join(known, F.lower(F.col(word)) == F.col("_key"), "left").withColumn(name, F.coalesce("_key", fallback)).drop("_key")
 
 
-def affix_fallback(df: DataFrame, affixes: DataFrame, word: str, name: str) -> DataFrame:
-    """The longest known suffix of a word, of 3, 2 or 1 characters, else empty."""
-    known = affixes.where("template = 'suffix'").select("key").distinct()
-    out = df
+def affix_fallback(df: DataFrame, affixes: DataFrame, word: str, name: str, kind: str = "suffix") -> DataFrame:
+    """The longest known suffix or prefix (``kind``) of a word, of 3, 2 or 1 characters, else empty."""
+    known = affixes.where(F.col("template") == kind).select("key").distinct()
+    out, cut = df, F.right if kind == "suffix" else F.left
     for n in (3, 2, 1):
-        cut = F.when(F.char_length(word) >= n, F.right(F.lower(word), F.lit(n)))
-        out = out.join(known.withColumnRenamed("key", f"_s{n}"), cut == F.col(f"_s{n}"), "left")
+        part = F.when(F.char_length(word) >= n, cut(F.lower(word), F.lit(n)))
+        out = out.join(known.withColumnRenamed("key", f"_s{n}"), part == F.col(f"_s{n}"), "left")
     return out.withColumn(name, F.coalesce("_s3", "_s2", "_s1", F.lit(""))).drop("_s1", "_s2", "_s3")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.linguistic import definiteness, person_compat, pronoun_gender, pronoun_number
+from ..functions.linguistic import person_compat, pronoun_gender, pronoun_number
 from ..functions.strings import feature, word_class, word_shape
 
 LARGER = 9
@@ -26,11 +26,6 @@ def larger_pair_features(common: Column) -> Column:
     )
 
 
-def surface_features(side: str, word: Column, first: Column) -> Column:
-    """Definiteness, shape and class of a mention, for the base set's ``+def`` and word back-off."""
-    return F.array(feature(f"{side}Def", definiteness(first)), feature(f"{side}Shape", word_shape(word)), feature(f"{side}Class", word_class(word)))
-
-
 def split_examples(texts: DataFrame, text: str = "text") -> DataFrame:
     """A row for each sentence-end candidate: its number and the eleven features of the split model."""
     keys = [c for c in texts.columns if c != text]

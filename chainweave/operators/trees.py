@@ -46,10 +46,43 @@ NOUN_RULES = (
     ("right", ("CD",)),
     ("right, any", ("JJ", "JJS", "RB", "QP")),
 )
+# The same for Arabic; each phrase has several such searches, one after another.
+ARABIC_RULES = {
+    "ADJP": (("right, any", ("JJ",)), ("right", ("ADJP", "NN", "NNP", "NOFUNC", "NNPS", "NNS")), ("right", ("RB", "CD")), ("right", ("DT",))),
+    "ADVP": (("left", ("WRB", "RB", "ADVP", "WHADVP")), ("left", ("CD", "RP", "NN", "CC", "ADJ", "IN", "NP", "NNP", "NOFUNC"))),
+    "CONJP": (("right", ("IN", "RB", "NN", "NNS", "NNP", "NNPS")),),
+    "FRAG": (("left", ("NN", "NNPS", "NNP", "NNS")), ("left", ("VBP",))),
+    "INTJ": (("left", ("RP", "UH")),),
+    "LST": (("left", ()),),
+    "NAC": (("left", ("NP", "SBAR", "PP", "ADJP", "S", "PRT", "UCP")), ("left", ("ADVP",))),
+    "NP": (("left", ("NN", "NNS", "NNP", "NNPS", "NP", "PRP", "WHNP", "QP", "WP", "NOFUNC")), ("left", ("JJ",)), ("right", ("CD",)), ("left", ("PRP$",)), ("right", ("DT",))),
+    "PP": (("left", ("IN", "PP", "PRT", "X")), ("left", ("NNP", "RP", "NN")), ("left", ("NP",))),
+    "PRN": (("left", ("NP",)),),
+    "PRT": (("left", ("RP", "PRT", "IN")),),
+    "S": (("left", ("VP", "S")), ("right", ("PP", "ADVP", "SBAR", "UCP", "ADJP"))),
+    "SBAR": (("left", ("WHNP", "WHADVP", "WRB", "RP", "IN", "SBAR", "CC", "WP", "WHPP", "ADVP", "PRT", "RB", "X")), ("left", ("NN", "NNP", "NNS", "NNPS")), ("left", ("S",))),
+    "SBARQ": (("left", ("WHNP", "WHADVP", "RP", "IN", "SBAR", "CC", "WP", "WHPP", "ADVP", "PRT", "RB", "X")), ("left", ("NN", "NNP", "NNS", "NNPS")), ("left", ("S",))),
+    "SQ": (("left", ("VP", "PP")),),
+    "UCP": (("left", ()),),
+    "VP": (("left", ("VBD", "VBN", "VBP", "VBG", "VP", "RB", "X", "VB")), ("left", ("IN",)), ("left", ("NNP", "NOFUNC", "NN"))),
+    "WHADVP": (("left", ("WRB", "WP")), ("right", ("CC",)), ("left", ("IN",))),
+    "WHNP": (("right", ("WP",)),),
+    "WHPP": (("left", ("IN", "RB")),),
+    "X": (("left", ()),),
+    "TOP": (("left", ()),),
+}
 #: Where a phrase without a rule looks.
 DEFAULT_SIDE = "right"
 
 
+def searches(name: str, language: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """Where a phrase looks for its head: side (and whether for any label at once) and labels, one search after another."""
+    name = "TOP" if name == "ROOT" else name
+    if language == "arabic":
+        return ARABIC_RULES.get(name, ((DEFAULT_SIDE, ()),))
+    return NOUN_RULES if name in ("NP", "NML") else (HEAD_RULES.get(name, (DEFAULT_SIDE, ())),)
+
+
 class Node:
     """A constituent: label, half-open span, children."""
 
@@ -87,7 +120,7 @@ def tree_of(bits: list[str], tags: list[str]) -> Node:
     return top
 
 
-def head_child(node: Node) -> Node:
+def head_child(node: Node, language: str = "english") -> Node:
     """The child that the head rules choose."""
     labels = [c.label.split("-")[0] if c.label[:1].isalpha() else c.label for c in node.children]
 
@@ -95,12 +128,7 @@ def head_child(node: Node) -> Node:
         order = range(len(labels)) if side == "left" else range(len(labels) - 1, -1, -1)
         return next((k for k in order if labels[k] in wanted), None)
 
-    name = node.label.split("-")[0] or node.label
-    if name in ("NP", "NML"):
-        tries = [(side.split(",")[0], wanted, "any" in side) for side, wanted in NOUN_RULES]
-    else:
-        side, wanted = HEAD_RULES.get("TOP" if name == "ROOT" else name, (DEFAULT_SIDE, ()))
-        tries = [(side, wanted, False)]
+    tries = [(side.split(",")[0], wanted, "any" in side) for side, wanted in searches(node.label.split("-")[0] or node.label, language)]
     found = None
     for side, wanted, at_once in tries:
         for group in [set(wanted)] if at_once else [{w} for w in wanted]:
@@ -108,21 +136,21 @@ def head_child(node: Node) -> Node:
                 found = first(side, group)
     if found is None:  # the last rule's side
         found = 0 if tries[-1][0] == "left" else len(labels) - 1
-    # a conjunct before a conjunction leads
-    if found >= 2 and labels[found - 1] == "CC":
+    # in English a conjunct before a conjunction leads
+    if language == "english" and found >= 2 and labels[found - 1] == "CC":
         before = [k for k in range(found - 1) if not re.fullmatch(r"[,:.]|``|''", labels[k])]
         found = before[-1] if before else found
     return node.children[found]
 
 
-def parents(top: Node, n: int) -> tuple[list[int], list[tuple[str, int, int, int]]]:
+def parents(top: Node, n: int, language: str = "english") -> tuple[list[int], list[tuple[str, int, int, int]]]:
     """Each token's governor, -1 for the root, and all constituents with their heads."""
     out, spans = [-1] * n, []
 
     def visit(node: Node) -> int:
         if not node.children:
             return node.start
-        chosen = head_child(node)
+        chosen = head_child(node, language)
         heads = [(c, visit(c)) for c in node.children]
         head = next(h for c, h in heads if c is chosen)
         for c, h in heads:
@@ -135,7 +163,7 @@ def parents(top: Node, n: int) -> tuple[list[int], list[tuple[str, int, int, int
     return out, spans
 
 
-def _per_sentence(tokens: DataFrame, make, schema: str) -> DataFrame:
+def _per_sentence(tokens: DataFrame, make, schema: str, language: str) -> DataFrame:
     """One task's sentences in one call each; a sentence's tokens are put in one row first."""
     rows = tokens.groupBy("doc_key", "sent_idx").agg(F.array_sort(F.collect_list(F.struct("tok_idx", "parse_bit", "pos"))).alias("t"))
 
@@ -144,22 +172,22 @@ def _per_sentence(tokens: DataFrame, make, schema: str) -> DataFrame:
             out = []
             for doc, sent, t in batch.itertuples(index=False):
                 top = tree_of([x["parse_bit"] for x in t], [x["pos"] for x in t])
-                out += [(doc, sent, *row) for row in make(*parents(top, len(t)), t)]
+                out += [(doc, sent, *row) for row in make(*parents(top, len(t), language), t)]
             yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
     return rows.mapInPandas(run, schema)
 
 
-def dependencies(tokens: DataFrame) -> DataFrame:
+def dependencies(tokens: DataFrame, language: str = "english") -> DataFrame:
     """tok_idx and parent_idx of every token of doc_key, sent_idx, tok_idx, pos, parse_bit."""
     kind = tokens.schema["doc_key"].dataType.simpleString()
-    return _per_sentence(tokens, lambda up, _, t: [(int(x["tok_idx"]), p) for x, p in zip(t, up)], f"doc_key {kind}, sent_idx bigint, tok_idx bigint, parent_idx bigint")
+    return _per_sentence(tokens, lambda up, _, t: [(int(x["tok_idx"]), p) for x, p in zip(t, up)], f"doc_key {kind}, sent_idx bigint, tok_idx bigint, parent_idx bigint", language)
 
 
-def constituents(tokens: DataFrame) -> DataFrame:
+def constituents(tokens: DataFrame, language: str = "english") -> DataFrame:
     """label, half-open span and head of every constituent."""
     kind = tokens.schema["doc_key"].dataType.simpleString()
-    return _per_sentence(tokens, lambda _, spans, t: spans, f"doc_key {kind}, sent_idx bigint, label string, start_idx bigint, end_idx bigint, head_idx bigint")
+    return _per_sentence(tokens, lambda _, spans, t: spans, f"doc_key {kind}, sent_idx bigint, label string, start_idx bigint, end_idx bigint, head_idx bigint", language)
 
 
 def parse_bits(top: Node) -> list[str]:

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+import chainweave.plans.further_queries  # noqa: F401
 import chainweave.plans.inference_queries  # noqa: F401
 import chainweave.plans.joint_queries  # noqa: F401
 import chainweave.plans.queries  # noqa: F401
