@@ -119,11 +119,11 @@ class _Stream:
                 return False
 
     def header(self) -> bytes:
-        """What precedes the first empty line."""
+        """What precedes the first empty line, which must come within ``LONGEST_HEADER`` bytes."""
         seen = 0
         while not (end := _EMPTY_LINE.search(self.held, max(0, seen - 3))):
             seen = len(self.held)
-            if not self.more():
+            if seen > LONGEST_HEADER or not self.more():
                 raise WarcError("a header has no end")
         found, self.held = self.held[: end.start()], self.held[end.end() :]
         return found
@@ -141,6 +141,8 @@ class _Stream:
                 raise WarcError("a block is shorter than its Content-Length")
 
 
+#: Bytes of a header at most; more is no header, however much inflates.
+LONGEST_HEADER = 8 << 20
 _EMPTY_LINE = re.compile(rb"\r?\n\r?\n")
 
 

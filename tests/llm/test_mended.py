@@ -81,3 +81,18 @@ def test_items_with_ids_of_text(spark, block, monkeypatch):
     assert row["contaminated"] and row["n_items"] == 1 and row["items_sha256"] == hashlib.sha256(b"").hexdigest()
     if block == 12:
         assert sum(1 for _ in decontamination._blocks(spark.createDataFrame(items, "item_id string, text string"), 13)) >= 4
+
+
+def test_a_header_without_an_end_is_not_held(monkeypatch):
+    """A member of zeros that inflates to 200 MB, as a header."""
+    import gzip
+    import tracemalloc
+
+    from chainweave.llm import warc
+
+    member = gzip.compress(b"WARC/1.0\r\n" + b"x" * (200 << 20))
+    tracemalloc.start()
+    with pytest.raises(warc.WarcError):
+        list(warc.read_archive(member))
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
