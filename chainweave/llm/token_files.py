@@ -1,7 +1,7 @@
 """Token ids in binary files: canonical length-limited Huffman codes from global counts.
 
 ``write_tokens`` tokenizes whole documents in ascending id order into raw
-segments, counts all ids of all documents, derives one canonical code with a
+segments with their counts of ids, sums these over all documents, derives one canonical code with a
 bounded code length (package-merge), and writes one file per segment. A file
 holds its code lengths, document ids and lengths, the bit offset of every block
 (checkpoints) and the bit stream. ``read_tokens`` decodes a file by table:
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import BYTE_LETTERS, SPACES
 from .caching import TextCache
-from .common import bounded_batches, held, shared_folder, stored
+from .common import Scratch, bounded_batches, held, shared_folder
 
 #: Entries of each generation of a worker's cache of words after a space; others are a tenth.
 CACHED_WORDS = 400_000
@@ -264,10 +264,10 @@ def from_file(content: bytes) -> tuple[int, list, np.ndarray, np.ndarray]:
 
 # -- the jobs ---------------------------------------------------------------
 
-_RAW = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("count", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("ids", pa.binary())])
+_RAW = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("count", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("ids", pa.binary()), ("counts", pa.binary())])
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end: int, scratch: Scratch) -> DataFrame:
     """Raw segments in ascending document order; ``before``: ids before it in its partition."""
     spark = docs.sparkSession
     file = spark.sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())  # of the vocabulary's size
@@ -281,7 +281,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
         doc_ids, tokens, ids, count = [], [], [], 0
 
         def row():
-            return pa.RecordBatch.from_pylist([{"part": part, "before": before, "count": count, "doc_ids": doc_ids, "tokens": tokens, "ids": b"".join(ids)}], schema=_RAW)
+            whole = b"".join(ids)
+            counts = np.bincount(np.frombuffer(whole, pieces.kind)).astype("<i4").tobytes()
+            return pa.RecordBatch.from_pylist([{"part": part, "before": before, "count": count, "doc_ids": doc_ids, "tokens": tokens, "ids": whole, "counts": counts}], schema=_RAW)
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -300,25 +302,25 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     order = ["doc_id", F.xxhash64(F.coalesce("text", F.lit("")))]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    raw = ordered.mapInArrow(segments, "part int, before bigint, count bigint, doc_ids array<bigint>, tokens array<bigint>, ids binary")
-    return stored(raw, "token-segments", **{"parquet.block.size": str(16 << 20), "compression": "zstd"})
+    raw = ordered.mapInArrow(segments, "part int, before bigint, count bigint, doc_ids array<bigint>, tokens array<bigint>, ids binary, counts binary")
+    return scratch.store(raw, "segments", **{"parquet.block.size": str(16 << 20), "compression": "zstd"})
 
 
-def counted(raw: DataFrame, kind: str) -> np.ndarray:
-    """How often each id occurs in all documents. At most the vocabulary comes to the driver."""
+def counted(raw: DataFrame) -> np.ndarray:
+    """How often each id occurs in all documents, from the segments' counts. At most the vocabulary comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(("token files",), None)  # the encoder's memory is not needed here
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                own = np.bincount(np.frombuffer(ids.as_buffer() or b"", kind))
+            for counts in batch.column(0):
+                own = np.frombuffer(counts.as_buffer() or b"", "<i4")
                 total = np.concatenate([total, np.zeros(max(0, len(own) - len(total)), np.int64)])
                 total[: len(own)] += own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    rows = raw.select("ids").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = raw.select("counts").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(1 + int(rows["id"].max()) if len(rows) else 1, np.int64)
     counts[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return counts
@@ -329,8 +331,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str, longest:
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = opened(open(tokenizer, encoding="utf-8").read()).kind
-    raw = tokenized(docs, tokenizer, end)
-    lengths = code_lengths(counted(raw, kind), longest)
+    scratch = Scratch(spark, "token-segments")
+    raw = tokenized(docs, tokenizer, end, scratch)
+    lengths = code_lengths(counted(raw), longest)
     starts, at = {}, 0
     for part, n in sorted((r[0], r[1]) for r in raw.groupBy("part").agg(F.sum("count")).collect()):  # a row for each partition
         starts[part] = at
@@ -348,8 +351,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str, longest:
                 yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["value"])
 
     # Spark's text sink writes the bytes of a value as they are, and the closing zero byte after them.
-    made = raw.mapInArrow(files, "value binary").select(F.col("value").cast("string"))
+    made = raw.drop("counts").mapInArrow(files, "value binary").select(F.col("value").cast("string"))
     made.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+    scratch.close()
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
