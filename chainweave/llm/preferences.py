@@ -8,8 +8,8 @@ and the line end that closes it, 0 for all else.
 
 Defined results: turns are ordered by turn (null first), role, text; null role
 and text count as empty; repeated turns stay; a conversation without a partner
-makes no pair; equal conversations have empty completions and masks; other
-columns are ignored. One conversation's turns meet in one task, since they
+makes no pair; turns without a conversation's id are in none; equal conversations
+have empty completions and masks; other columns are ignored. One conversation's turns meet in one task, since they
 become one text; nothing else does.
 """
 

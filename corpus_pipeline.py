@@ -40,7 +40,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents of which benchmark passages cover a twentieth or more go.
 
     Each row is judged by its whole text, so null and repeated ids need no rule;
-    null and empty texts stay; an empty benchmark lets all stay.
+    null and empty texts stay; an empty benchmark lets all stay. Items count by
+    their texts: their ids may be text, repeated or missing.
     """
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
