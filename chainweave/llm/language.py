@@ -63,7 +63,11 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keep[starts] = True
     starts = (np.cumsum(keep) - 1)[starts]
     a = letters[keep]
-    b, c, d = (np.concatenate([np.full(k, 32, np.uint32), a[:-k]]) for k in (1, 2, 3))
+    b, c, d = (np.concatenate([np.full(min(k, len(a)), 32, np.uint32), a[:-k]]) for k in (1, 2, 3))
+    for k, before in enumerate((b, c, d)):  # nothing of the text before
+        for j in range(k + 1):
+            places = starts + j
+            before[places[places < len(a)]] = 32
     pair = a | b << np.uint32(8)
     triple = pair | c << np.uint32(16)
     many = np.stack([triple * np.uint32(2654435761), (triple | d << np.uint32(24)) * np.uint32(2246822519) + np.uint32(374761393)])
