@@ -12,7 +12,7 @@ contains_speaker, text (the span's words).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.linguistic import canonical_pronoun, person_compat
 from ..functions.strings import contained, feature, same_text, speaker_name
@@ -106,6 +106,26 @@ def triangular_place(m: Column, a: Column) -> Column:
     return (m * (m - 1) / 2).cast("bigint") + a
 
 
+def mentions_of_pairs(pairs: Column) -> Column:
+    """How many mentions a document of so many pairs has: n (n - 1) / 2 of them."""
+    return ((1 + F.sqrt(1 + 8 * pairs)) / 2).cast("bigint")
+
+
+def document_rows(vectors: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """The vectors with ``row``, their place in their document's list, from 0, and ``rows``, its length (G25): a document or one
+    mention is then a filter, and a list of pairs in order of (m, a) has pair (m, a) at ``triangular_place``."""
+    w = Window.partitionBy("doc_key")
+    return vectors.withColumns({"row": F.row_number().over(w.orderBy(*keys)) - 1, "rows": F.count("*").over(w)}).withColumnRenamed("row", place)
+
+
+def topic_label(ment_type: Column, cluster: Column, feature_set: str = "") -> Column:
+    """The label of a mention's likeliest cluster; ``noprons`` and ``nonomsprops`` mask it."""
+    out = cluster.cast("string")
+    if "nonomsprops" in feature_set:
+        out = F.when(ment_type.isin("NOMINAL", "PROPER"), "NOMPROP").otherwise(out)
+    return F.when(ment_type == "PRONOMINAL", "PRON").otherwise(out) if "noprons" in feature_set else out
+
+
 def feature_stats(vectors: DataFrame) -> DataFrame:
     """Vectors, their mean size and largest id."""
     return vectors.agg(F.count("*").alias("vectors"), F.avg(F.size("feats")).alias("mean_size"), F.max(F.array_max("feats")).cast("bigint").alias("largest_id"))

@@ -1,10 +1,11 @@
-"""From tokens and chunks to ordered, typed mentions."""
+"""From tokens and chunks to ordered, typed mentions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.linguistic import NON_MENTION_NER, mention_type
+from ..plans.config import LanguagePack
 
 SPAN = ["doc_key", "sent_idx", "start_idx", "end_idx"]
 
@@ -110,3 +111,17 @@ def recall(gold: DataFrame, predicted: DataFrame, loose: bool = False) -> DataFr
     on = [c for c in SPAN if not (loose and c == "sent_idx")]
     known = predicted.select(on).distinct().withColumn("found", F.lit(1))
     return gold.join(known, on, "left").agg(F.coalesce(F.sum("found"), F.lit(0)).cast("bigint").alias("found"), F.count("*").alias("gold"))
+
+
+def phrase_spans(constituents: DataFrame, tokens: DataFrame, pack: LanguagePack) -> DataFrame:
+    """doc_key, sent_idx, start_idx, end_idx, head_idx of the phrases that may be mentions in a language (X27, G34): its phrase
+    labels and pronouns, without punctuation at the ends; what is punctuation only goes."""
+    label = F.regexp_extract("label", r"^([^-=]+)", 1)
+    phrases = constituents.where(label.isin(*pack.mention_phrases)).select("doc_key", "sent_idx", "start_idx", "end_idx", "head_idx")
+    pronouns = tokens.where(F.col("pos").isin(*pack.pronoun_tags)).select("doc_key", "sent_idx", F.col("tok_idx").alias("start_idx"), (F.col("tok_idx") + 1).alias("end_idx"), F.col("tok_idx").alias("head_idx"))
+    words = tokens.where(~F.col("pos").isin(*pack.punctuation_tags)).select(F.col("doc_key").alias("d"), F.col("sent_idx").alias("s"), "tok_idx")
+    spans = phrases.unionByName(pronouns)
+    inside = (F.col("doc_key") == F.col("d")) & (F.col("sent_idx") == F.col("s")) & (F.col("tok_idx") >= F.col("start_idx")) & (F.col("tok_idx") < F.col("end_idx"))
+    cut = spans.join(words, inside).groupBy("doc_key", "sent_idx", "start_idx", "end_idx", "head_idx").agg(F.min("tok_idx").alias("first"), (F.max("tok_idx") + 1).alias("stop"))
+    head = F.least(F.greatest("head_idx", "first"), F.col("stop") - 1)
+    return cut.select("doc_key", "sent_idx", F.col("first").alias("start_idx"), F.col("stop").alias("end_idx"), head.alias("head_idx")).distinct()

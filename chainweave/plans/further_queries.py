@@ -109,3 +109,50 @@ def document_order(s, d):
     docs = proxy.table(s, d, "documents").withColumn("key", F.array("lang", "source", F.lpad(F.col("doc_id").cast("string"), 12, "0")))
     first = ordering.in_key_order(docs, "key").limit(100)
     return first.select("doc_id", F.row_number().over(Window.orderBy("key")).alias("place"))  # a hundred rows
+
+
+LOSSES = ["noLoss", "precisionLoss", "recallLoss", "customLoss-0.1-3-1", "weightedCustomLoss-0.1-3-1-0.5"]
+_CUSTOM = "case when not ana and a < m then 0.1 when ana and a = m then 3.0 when ana and not coreferent then 1.0 else 0.0 end"
+
+
+@query("losses_by_name", base.PR + f""", known as (select p.doc_key, m, a, coreferent, bool_or(coreferent) over (partition by p.doc_key, m) as ana, s.size from pairs p join (select doc_key, ment_idx, count(*) over (partition by doc_key, key_id) as size from clusters) s on s.doc_key = p.doc_key and s.ment_idx = m)
+select doc_key, 0.0::double as l0, sum(case when a < m and not coreferent then 1 else 0 end)::double as l1, sum(case when ana and (a = m or not coreferent) then 1 else 0 end)::double as l2, round(sum({_CUSTOM})::double, 6) as l3, round(sum({_CUSTOM} * (0.5 + 0.5 * size))::double, 6) as l4 from known group by 1""")
+def losses_by_name(s, d):
+    sizes = base.clusters.places(proxy.key_clusters(proxy.plain_mentions(s, d), "word")).select("doc_key", F.col("ment_idx").alias("m"), "size")
+    w = Window.partitionBy("doc_key", "m")
+    p = proxy.scored_pairs(s, d, diagonal=True).withColumn("anaphoric", F.bool_or("coreferent").over(w)).join(sizes, ["doc_key", "m"])
+    new = F.col("a") == F.col("m")
+    sums = [F.round(F.sum(numeric.named_loss(n, F.col("anaphoric"), new, F.col("coreferent"), F.col("size"))), 6).alias(f"l{k}") for k, n in enumerate(LOSSES)]
+    return p.groupBy("doc_key").agg(*sums)
+
+
+_X = "(case when doc_id % 3 = 0 then -1 else 1 end) * (n_chars + 0.37) * pow(10.0, doc_id % 31 - 27)"
+
+
+@query("shown_numbers", f"""with v as (select doc_id, {_X} as x from documents where n_chars is not null), a as (select *, abs(x) as a from v)
+select doc_id, case when x < 0 then '-' else '' end || case when a = 0 then '0' when a < 1e-20 then 'tiny' when a < 0.001 then printf('%.1f', a * pow(10.0, ceil(-log10(a)))) || 'e-' || cast(ceil(-log10(a)) as bigint)
+  when a < 10000 then printf('%.3f', a) else printf('%.1f', a / pow(10.0, floor(log10(a)))) || 'e' || cast(floor(log10(a)) as bigint) end as shown from a""")
+def shown_numbers(s, d):
+    return proxy.table(s, d, "documents").where("n_chars is not null").select("doc_id", numeric.shown(F.expr(_X.replace("pow(10.0,", "pow(10.0D,").replace("0.37", "0.37D"))).alias("shown"))
+
+
+@query("pair_list_places", base.PR + " select doc_key, m, a, row_number() over (partition by doc_key order by m, a) - 1 as place, cast((1 + sqrt(1 + 8 * count(*) over (partition by doc_key))) / 2 as bigint) as mentions from strict")
+def pair_list_places(s, d):
+    rows = features.document_rows(base.P.mention_pairs(proxy.plain_mentions(s, d), []), ["m", "a"], "place")
+    return rows.select("doc_key", "m", "a", "place", features.mentions_of_pairs(F.col("rows")).alias("mentions"))
+
+
+@query("topic_labels", base.FU + " select doc_key, ment_idx, case when ment_type = 'PRONOMINAL' then 'PRON' else cast(length(head) % 4 as varchar) end as masked, case when ment_type in ('NOMINAL', 'PROPER') then 'NOMPROP' else cast(length(head) % 4 as varchar) end as other from mentions")
+def topic_labels(s, d):
+    m = proxy.mentions(s, d).withColumn("cluster", F.pmod(F.char_length("head"), F.lit(4)))
+    label = lambda flags: features.topic_label(F.col("ment_type"), F.col("cluster"), flags)
+    return m.select("doc_key", "ment_idx", label("+latent+noprons").alias("masked"), label("+latent+nonomsprops").alias("other"))
+
+
+@query("paragraph_modes", r"""with p as (select doc_id, 'line' as mode, string_split_regex(text, '\r?\n') as p from documents union all select doc_id, 'blank', string_split_regex(text, '\r?\n[ \t]*\r?\n') from documents union all select doc_id, 'whole', [text] from documents where text is not null)
+select doc_id, mode, len(p) as paragraphs, cast(list_max(list_transform(p, lambda x: length(x))) as bigint) as longest from p where p is not null""")
+def paragraph_modes(s, d):
+    docs = proxy.table(s, d, "documents").where("text is not null").select("doc_id", "text")
+    each = [text_formats.paragraphs(docs, mode).select("doc_id", F.lit(mode).alias("mode"), "paragraph") for mode in ("line", "blank", "whole")]
+    rows = each[0].unionByName(each[1]).unionByName(each[2])
+    return rows.groupBy("doc_id", "mode").agg(F.count("*").alias("paragraphs"), F.max(F.char_length("paragraph")).cast("bigint").alias("longest"))

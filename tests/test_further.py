@@ -149,3 +149,35 @@ def test_counts_of_affixes_and_fallbacks(spark):
     words = spark.createDataFrame([("Unbroken",), ("under",), ("x",)], "word string")
     assert [r["p"] for r in lexical.affix_fallback(words, known, "word", "p", "prefix").orderBy("word").collect()] == ["unb", "un", ""]
     assert [r["s"] for r in lexical.affix_fallback(words, known, "word", "s").orderBy("word").collect()] == ["n", "", ""]
+
+
+def test_phrases_of_a_language(spark):
+    from chainweave.operators import mentions as M
+
+    schema = "doc_key string, sent_idx long, start_idx long, end_idx long, label string, head_idx long"
+    found = spark.createDataFrame([("d", 0, 0, 3, "NP-SBJ", 1), ("d", 0, 0, 3, "NML", 1), ("d", 0, 3, 4, "VP", 3), ("d", 0, 4, 5, "NP", 4)], schema)
+    tags = ["``", "NN", "''", "VBD", ".", "PRP"]
+    tokens = spark.createDataFrame([("d", 0, k, t) for k, t in enumerate(tags)], "doc_key string, sent_idx long, tok_idx long, pos string")
+    spans = lambda pack: {tuple(r)[2:] for r in M.phrase_spans(found, tokens, pack).collect()}
+    assert spans(LANGUAGES["english"]) == {(1, 2, 1), (5, 6, 5)}
+    assert spans(LANGUAGES["chinese"]) == {(0, 3, 1), (4, 5, 4)}  # other tags are punctuation and pronouns there
+
+
+def test_losses_by_name(spark):
+    from chainweave.functions import numeric
+
+    df = spark.createDataFrame([(True, True, False, 4), (True, False, False, 4), (True, False, True, 4), (False, False, False, 1), (False, True, True, 1)], "ana boolean, new boolean, ok boolean, size int")
+    of = lambda name: [r[0] for r in df.select(numeric.named_loss(name, F.col("ana"), F.col("new"), F.col("ok"), F.col("size"))).collect()]
+    assert of("noLoss") == [0] * 5 and of("precisionLoss") == [0, 1, 0, 1, 0] and of("recallLoss") == [1, 1, 0, 0, 0]
+    assert of("customLoss-0.1-3-1") == [3, 1, 0, 0.1, 0] and of("weightedCustomLoss-0.1-3-1-0.5") == [7.5, 2.5, 0, 0.1, 0]
+    for bad in ("customLoss", "customLoss-1-2", "loss", "noLoss-1"):
+        with pytest.raises(ValueError):
+            numeric.named_loss(bad, F.col("ana"), F.col("new"), F.col("ok"))
+
+
+def test_shown_numbers(spark):
+    from chainweave.functions import numeric
+
+    numbers = [0.0, 1e-30, 0.00012, 0.5, -2.25, 9999.0, 10000.0, -1.5e12, float("inf"), float("-inf"), float("nan")]
+    found = spark.createDataFrame([(k, x) for k, x in enumerate(numbers)], "k int, x double").orderBy("k").select(numeric.shown(F.col("x"))).collect()
+    assert [r[0] for r in found] == ["0", "tiny", "1.2e-4", "0.500", "-2.250", "9999.000", "1.0e4", "-1.5e12", "+Inf", "-Inf", "NaN"]
