@@ -34,7 +34,9 @@ from .caching import Cache
 from .common import bounded_batches, held
 
 #: Entries of each generation of the word caches of a worker.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 250_000
+#: Beginnings of words that are remembered.
+WALKED = 200_000
 #: Beginnings of words up to this length are walked once for all words that share them.
 SHARED_LETTERS = 24
 
@@ -154,7 +156,7 @@ class WordBpe(Labels):
 
     def _word(self, word: str) -> bytes:
         walks, n = self.walks, len(word)
-        if len(walks) > 2 * CACHED_WORDS:
+        if len(walks) > WALKED:
             walks.clear()
         states, steps, find = [0], [], self._step
         for j in range(1, min(n, SHARED_LETTERS + 1)):
