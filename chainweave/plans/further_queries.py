@@ -43,7 +43,7 @@ def unknown_replaced(s, d):
 
 @query("binary_gradient", base.PR + f", p as (select {J.COARSE_SQL} as feats, coreferent, 1 / (1 + exp(-score)) as p from pairs where a < m) select cast(f as integer) as feat_idx, round(sum(case when coreferent then 1 - p else -0.5 * p end), 4) + 0.0 as gradient from (select unnest(feats) as f, p, coreferent from p) x group by 1")
 def binary_gradient(s, d):
-    p = proxy.scored_pairs(s, d).select(J.COARSE.alias("feats"), "score", "coreferent")
+    p = proxy.scored_pairs(s, d).select(J.coarse().alias("feats"), "score", "coreferent")
     return learning.binary_gradient(p, 0.5).select("feat_idx", (F.round("gradient", 4) + 0.0).alias("gradient"))
 
 

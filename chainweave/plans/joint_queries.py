@@ -210,14 +210,20 @@ def separate_pairs(s, d):
 
 # -- training the log-linear model ---------------------------------------------------------
 
-COARSE = F.array(F.least(F.col("m") - F.col("a"), F.lit(10)).cast("int"), F.when(F.col("m_head") == F.col("a_head"), 20).otherwise(21), F.when(F.col("a") == F.col("m"), 30).otherwise(31))
+
+
+def coarse():
+    """Distance, equal heads, and whether the mention starts a cluster, as ids."""
+    return F.array(F.least(F.col("m") - F.col("a"), F.lit(10)).cast("int"), F.when(F.col("m_head") == F.col("a_head"), 20).otherwise(21), F.when(F.col("a") == F.col("m"), 30).otherwise(31))
+
+
 COARSE_SQL = "[least(m - a, 10), case when m_head = a_head then 20 else 21 end, case when a = m then 30 else 31 end]"
 _RIGHT = "coreferent or (a = m and not anaphoric)"
 
 
 def _training_pairs(s, d):
     p = base._with_loss(s, d)
-    return p.withColumn("coreferent", F.expr(_RIGHT)).select("doc_key", "m", "a", COARSE.alias("feats"), "coreferent", "loss", "response_link", (F.col("m_sent_idx") - F.col("a_sent_idx")).alias("apart"))
+    return p.withColumn("coreferent", F.expr(_RIGHT)).select("doc_key", "m", "a", coarse().alias("feats"), "coreferent", "loss", "response_link", (F.col("m_sent_idx") - F.col("a_sent_idx")).alias("apart"))
 
 
 def _step_sql(rows: str, out: str) -> str:

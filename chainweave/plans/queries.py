@@ -116,16 +116,28 @@ def muc(s, d):
     return _rounded(metrics.muc(proxy.overlaps(s, d)))
 
 
-@query("blanc", PR + """, sides as (select doc_key, count(*) filter (where a_k = m_k and a_r = m_r) as both_c, count(*) filter (where a_k = m_k) as k_c, count(*) filter (where a_r = m_r) as r_c,
+_SIDES = """, sides as (select doc_key, count(*) filter (where a_k = m_k and a_r = m_r) as both_c, count(*) filter (where a_k = m_k) as k_c, count(*) filter (where a_r = m_r) as r_c,
     count(*) filter (where a_k <> m_k and a_r <> m_r) as both_no, count(*) filter (where a_k <> m_k) as k_no, count(*) filter (where a_r <> m_r) as r_no
-  from (select x.doc_key, x.k as m_k, y.k as a_k, x.r as m_r, y.r as a_r from labels x join labels y on x.doc_key = y.doc_key and y.ment_idx < x.ment_idx) group by 1)
-select doc_key, both_c::double as both_c, k_c::double as k_c, r_c::double as r_c, both_no::double as both_no, k_no::double as k_no, r_no::double as r_no from sides""")
+  from (select x.doc_key, x.k as m_k, y.k as a_k, x.r as m_r, y.r as a_r from labels x join labels y on x.doc_key = y.doc_key and y.ment_idx < x.ment_idx) group by 1)"""
+
+
+@query("blanc", PR + _SIDES + " select doc_key, both_c::double as both_c, k_c::double as k_c, r_c::double as r_c, both_no::double as both_no, k_no::double as k_no, r_no::double as r_no from sides")
 def blanc(s, d):
     counts = metrics.blanc(proxy.overlaps(s, d)).where("k_c + k_no > 0")
     return counts.select("doc_key", *(F.col(c).cast("double").alias(c) for c in ("both_c", "k_c", "r_c", "both_no", "k_no", "r_no")))
 
 
-@query("blanc_scores")
+def _blanc_sql() -> str:
+    """Of links and of no links recall, precision and F1; their means, or those of the one kind that the key has."""
+    ratio = lambda a, b: f"(case when coalesce({b}, 0) = 0 then 0.0::double else coalesce({a}, 0) / {b}::double end)"
+    f1 = lambda r, p: f"(case when {r} + {p} = 0 then 0.0::double else 2 * {r} * {p} / ({r} + {p}) end)"
+    kinds = {k: (ratio(f"both_{k}", f"k_{k}"), ratio(f"both_{k}", f"r_{k}")) for k in ("c", "no")}
+    each = ", ".join(f"{r} as r{k}, {p} as p{k}, {f1(r, p)} as f{k}" for k, (r, p) in kinds.items())
+    picked = ", ".join(f"round(case when coalesce(k_c, 0) = 0 then {x}no when coalesce(k_no, 0) = 0 then {x}c else ({x}c + {x}no) / 2 end, 6) as {name}" for x, name in (("r", "recall"), ("p", "precision"), ("f", "f1")))
+    return PR + _SIDES + f", every as (select distinct doc_key from labels), r as (select e.doc_key, k_c, k_no, {each} from every e left join sides s on s.doc_key = e.doc_key) select doc_key, {picked} from r"
+
+
+@query("blanc_scores", _blanc_sql())
 def blanc_scores(s, d):
     return metrics.blanc_scores(metrics.blanc(proxy.overlaps(s, d))).select("doc_key", *(six(c).alias(c) for c in ("recall", "precision", "f1")))
 
