@@ -12,8 +12,8 @@ own that a projection ties to it. Factors are rows, messages their columns:
   hard one, which then allows equal values only (``Property.grid``).
 
 A message to an antecedent node differs from a constant at one value only, so it
-is one number on the row of that candidate; messages to properties are short
-arrays. A round groups messages by node and joins the nodes' beliefs back to the
+is one number on the row of that candidate; messages to properties are a column
+for each value. A round groups messages by node and joins the nodes' beliefs back to the
 factors: keys are mentions and pairs, so no document is held by a task, and each
 round ends in a stored table. Which messages a round sends is the schedule's.
 """
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 from math import exp, inf
 from random import Random
 
@@ -109,48 +110,49 @@ def featured(prediction: Column, domain: Iterable[str], weights: dict[str, float
     return F.array(*(F.exp(own(v) + F.when(prediction == v, F.lit(hit)).otherwise(F.lit(0.0))) for v in domain))
 
 
-# -- arrays -------------------------------------------------------------------------
+# -- rows of values -------------------------------------------------------------------
+#
+# A message to a property is one column for each value, so that all of a round's
+# arithmetic is plain expressions on columns.
 
 
-def _literal(grids: list) -> Column:
-    return F.array(*(_literal(g) if isinstance(g, (list, tuple)) else F.lit(float(g)) for g in grids))
+def _names(prefix: str, width: int) -> list[str]:
+    return [f"{prefix}{k}" for k in range(width)]
 
 
-def _total(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+def _cols(prefix: str, width: int) -> list[Column]:
+    return [F.col(n) for n in _names(prefix, width)]
 
 
-def _log(x: Column) -> Column:
-    return F.log(F.greatest(x, F.lit(1e-300)))
-
-
-def _with_chances(rows: DataFrame, **logs: Column) -> DataFrame:
-    """The softmax of arrays; in steps, so that no array is computed for each of its elements."""
-    rows = rows.withColumns(logs)
-    rows = rows.withColumns({f"_top_{n}": F.array_max(n) for n in logs})
-    rows = rows.withColumns({n: F.transform(F.col(n), _less(f"_top_{n}")) for n in logs})
-    rows = rows.withColumns({f"_sum_{n}": _total(F.col(n)) for n in logs})
-    return rows.withColumns({n: F.transform(F.col(n), _share(f"_sum_{n}")) for n in logs}).drop(*(f"_{k}_{n}" for n in logs for k in ("top", "sum")))
+def _sum(values: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a + b, values)
 
 
-def _less(top: str):
-    return lambda x: F.exp(x - F.col(top))
+def _top(values: list[Column]) -> Column:
+    return F.greatest(*values) if len(values) > 1 else values[0]
 
 
-def _share(total: str):
-    return lambda x: x / F.col(total)
-
-
-def _dot(x: Column, y: Column) -> Column:
-    return _total(F.zip_with(x, y, lambda a, b: a * b))
+def _log(x: Column) -> Column:
+    return F.log(F.greatest(x, F.lit(1e-300)))
 
 
-def _plus(x: Column, y: Column) -> Column:
-    return F.zip_with(x, y, lambda a, b: a + b)
+def _with_chances(rows: DataFrame, **logs: list[Column]) -> DataFrame:
+    """The softmax of rows of values, in steps, so that none is computed again for each of its values."""
+    width = len(next(iter(logs.values())))
+    rows = rows.withColumns({f"{n}{k}": x for n, xs in logs.items() for k, x in enumerate(xs)})
+    rows = rows.withColumns({f"_top_{n}": _top(_cols(n, width)) for n in logs})
+    rows = rows.withColumns({f"{n}{k}": F.exp(F.col(f"{n}{k}") - F.col(f"_top_{n}")) for n in logs for k in range(width)})
+    rows = rows.withColumns({f"_sum_{n}": _sum(_cols(n, width)) for n in logs})
+    return rows.withColumns({f"{n}{k}": F.col(f"{n}{k}") / F.col(f"_sum_{n}") for n in logs for k in range(width)}).drop(*(f"_{x}_{n}" for n in logs for x in ("top", "sum")))
 
 
-def _minus(x: Column, y: Column) -> Column:
-    return F.zip_with(x, y, lambda a, b: a - b)
+def _by_property(values: list[float]) -> Column:
+    """A number for each property, by the column c."""
+    out = F.lit(float(values[-1]))
+    for c in range(len(values) - 2, -1, -1):
+        if values[c] != values[-1] or any(v != values[-1] for v in values[c:]):
+            out = F.when(F.col("c") == c, F.lit(float(values[c]))).otherwise(out)
+    return out
 
 
 # -- the graph ----------------------------------------------------------------------
@@ -164,15 +166,17 @@ class Beliefs:
     def __init__(self, choices: DataFrame, base: DataFrame, observed: DataFrame, messages: DataFrame, properties: list[Property]):
         self.choices, self.base, self.observed, self.messages, self.properties = choices, base, observed, messages, properties
         self.width = max(p.size for p in properties)
-        grids = [_padded(p.potentials(), self.width, 1.0) for p in properties]
-        self.grids, self.turned = _literal(grids), _literal([list(zip(*g)) for g in grids])
+        self.grids = [_padded(p.potentials(), self.width, 1.0) for p in properties]
+
+    def grid(self, i: int, j: int) -> Column:
+        return _by_property([g[i][j] for g in self.grids])
 
     def nodes(self, messages: DataFrame, base: DataFrame) -> DataFrame:
-        """doc_key, node, c, belief (log, not normalised), moved (the largest change among its messages)."""
-        sent = messages.select("doc_key", F.col("m").alias("node"), "c", F.col("to_m").alias("t"), "change").unionByName(messages.select("doc_key", F.col("a").alias("node"), "c", F.col("to_a").alias("t"), "change"))
-        sums = sent.groupBy(NODE).agg(*(F.sum(F.col("t")[k]).alias(f"t{k}") for k in range(self.width)), F.max("change").alias("moved"))
-        sums = sums.select(*NODE, F.array(*(F.col(f"t{k}") for k in range(self.width))).alias("t"), "moved")
-        return base.join(sums, NODE, "left").select(*NODE, F.when(F.col("t").isNull(), F.col("base")).otherwise(_plus(F.col("base"), F.col("t"))).alias("belief"), "moved")
+        """doc_key, node, c, b0, b1, ... (log beliefs, not normalised), moved (the largest change among its messages)."""
+        w = self.width
+        side = lambda name, to: messages.select("doc_key", F.col(name).alias("node"), "c", *(F.col(f"{to}{k}").alias(f"t{k}") for k in range(w)), "change")
+        sums = side("m", "to_m").unionByName(side("a", "to_a")).groupBy(NODE).agg(*(F.sum(f"t{k}").alias(f"t{k}") for k in range(w)), F.max("change").alias("moved"))
+        return base.join(sums, NODE, "left").select(*NODE, *((F.col(f"base{k}") + F.coalesce(f"t{k}", F.lit(0.0))).alias(f"b{k}") for k in range(w)), "moved")
 
     def chosen(self, messages: DataFrame) -> DataFrame:
         """doc_key, m, a, marginal, moved_m."""
@@ -183,27 +187,28 @@ class Beliefs:
         return weighed.select(*PAIR, (F.col("e") / F.sum("e").over(own)).alias("marginal"), F.max("change").over(own).alias("moved_m"))
 
     def met(self, messages: DataFrame, base: DataFrame) -> DataFrame:
-        """Every link factor with what its nodes send it: q_m, q_a (chances of the values), chosen (that of the candidate), moved."""
-        nodes, choice = self.nodes(messages, base), self.chosen(messages)
-        at = lambda name: nodes.select("doc_key", F.col("node").alias(name), "c", F.col("belief").alias(f"b_{name}"), F.col("moved").alias(f"moved_of_{name}"))
+        """Every link factor with what its nodes send it: q_m0.., q_a0.. (chances of the values), chosen (that of the candidate), moved."""
+        w, nodes, choice = self.width, self.nodes(messages, base), self.chosen(messages)
+        at = lambda name: nodes.select("doc_key", F.col("node").alias(name), "c", *(F.col(f"b{k}").alias(f"b_{name}{k}") for k in range(w)), F.col("moved").alias(f"moved_of_{name}"))
         rows = messages.join(choice, PAIR).join(at("m"), ["doc_key", "m", "c"]).join(at("a"), ["doc_key", "a", "c"])
-        rows = _with_chances(rows, q_m=_minus(F.col("b_m"), F.col("to_m")), q_a=_minus(F.col("b_a"), F.col("to_a")))
+        rows = _with_chances(rows, **{f"q_{x}": [F.col(f"b_{x}{k}") - F.col(f"to_{x}{k}") for k in range(w)] for x in "ma"})
         without = F.col("marginal") * F.exp(-F.col("to_choice"))
-        return rows.select(*messages.columns, "q_m", "q_a", (without / (without + 1 - F.col("marginal"))).alias("chosen"), F.greatest("moved_m", "moved_of_m", "moved_of_a").alias("moved"))
+        return rows.select(*messages.columns, *_names("q_m", w), *_names("q_a", w), (without / (without + 1 - F.col("marginal"))).alias("chosen"), F.greatest("moved_m", "moved_of_m", "moved_of_a").alias("moved"))
 
     def sent(self, messages: DataFrame, base: DataFrame, tolerance: float | None) -> DataFrame:
         """The messages of the next round. With a tolerance a factor none of whose nodes has moved by more sends nothing new."""
-        rows = self.met(messages, base).withColumns({"g": self.grids[F.col("c")], "turned": self.turned[F.col("c")]})
-        rows = rows.withColumns({"weighed": F.transform("g", lambda row: _dot(row, F.col("q_a"))), "back": F.transform("turned", lambda row: _dot(row, F.col("q_m")))})
-        mixed = lambda x: F.transform(x, lambda v: _log(F.col("chosen") * v + 1 - F.col("chosen")))
-        new = rows.select(*messages.columns, "moved", _log(_dot(F.col("q_m"), F.col("weighed"))).alias("new_choice"), mixed("weighed").alias("new_m"), mixed("back").alias("new_a"))
+        n = range(self.width)
+        rows = self.met(messages, base)
+        rows = rows.withColumns({f"x{i}": _sum(self.grid(i, j) * F.col(f"q_a{j}") for j in n) for i in n} | {f"y{j}": _sum(self.grid(i, j) * F.col(f"q_m{i}") for i in n) for j in n})
+        mixed = lambda x: _log(F.col("chosen") * F.col(x) + 1 - F.col("chosen"))
+        new = {"to_choice": _log(_sum(F.col(f"q_m{i}") * F.col(f"x{i}") for i in n))} | {f"to_m{k}": mixed(f"x{k}") for k in n} | {f"to_a{k}": mixed(f"y{k}") for k in n}
         quiet = F.lit(False) if tolerance is None else F.col("moved") <= tolerance
-        old = {"new_choice": "to_choice", "new_m": "to_m", "new_a": "to_a"}
-        kept = new.select("doc_key", "m", "a", "c", *(F.when(quiet, F.col(o)).otherwise(F.col(n)).alias(n) for n, o in old.items()), *old.values())
+        rows = rows.select("doc_key", "m", "a", "c", *(F.when(quiet, F.col(c)).otherwise(x).alias(f"new_{c}") for c, x in new.items()), *new)
         # messages to properties are the same up to a factor, so they are compared without it
-        kept = kept.withColumns({"d_m": _minus(F.col("new_m"), F.col("to_m")), "d_a": _minus(F.col("new_a"), F.col("to_a"))})
-        change = F.greatest(F.abs(F.col("new_choice") - F.col("to_choice")), *(F.array_max(d) - F.array_min(d) for d in ("d_m", "d_a")))
-        return kept.select("doc_key", "m", "a", "c", change.alias("change"), *(F.col(n).alias(o) for n, o in old.items()))
+        rows = rows.withColumns({f"d_{x}{k}": F.col(f"new_to_{x}{k}") - F.col(f"to_{x}{k}") for x in "ma" for k in n})
+        spread = lambda x: _top(_cols(f"d_{x}", self.width)) - (F.least(*_names(f"d_{x}", self.width)) if self.width > 1 else F.col(f"d_{x}0"))
+        change = F.greatest(F.abs(F.col("new_to_choice") - F.col("to_choice")), spread("m"), spread("a"))
+        return rows.select("doc_key", "m", "a", "c", change.alias("change"), *(F.col(f"new_{c}").alias(c) for c in new))
 
     def marginals(self) -> DataFrame:
         """doc_key, m, a, marginal."""
@@ -211,32 +216,33 @@ class Beliefs:
 
     def values(self) -> DataFrame:
         """doc_key, ment_idx, property, chances of its values, the place of the largest (the first of equals)."""
-        rows = _with_chances(self.nodes(self.messages, self.base), chances=F.col("belief"))
+        rows = _with_chances(self.nodes(self.messages, self.base), q=_cols("b", self.width))
         return self._named(rows).withColumn("best", F.array_position("chances", F.array_max("chances")) - 1)
 
     def observations(self) -> DataFrame:
         """As ``values`` of the nodes at which projected properties are observed: what coreference says about the observation, by the last round's messages."""
+        n = range(self.width)
         rows = self.nodes(self.messages, self.base).join(self.observed, NODE).where("projected")
-        rows = _with_chances(rows, latent=_plus(_minus(F.col("belief"), F.col("base")), _possible(self.properties)[F.col("c")]))
-        table = _literal([_padded([[exp(w) for w in row] for row in (p.projection or default_grid("zero", p.size))], self.width, 1.0) for p in self.properties])
-        rows = rows.withColumn("back", F.transform(table[F.col("c")], lambda row: _dot(row, F.col("latent"))))
-        return self._named(_with_chances(rows, chances=F.transform(F.zip_with("potentials", "back", lambda x, y: x * y), _log)))
+        possible = [[0.0 if k < p.size else NEVER for k in n] for p in self.properties]
+        rows = _with_chances(rows, l=[F.col(f"b{k}") - F.col(f"base{k}") + _by_property([x[k] for x in possible]) for k in n])
+        tables = [_padded([[exp(w) for w in row] for row in (p.projection or default_grid("zero", p.size))], self.width, 1.0) for p in self.properties]
+        rows = rows.withColumns({f"back{o}": _sum(_by_property([t[o][k] for t in tables]) * F.col(f"l{k}") for k in n) for o in n})
+        return self._named(_with_chances(rows, q=[_log(F.col(f"phi{k}") * F.col(f"back{k}")) for k in n]))
 
     def _named(self, rows: DataFrame) -> DataFrame:
         sizes, names = F.array(*(F.lit(p.size) for p in self.properties)), F.array(*(F.lit(p.name) for p in self.properties))
-        return rows.select("doc_key", F.col("node").alias("ment_idx"), names[F.col("c")].alias("property"), F.slice("chances", F.lit(1), sizes[F.col("c")]).alias("chances"))
+        return rows.select("doc_key", F.col("node").alias("ment_idx"), names[F.col("c")].alias("property"), F.slice(F.array(*_names("q", self.width)), F.lit(1), sizes[F.col("c")]).alias("chances"))
 
     def expected_counts(self, names: list[Names]) -> DataFrame:
         """feature, expected: how often each grid feature holds, over all link factors (G10). ``names``: for each property."""
-        rows = self.met(self.messages, self.base).withColumn("g", self.grids[F.col("c")])
-        n = range(self.width)
-        each = F.array(*(F.col("chosen") * F.col("g")[i][j] * F.col("q_m")[i] * F.col("q_a")[j] for i in n for j in n))
-        rest = 1 - F.col("chosen")
-        total = rows.withColumn("each", each).withColumn("z", _total(F.col("each")) + rest)
-        sums = total.groupBy("c").agg(*(F.sum(F.col("each")[k] / F.col("z")).alias(f"e{k}") for k in range(self.width**2)))
-        listed = [(c, i * self.width + j, name) for c, grid in enumerate(names) for i, row in enumerate(grid) for j, own in enumerate(row) for name in own]
+        w = self.width
+        cells = {i * w + j: F.col("chosen") * self.grid(i, j) * F.col(f"q_m{i}") * F.col(f"q_a{j}") for i in range(w) for j in range(w)}
+        rows = self.met(self.messages, self.base).withColumns({f"e{k}": x for k, x in cells.items()})
+        rows = rows.withColumn("z", _sum(_cols("e", w * w)) + 1 - F.col("chosen"))
+        sums = rows.groupBy("c").agg(*(F.sum(F.col(f"e{k}") / F.col("z")).alias(f"e{k}") for k in cells))
+        listed = [(c, i * w + j, name) for c, grid in enumerate(names) for i, row in enumerate(grid) for j, own in enumerate(row) for name in own]
         where = sums.sparkSession.createDataFrame(listed, "c int, k int, feature string")  # a grid's features
-        counts = sums.select("c", F.posexplode(F.array(*(F.col(f"e{k}") for k in range(self.width**2)))).alias("k", "expected"))
+        counts = sums.select("c", F.posexplode(F.array(*_names("e", w * w))).alias("k", "expected"))
         return counts.join(F.broadcast(where), ["c", "k"]).groupBy("feature").agg(F.sum("expected").alias("expected"))
 
 
@@ -244,12 +250,6 @@ def _padded(grid: Grid, width: int, rest: float) -> Grid:
     return [[grid[i][j] if i < len(grid) and j < len(grid[0]) else rest for j in range(width)] for i in range(width)]
 
 
-def _possible(properties: list[Property]) -> Column:
-    """For each property 0 at its values, and ``NEVER`` at the places that only others have."""
-    width = max(p.size for p in properties)
-    return _literal([[0.0 if k < p.size else NEVER for k in range(width)] for p in properties])
-
-
 def propagate(choices: DataFrame, mentions: DataFrame, properties: list[Property], rounds: int = ROUNDS, tolerance: float | None = None) -> Beliefs:
     """Rounds of messages between all nodes and factors.
 
@@ -264,23 +264,24 @@ def propagate(choices: DataFrame, mentions: DataFrame, properties: list[Property
     scratch = Scratch(choices.sparkSession, "factor-graph")
     width = max(p.size for p in properties)
     choices = scratch.store(choices.select(*PAIR, "score"), "choices")
-    padded = lambda x, p, rest: F.concat(x, F.array_repeat(F.lit(rest), width - p.size))
-
-    def potentials(p: Property) -> Column:
-        own = F.col(f"`{p.name}`")
-        if p.projection is None:
-            return own
-        table = _literal([[exp(w) for w in column] for column in zip(*p.projection)])
-        return F.transform(table, lambda column: _dot(column, own))
-
-    rows = F.array(*(F.struct(F.lit(c).alias("c"), padded(F.transform(potentials(p), _log), p, NEVER).alias("base"), padded(F.col(f"`{p.name}`"), p, 0.0).alias("potentials"), F.lit(p.projection is not None).alias("projected")) for c, p in enumerate(properties)))
-    observed = scratch.store(mentions.select("doc_key", F.col("ment_idx").alias("node"), F.explode(rows).alias("x")).select("doc_key", "node", "x.*"), "observed")
-    base = observed.select(*NODE, "base")
-    start = observed.select(*NODE, F.when(F.col("projected"), _possible(properties)[F.col("c")]).otherwise(F.col("base")).alias("base"))
-    quiet = F.array_repeat(F.lit(0.0), width)
+    n = range(width)
+
+    def described(c: int, p: Property) -> Column:
+        """For one property: its potentials as observed (phi), and what these make of the property itself (base)."""
+        own = [F.get(F.col(f"`{p.name}`"), k) for k in range(p.size)]
+        tied = own if p.projection is None else [_sum(x * F.lit(exp(row[k])) for x, row in zip(own, p.projection)) for k in range(p.size)]
+        at = lambda values, k, rest: values[k] if k < p.size else F.lit(rest)
+        logs = [_log(x) for x in tied]
+        return F.struct(F.lit(c).alias("c"), *(at(logs, k, NEVER).alias(f"base{k}") for k in n), *(at(own, k, 0.0).cast("double").alias(f"phi{k}") for k in n), F.lit(p.projection is not None).alias("projected"))
+
+    rows = F.explode(F.array(*(described(c, p) for c, p in enumerate(properties))))
+    observed = scratch.store(mentions.select("doc_key", F.col("ment_idx").alias("node"), rows.alias("x")).select("doc_key", "node", "x.*"), "observed")
+    base = observed.select(*NODE, *_names("base", width))
+    start = observed.select(*NODE, *(F.when(F.col("projected") & (F.col(f"base{k}") > NEVER), F.lit(0.0)).otherwise(F.col(f"base{k}")).alias(f"base{k}") for k in n))
     links = choices.where("a <> m").select(*PAIR, F.explode(F.array(*(F.lit(c) for c in range(len(properties))))).alias("c"))
-    live = scratch.store(links.select("*", F.lit(inf).alias("change"), F.lit(0.0).alias("to_choice"), quiet.alias("to_m"), quiet.alias("to_a")), "round-0")
-    graph, done = Beliefs(choices, base, observed, live, properties), []
+    silent = [F.lit(0.0).alias(c) for c in ("to_choice", *_names("to_m", width), *_names("to_a", width))]
+    live = scratch.store(links.select("*", F.lit(inf).alias("change"), *silent), "round-0")
+    graph, done = Beliefs(choices, base, observed.select(*NODE, *_names("base", width), *_names("phi", width), "projected"), live, properties), []
     for k in range(rounds):
         after = scratch.store(graph.sent(live, base if k else start, tolerance if k else None), f"round-{k + 1}")
         scratch.drop(f"round-{k}") if k or not done else None
