@@ -34,7 +34,7 @@ from .caching import Cache
 from .common import bounded_batches, held
 
 #: Entries of each generation of the word caches of a worker.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 180_000
 #: Beginnings of words that are remembered.
 WALKED = 200_000
 #: Beginnings of words up to this length are walked once for all words that share them.
