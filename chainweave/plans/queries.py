@@ -393,7 +393,7 @@ def distance_prune(s, d):
     return kept.groupBy("doc_key", "m").agg(F.count("*").alias("kept"), F.min("a").alias("first"))
 
 
-@query("log_ratio_prune", PR + "select doc_key, m, count(*) as kept from (select *, max(score) over (partition by doc_key, m) as best from pairs) where score + 1.0 >= best group by 1, 2")
+@query("log_ratio_prune", PR + "select doc_key, m, count(*) as kept from (select *, max(round(score, 9)) over (partition by doc_key, m) as best from pairs) where round(score, 9) + 1.0 >= best group by 1, 2")
 def log_ratio_prune(s, d):
     return P.log_ratio_pruned(proxy.scored_pairs(s, d, diagonal=True), 1.0).groupBy("doc_key", "m").agg(F.count("*").alias("kept"))
 
