@@ -120,7 +120,7 @@ class Labels:
 class WordBpe(Labels):
     """The tokenizer of a JSON file: NFC, lower case, word split, byte letters, merges with word ends."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, cached: int = CACHED_WORDS):
         import regex
 
         super().__init__(file)
@@ -138,8 +138,8 @@ class WordBpe(Labels):
         self.pieces = regex.compile(f"[^{SPACES}]+").findall
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")").split
         self.longest = max(len(t) for t in self.vocabulary)
-        self.word_ids = Cache(self._word, CACHED_WORDS)
-        self.chunk_ids = Cache(self._chunk, CACHED_WORDS)
+        self.word_ids = Cache(self._word, cached)
+        self.chunk_ids = Cache(self._chunk, cached)
         #: What is known of a word's beginning: state, last token and its length, in one number.
         self.walks: dict[str, int] = {}
 
@@ -200,12 +200,12 @@ class WordBpe(Labels):
         return b"".join(parts)
 
 
-def opened(file: str, kind: type = WordBpe):
+def opened(file: str, kind: type = WordBpe, *options):
     """The compiled tokenizer, or only its labels; once per worker."""
-    return held(("bpe", kind.__name__, hashlib.sha256(file.encode()).hexdigest()), lambda: kind(file))
+    return held(("bpe", kind.__name__, hashlib.sha256(file.encode()).hexdigest(), *options), lambda: kind(file, *options))
 
 
-def _mapped(docs: DataFrame, tokenizer: str, text: str, added: dict[str, T.DataType], convert, kind: type) -> DataFrame:
+def _mapped(docs: DataFrame, tokenizer: str, text: str, added: dict[str, T.DataType], convert, kind: type, *options) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     file = spark.sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())  # of the vocabulary's size
@@ -214,7 +214,7 @@ def _mapped(docs: DataFrame, tokenizer: str, text: str, added: dict[str, T.DataT
     schema = T.StructType([f for f in docs.schema if f.name not in added] + [T.StructField(n, t) for n, t in added.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = opened(file.value, kind)
+        model = opened(file.value, kind, *options)
         for batch in batches:
             made = convert(model, batch.column(at))
             columns = {n: c for n, c in zip(names, batch.columns) if n not in made} | made
@@ -241,14 +241,14 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", text: str = "de
     return _mapped(encoded, tokenizer, ids, {text: T.StringType()}, convert, Labels)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``encode`` and then ``decode`` of the ids, in one pass and one Python worker for each task."""
+def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", cached: int = CACHED_WORDS) -> DataFrame:
+    """``encode`` and then ``decode`` of the ids, in one pass and one Python worker for each task. ``cached``: entries of a worker's caches."""
 
     def convert(model: WordBpe, texts: pa.Array) -> dict:
         coded = [None if t is None else model.encode(t) for t in texts.to_pylist()]
         return {ids: pa.array(coded, pa.binary()), decoded: pa.array([None if c is None else model.decode(c) for c in coded], pa.string())}
 
-    return _mapped(docs, tokenizer, text, {ids: T.BinaryType(), decoded: T.StringType()}, convert, WordBpe)
+    return _mapped(docs, tokenizer, text, {ids: T.BinaryType(), decoded: T.StringType()}, convert, WordBpe, cached)
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -14,6 +14,10 @@ from chainweave.llm import bpe, decontamination, language, near_duplicates, pii
 from chainweave.llm.common import Scratch, fresh, table
 
 
+#: Entries of the caches of the last stage: fewer than a job of its own has, as earlier stages have grown the executors' heaps.
+CACHED_WORDS = 100_000
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a certain language go; a missing language is filled in.
 
@@ -63,7 +67,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     rows = docs.select("doc_id", "lang", "source", "n_chars", F.coalesce("text", F.lit("")).alias("text"))
-    return bpe.round_trip(rows, tokenizer).select(
+    return bpe.round_trip(rows, tokenizer, cached=CACHED_WORDS).select(
         "doc_id", "lang", "source", "n_chars", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
