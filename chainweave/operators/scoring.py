@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import components
 
 BY_MENTION = ["doc_key", "m"]
+#: Vectors of a chunk of ``largest_products``, about; of one product of matrices on either side, at most.
+CHUNK, PRODUCT = 8192, 1024
 
 
 def linear_scores(pairs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -84,3 +90,56 @@ def antecedent_accuracy(chosen: DataFrame, gold: DataFrame) -> DataFrame:
     marks = gold.where("coreferent").select("doc_key", "m", "a", F.lit(1).alias("right"))
     anaphoric = gold.where("coreferent").select("doc_key", "m").distinct()
     return anaphoric.join(chosen.select("doc_key", "m", "a"), BY_MENTION, "left").join(marks, [*BY_MENTION, "a"], "left").agg(F.count("*").alias("anaphoric"), F.count("right").alias("correct"), F.coalesce(F.try_divide(F.count("right"), F.count("*")), F.lit(0.0)).alias("accuracy"))
+
+
+def largest_products(vectors: DataFrame) -> DataFrame:
+    """label, pairs, best: of all pairs of a label's vectors their number and the largest inner product; ``vectors``: label, id, v.
+
+    Each label is cut into chunks by a hash of the ids; a task holds one chunk and multiplies it with the rows of another as they
+    come, so a row is sent as often as its label has chunks, and no pair is a row. Rows of one id are no pair; a null
+    vector's products are null.
+    """
+    rows = vectors.where("label is not null and id is not null").select("label", F.col("id").cast("bigint").alias("id"), F.coalesce(F.col("v").cast("array<double>"), F.array().cast("array<double>")).alias("v"))
+    sizes = rows.groupBy("label").agg(F.ceil(F.count("*") / CHUNK).cast("bigint").alias("n"))
+    own = rows.join(sizes, "label").withColumn("c", F.pmod(F.xxhash64("id"), F.col("n")))
+    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    after = F.transform(F.sequence("c", F.col("n") - 1), lambda j: cell(F.col("c"), j, 0))
+    before = F.transform(F.sequence(F.lit(0).cast("bigint"), "c"), lambda i: cell(i, F.col("c"), 1))
+    dealt = own.select("label", "id", "v", F.explode(F.concat(after, before)).alias("x")).select("label", "x.i", "x.j", "x.side", "id", "v")
+    dealt = dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "side")
+    kind, step = vectors.schema["label"].dataType.simpleString(), PRODUCT
+
+    def matrix(column: pa.ListArray) -> np.ndarray:
+        sizes = np.diff(column.offsets.to_numpy())
+        out = np.full((len(sizes), max(1, int(sizes.max()))), np.nan)
+        if sizes.any():
+            out[sizes > 0] = column.flatten().to_numpy(zero_copy_only=False).reshape((sizes > 0).sum(), -1)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
+            ids, out = batch.column(4).to_numpy(), []
+            edges = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for lo, hi in zip(edges, edges[1:]) if keys else ():
+                label, i, j, side = keys[lo]
+                if (label, i, j) != cell:
+                    cell, held = (label, i, j), []
+                parts = [(ids[k : min(k + step, hi)], matrix(batch.column(5).slice(k, min(step, hi - k)))) for k in range(lo, hi, step)]
+                if not side:
+                    held += parts
+                    continue
+                for x, v in parts:
+                    for y, w in held:
+                        width = max(v.shape[1], w.shape[1])
+                        wide = lambda z: z if z.shape[1] == width else np.full((len(z), width), np.nan)  # noqa: E731  all of its vectors are null
+                        products, met = wide(v) @ wide(w).T, y[None] < x[:, None] if i == j else np.True_
+                        n = int(met.sum()) if i == j else products.size
+                        best = np.fmax.reduce(np.where(met, products, np.nan), None)
+                        out.append((label, n, None if np.isnan(best) else float(best)))
+            names, counts, bests = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, batch.schema.field(0).type), pa.array(counts, pa.int64()), pa.array(bests, pa.float64())], names=["label", "pairs", "best"])
+
+    found = dealt.mapInArrow(run, f"label {kind}, pairs bigint, best double").where("pairs > 0")
+    return found.groupBy("label").agg(F.sum("pairs").alias("pairs"), F.max("best").alias("best"))

@@ -718,9 +718,8 @@ def genre_filter(s, d):
 
 @query("embedding_ranks", "select a.label, count(*) as pairs, round(max(list_inner_product(a.embedding::double[], b.embedding::double[])), 4) as best from embeddings a join embeddings b on a.label = b.label and b.vec_id < a.vec_id group by 1")
 def embedding_ranks(s, d):
-    e = proxy.table(s, d, "embeddings").select(F.col("label").alias("doc_key"), F.col("vec_id").alias("ment_idx"), F.col("embedding").cast("array<double>").alias("v"))
-    dot = F.aggregate(F.zip_with("m_v", "a_v", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    return P.mention_pairs(e, ["v"]).groupBy(F.col("doc_key").alias("label")).agg(F.count("*").alias("pairs"), F.round(F.max(dot), 4).alias("best"))
+    e = proxy.table(s, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return scoring.largest_products(e).withColumn("best", F.round("best", 4))
 
 
 @query("event_windows", "select date_trunc('hour', ts)::timestamp as start, event_type, count(*) as events, round(sum(value), 4) as total from events group by 1, 2")

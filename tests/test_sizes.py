@@ -1,8 +1,11 @@
 """Plans whose memory and shuffles must not follow the number of tokens or pairs."""
 
+import random
+
 import pytest
 
 import __spark_entry__ as entry
+from chainweave.operators import scoring
 
 DATA = "/root/testdata/sf0.001"
 
@@ -20,3 +23,23 @@ def test_what_is_exploded_is_not_broadcast_by_the_size_of_its_file(spark, name):
     finally:
         entry.broadcast_as_measured(spark, False)
         spark.conf.unset(entry.STATIC)
+
+
+def test_largest_products_of_chunks_are_those_of_all_pairs(spark, monkeypatch):
+    """Each pair is met once, however a label is cut; no pair is a row."""
+    monkeypatch.setattr(scoring, "CHUNK", 5)
+    monkeypatch.setattr(scoring, "PRODUCT", 2)
+    rng = random.Random(1)
+    rows = [(f"l{k % 3}", k // 2 if k % 7 == 0 else k, None if k % 11 == 0 else [rng.gauss(0, 1) for _ in range(4)]) for k in range(90)]
+    rows += [("alone", 1, [1.0] * 4), (None, 1, [9.0] * 4), ("l0", None, [9.0] * 4), ("blank", 1, None), ("blank", 2, None)]
+    expected = {}
+    for label in {r[0] for r in rows} - {None}:
+        own = [r for r in rows if r[0] == label and r[1] is not None]
+        pairs = [(x, y) for _, i, x in own for _, j, y in own if j < i]
+        if pairs:
+            expected[label] = len(pairs), max((round(sum(a * b for a, b in zip(x, y)), 9) for x, y in pairs if x and y), default=None)
+    found = scoring.largest_products(spark.createDataFrame(rows, "label string, id long, v array<float>"))
+    got = {r["label"]: (r["pairs"], r["best"]) for r in found.collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in expected.items()} and got["blank"][1] is None
+    assert all(got[k][1] == pytest.approx(v[1], abs=1e-5) for k, v in expected.items() if v[1] is not None)
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString()
