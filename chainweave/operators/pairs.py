@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BLOCK = 512
 
 
-def mention_pairs(mentions: DataFrame, columns: list[str], diagonal: bool = False, keep: Column | None = None, back: int | None = None) -> DataFrame:
+def mention_pairs(mentions: DataFrame, columns: list[str], diagonal: bool = False, keep: Column | None = None, back: int | None = None, beside: DataFrame | None = None) -> DataFrame:
     """Every mention ``m`` with each earlier mention ``a`` of its document.
 
     ``columns`` come twice, as m_<name> and a_<name>. With ``diagonal`` a mention
@@ -18,17 +18,36 @@ def mention_pairs(mentions: DataFrame, columns: list[str], diagonal: bool = Fals
     is the most mentions between a pair that ``keep`` lets through, so that farther
     blocks are not visited. Only the columns asked for are shuffled, by document
     and block of antecedents: a long document is many keys, each with at most
-    BLOCK pairs a mention. Mentions are numbered from 0.
+    BLOCK pairs a mention. Mentions are numbered from 0. ``beside``: doc_key, m, m_block and ``of_pairs``, a value for
+    each antecedent of the block in order (``head_pair_counts``), which each pair gets as ``of_pair``.
     """
     side = lambda p, i: mentions.select("doc_key", F.col("ment_idx").alias(i), *(F.col(c).alias(f"{p}_{c}") for c in columns))
     block = lambda c: F.floor(c / BLOCK)
     first = F.lit(0).cast("bigint") if back is None else block(F.greatest(F.col("m") - back, F.lit(0)))
     m = side("m", "m").withColumn("m_block", F.explode(F.sequence(first, block(F.col("m")))))
+    if beside is not None:
+        m = m.join(beside, ["doc_key", "m", "m_block"], "left")
     a = side("a", "a").withColumnRenamed("doc_key", "a_doc").withColumn("a_block", block(F.col("a")))
     on = (m["doc_key"] == a["a_doc"]) & (m["m_block"] == a["a_block"]) & ((a["a"] <= m["m"]) if diagonal else (a["a"] < m["m"]))
     if back is not None:
         on &= a["a"] >= m["m"] - back
-    return m.join(a, on & keep if keep is not None else on).drop("a_doc", "m_block", "a_block")
+    both = m.join(a, on & keep if keep is not None else on)
+    if beside is not None:
+        both = both.withColumn("of_pair", F.get("of_pairs", (F.col("a") - F.col("m_block") * BLOCK).cast("int"))).drop("of_pairs")
+    return both.drop("a_doc", "m_block", "a_block")
+
+
+def head_pair_counts(mentions: DataFrame, least: int, ordered: bool = True) -> DataFrame:
+    """doc_key, m, m_block, of_pairs: how often each pair's two heads are a pair of the corpus, null for fewer times than ``least``.
+
+    Only keys and heads of the pairs are shuffled, not the columns that features need: those meet the counts where pairs are made.
+    """
+    heads = ("m_head", "a_head") if ordered else (F.least("m_head", "a_head"), F.greatest("m_head", "a_head"))
+    narrow = mention_pairs(mentions, ["head"]).select("doc_key", "m", "a", *(F.col(h).alias(n) if ordered else h.alias(n) for h, n in zip(heads, "xy")))
+    counts = narrow.groupBy("x", "y").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    met = F.array_sort(F.collect_list(F.struct("a", "n")))
+    blocks = narrow.join(counts, ["x", "y"], "left").groupBy("doc_key", "m", F.floor(F.col("a") / BLOCK).alias("m_block")).agg(met.alias("met"))
+    return blocks.select("doc_key", "m", "m_block", F.col("met.n").alias("of_pairs"))
 
 
 def near_enough(most_mentions: int = 10_000, most_sentences: int = 5_000) -> Column:

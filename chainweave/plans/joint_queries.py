@@ -30,13 +30,12 @@ def described(s, d):
 def featurized(s, d, options: Options, fine: bool = False):
     """doc_key, m, a, feats: every pair and every mention with itself, by the options' feature set."""
     m, feature_set = described(s, d), options.fine_feature_sets if fine else options.feature_sets
-    p = P.mention_pairs(m, [*joint.COLUMNS, "topic0"], diagonal=True)
     if "+hearst" in feature_set:
-        heads = m.groupBy(F.col("head").alias("h")).agg(F.count("*").cast("double").alias("n"))
-        pairs = p.where("a < m").groupBy(F.least("m_head", "a_head").alias("x"), F.greatest("m_head", "a_head").alias("y")).agg(F.count("*").cast("double").alias("pair_count")).where("pair_count > 2")
-        p = p.join(pairs, (F.least("m_head", "a_head") == F.col("x")) & (F.greatest("m_head", "a_head") == F.col("y")), "left")
-        for side in "ma":
-            p = p.join(heads.select(F.col("h").alias(f"{side}_h"), F.col("n").alias(f"{side}_count")), F.col(f"{side}_head") == F.col(f"{side}_h"), "left")
+        m = m.join(m.groupBy("head").agg(F.count("*").cast("double").alias("count")), "head")
+        p = P.mention_pairs(m, [*joint.COLUMNS, "topic0", "count"], diagonal=True, beside=P.head_pair_counts(m, 3, ordered=False))
+        p = p.withColumn("pair_count", F.col("of_pair").cast("double"))
+    else:
+        p = P.mention_pairs(m, [*joint.COLUMNS, "topic0"], diagonal=True)
     return p.select("doc_key", "m", "a", joint.joint_features(feature_set, options.conjunction, topics=1).alias("feats"))
 
 
@@ -202,9 +201,8 @@ def keep_first_features(s, d):
 f as (select m.doc_key, m.k as m, a.k as a, list_filter([{', '.join(_BOTH)}], lambda x: x is not null) as feats from described m join described a on m.doc_key = a.doc_key and a.k < m.k left join h on h.x = m.head and h.y = a.head)
 select doc_key, m, a, cast(len(feats) as integer) as features, md5(array_to_string(feats, ' ')) as digest from f""")
 def separate_pairs(s, d):
-    p = P.mention_pairs(described(s, d), joint.SEPARATE)
-    common = lexical.bilexical_counts(p, cutoff=2).select(F.col("current").alias("x"), F.col("antecedent").alias("y"), F.lit(True).alias("common_heads"))
-    rows = p.join(common, (F.col("m_head") == F.col("x")) & (F.col("a_head") == F.col("y")), "left").withColumn("common_heads", F.coalesce("common_heads", F.lit(False)))
+    m = described(s, d)
+    rows = P.mention_pairs(m, joint.SEPARATE, beside=P.head_pair_counts(m, 2)).withColumn("common_heads", F.col("of_pair").isNotNull())
     return _told(rows.select("doc_key", "m", "a", joint.separate_pair_features("FINAL+MOARPW+bilexical").alias("feats")))
 
 

@@ -1,11 +1,12 @@
 """Plans whose memory and shuffles must not follow the number of tokens or pairs."""
 
 import random
+from collections import Counter
 
 import pytest
 
 import __spark_entry__ as entry
-from chainweave.operators import scoring
+from chainweave.operators import pairs, scoring
 
 DATA = "/root/testdata/sf0.001"
 
@@ -43,3 +44,28 @@ def test_largest_products_of_chunks_are_those_of_all_pairs(spark, monkeypatch):
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in expected.items()} and got["blank"][1] is None
     assert all(got[k][1] == pytest.approx(v[1], abs=1e-5) for k, v in expected.items() if v[1] is not None)
     assert "CartesianProduct" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_counts_of_head_pairs_come_to_the_pairs_in_blocks(spark, monkeypatch, ordered):
+    """Across blocks, and none for the diagonal or for what is counted too seldom."""
+    monkeypatch.setattr(pairs, "BLOCK", 4)
+    rng = random.Random(5)
+    heads = {(d, i): rng.choice("abcd") for d, n in (("x", 1), ("y", 4), ("z", 14)) for i in range(n)}
+    rows = spark.createDataFrame([(*k, h) for k, h in heads.items()], "doc_key string, ment_idx long, head string")
+    of = lambda d, m, a: (heads[d, m], heads[d, a]) if ordered else tuple(sorted((heads[d, m], heads[d, a])))
+    counts = Counter(of(d, m, a) for d, m in heads for a in range(m))
+    expected = {(d, m, a): counts[of(d, m, a)] if a < m and counts[of(d, m, a)] >= 6 else None for d, m in heads for a in range(m + 1)}
+    found = pairs.mention_pairs(rows, ["head"], diagonal=True, beside=pairs.head_pair_counts(rows, 6, ordered))
+    assert {(r["doc_key"], r["m"], r["a"]): r["of_pair"] for r in found.collect()} == expected and None in expected.values()
+
+
+@pytest.mark.parametrize("name", ["joint_gates", "separate_pairs"])
+def test_wide_pairs_are_not_shuffled(spark, name):
+    """The pairs with all columns of both mentions went through three shuffles, or one."""
+    tree = entry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    entry.broadcast_as_measured(spark, False)
+    depths = [len(x) - len(x.lstrip(" :+-")) for x in tree]
+    joins = [d for d, x in zip(depths, tree) if x.lstrip(" :+-").startswith("Join")]
+    top = next(x for d, x in zip(depths, tree) if d == joins[0] and x.lstrip(" :+-").startswith("Join"))
+    assert "m_block" in top and "a_block" in top
