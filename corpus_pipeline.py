@@ -15,7 +15,7 @@ from chainweave.llm.common import Scratch, fresh, table
 
 
 #: Entries of the caches of the last stage: fewer than a job of its own has, as earlier stages have grown the executors' heaps.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 40_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
