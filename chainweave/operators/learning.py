@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..storage import Scratch
-from .pairs import by_strategy
-from .scoring import expected_counts, linear_scores, marginals
+from .pairs import by_mention, marked
+from .scoring import expected_counts, marginals, with_scores
 
 # -- the log-linear model, relational ----------------------------------------
 
@@ -50,10 +50,11 @@ def train_log_linear(pairs: DataFrame, epochs: int = 20, rate: float = 1.0, l1:
     """
     spark, scratch = pairs.sparkSession, Scratch(pairs.sparkSession, "log-linear")
     weights = spark.createDataFrame([], "feat_idx int, weight double, squares double")
-    keys = ["doc_key", "m", "a"]
+    pairs = pairs.select("doc_key", "m", "feats", "coreferent", "loss")
+    n = pairs.count()
     for k in range(epochs):
-        scores = linear_scores(pairs, weights.select("feat_idx", "weight"))
-        augmented = pairs.join(scores, keys).withColumn("score", F.col("score") + F.col("loss"))
+        augmented = with_scores(pairs, weights.select("feat_idx", "weight")).withColumn("score", F.col("score") + F.col("loss"))
+        augmented = by_mention(augmented.drop("loss"), n)
         weights = scratch.store(adagrad_step(weights, expected_counts(gold_marginals(marginals(augmented))), rate, l1), f"weights-{k}")
         scratch.drop(f"weights-{k - 1}") if k else None
     return weights
@@ -71,20 +72,17 @@ class TwoPasses:
 def train_in_two_passes(coarse: DataFrame, fine: Callable[[DataFrame], DataFrame], strategy: str = "c2flogratio:2", epochs: int = 20, rate: float = 1.0, l1: float = 0.001) -> TwoPasses:
     """Coarse weights prune the pairs, ``fine`` featurizes what is left with its own index, fine weights are trained.
 
-    ``coarse``: as ``train_log_linear`` takes it. ``fine`` gets doc_key, m, a, coreferent, loss of the pairs that stay and
+    ``coarse``: as ``train_log_linear`` takes it. ``fine`` gets the pairs that stay, with all columns of ``coarse``, and
     returns them with feats. Every mention keeps its best pair. What a pass reads is stored once and removed after it.
     """
     scratch = Scratch(coarse.sparkSession, "two-passes")
     coarse = scratch.store(coarse, "coarse")
     first = train_log_linear(coarse, epochs, rate, l1)
-    keys = ["doc_key", "m", "a"]
-    scored = scratch.store(coarse.join(linear_scores(coarse, first.select("feat_idx", "weight")), keys).select(*keys, "coreferent", "loss", "score"), "scored")
-    kept = scratch.store(by_strategy(scored, strategy).select(*keys, F.lit(False).alias("pruned")), "kept")
-    pairs = scored.join(kept, keys, "left").withColumn("pruned", F.coalesce("pruned", F.lit(True)))
-    featurized = scratch.store(fine(pairs.where("not pruned").select(*keys, "coreferent", "loss")), "fine")
+    pairs = scratch.store(marked(by_mention(with_scores(coarse, first.select("feat_idx", "weight")), coarse.count()), strategy), "marked")
+    featurized = scratch.store(fine(pairs.where("not pruned").drop("score", "pruned")), "fine")
     second = train_log_linear(featurized, epochs, rate, l1)
-    scratch.close("scored", "kept")
-    return TwoPasses(first, second, pairs)
+    scratch.close("marked")
+    return TwoPasses(first, second, pairs.select("doc_key", "m", "a", "coreferent", "loss", "score", "pruned"))
 
 
 def binary_gradient(pairs: DataFrame, negative_weight: float = 1.0) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import components
@@ -13,15 +14,47 @@ from .components import components
 BY_MENTION = ["doc_key", "m"]
 #: Vectors of a chunk of ``largest_products``, about; of one product of matrices on either side, at most.
 CHUNK, PRODUCT = 8192, 1024
+#: Ids of weights that are sent as one vector end before this (8 bytes each).
+DENSE = 1 << 20
 
 
 def linear_scores(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """``score``: the sum of the weights of a pair's feature ids, 0 for unknown ones.
+    """doc_key, m, a and ``score``: the sum of the weights of a pair's feature ids, 0 for unknown ones.
 
     ``pairs``: doc_key, m, a, feats array<int>; ``weights``: feat_idx, weight.
     """
-    each = pairs.select("doc_key", "m", "a", F.explode_outer("feats").alias("feat_idx")).join(weights, "feat_idx", "left")
-    return each.groupBy("doc_key", "m", "a").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("score"))
+    return with_scores(pairs.select("doc_key", "m", "a", "feats"), weights).select("doc_key", "m", "a", "score")
+
+
+def with_scores(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """All columns and ``score``, as ``linear_scores``: a pair is scored where it is, neither exploded nor shuffled.
+
+    The weights are sent to all executors as one vector. If their ids reach DENSE, they are joined by feature.
+    """
+    known = weights.where("feat_idx is not null").groupBy("feat_idx").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight"))
+    table = known.limit(DENSE + 1).toArrow()  # bounded
+    ids, values = (table.column(c).to_numpy() for c in ("feat_idx", "weight"))
+    if not len(ids):
+        return pairs.withColumn("score", F.lit(0.0))
+    if len(ids) > DENSE or ids.min() < 0 or ids.max() >= DENSE:
+        keys = ["doc_key", "m", "a"]
+        each = pairs.select(*keys, F.explode_outer("feats").alias("feat_idx")).join(known, "feat_idx", "left")
+        return pairs.join(each.groupBy(*keys).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("score")), keys)
+    dense = np.zeros(int(ids.max()) + 1)
+    dense[ids] = values
+    shared, at = pairs.sparkSession.sparkContext.broadcast(dense), pairs.columns.index("feats")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        for batch in batches:
+            feats = batch.column(at)
+            sizes = pc.fill_null(pc.list_value_length(feats), 0).to_numpy()
+            ids = pc.fill_null(feats.flatten(), -1).to_numpy()
+            known = np.where((ids >= 0) & (ids < len(w)), w[np.clip(ids, 0, len(w) - 1)], 0.0)
+            scores = np.bincount(np.repeat(np.arange(len(sizes)), sizes), known, len(sizes))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+
+    return pairs.mapInArrow(run, pairs.limit(0).withColumn("score", F.lit(0.0)).schema)
 
 
 def marginals(pairs: DataFrame) -> DataFrame:

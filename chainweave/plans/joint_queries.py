@@ -245,11 +245,7 @@ def _two_passes(s, d):
     scratch = Scratch(s, "pairs")
     every = scratch.store(_training_pairs(s, d), "pairs")
     more = F.array(F.least("apart", F.lit(5)).cast("int") + 40, F.when(F.col("response_link"), 50).otherwise(51))
-
-    def fine(left):
-        return left.join(every.select("doc_key", "m", "a", "feats", "response_link", "apart"), ["doc_key", "m", "a"]).withColumn("feats", F.concat("feats", more))
-
-    return learning.train_in_two_passes(every.drop("response_link", "apart"), fine, "c2flogratio:0.5", epochs=1)
+    return learning.train_in_two_passes(every, lambda left: left.withColumn("feats", F.concat("feats", more)), "c2flogratio:0.5", epochs=1)
 
 
 PASSES_SQL = ROWS_SQL + """, summed as (select doc_key, m, a, sum(w.weight) as score from (select doc_key, m, a, unnest(feats) as f from rows) x join weights w on w.feat_idx = x.f group by all),

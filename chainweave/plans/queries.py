@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import linguistic, numeric, strings
 from ..operators import analysis, clusters, features, inference, lexical, metrics, mentions as M, pairs as P, scoring
 from ..sources import conll, text_formats
+from ..storage import Scratch
 from . import proxy
 from .registry import query
 
@@ -323,7 +324,7 @@ _SOFT = "top as (select *, max(score) over (partition by doc_key, m) as t from p
 
 @query("linear_score", INDEXED + ", w as (select doc_key, ment_idx, unnest(ids) as id from vec) select doc_key, ment_idx as m, round(sum((id % 7 - 3) * 0.25), 6)::double as score from w group by 1, 2")
 def linear_score(s, d):
-    vectors = indexed_mentions(s, d).select("doc_key", F.col("ment_idx").alias("m"), F.col("ment_idx").alias("a"), "feats")
+    vectors = Scratch(s, "vectors").store(indexed_mentions(s, d).select("doc_key", F.col("ment_idx").alias("m"), F.col("ment_idx").alias("a"), "feats"), "vectors")
     ids = vectors.select(F.explode("feats").alias("feat_idx")).distinct()
     weights = ids.withColumn("weight", (F.col("feat_idx") % 7 - 3) * 0.25)
     return scoring.linear_scores(vectors, weights).select("doc_key", "m", six(F.col("score")).alias("score"))
