@@ -17,6 +17,21 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*_conll") -> Data
     return whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 
+def read_documents(spark: SparkSession, path: str, pattern: str = "*_conll") -> DataFrame:
+    """As ``documents`` of ``read_lines``: a file is cut into documents, sentences and lines where it is read.
+
+    Numbers are places in what is cut, so no line is shuffled or sorted, and a task holds a file at a time.
+    """
+    whole = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path, wholetext=True)
+    docs = whole.select(F.explode(F.split("value", r"(?<=\n)(?=#begin document)")).alias("doc")).where(F.startswith(F.col("doc"), F.lit("#begin document")))
+    head = lambda k: F.regexp_extract("doc", r"^#begin document \((.*)\); part (\d+)", k)
+    told = lambda sentence: F.filter(F.split(sentence, "\r?\n"), lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("#")))
+    sentences = F.filter(F.transform(F.split("doc", r"\r?\n(?: *\r?\n)+"), told), lambda x: F.size(x) > 0)
+    rows = docs.select(head(1).alias("doc_id"), head(2).cast("int").alias("part_no"), F.posexplode(sentences).alias("sent_idx", "lines"))
+    rows = rows.select("doc_id", "part_no", F.col("sent_idx").cast("bigint").alias("sent_idx"), F.posexplode("lines").alias("tok_idx", "line"))
+    return _fields(rows.withColumn("tok_idx", F.col("tok_idx").cast("bigint")))
+
+
 def documents(lines: DataFrame) -> DataFrame:
     """doc_key ``id (part n)``, sent_idx, tok_idx and the fields of each token line.
 
@@ -32,7 +47,11 @@ def documents(lines: DataFrame) -> DataFrame:
     tokens = rows.where("trim(line) <> '' and not startswith(line, '#')")
     sentence = (F.dense_rank().over(Window.partitionBy("file", "_doc").orderBy("_gap")) - 1).cast("bigint")
     place = (F.row_number().over(Window.partitionBy("file", "_doc", "_gap").orderBy("line_no")) - 1).cast("bigint")
-    tokens = tokens.withColumns({"sent_idx": sentence, "tok_idx": place, "f": F.split(F.trim("line"), r"\s+")})
+    return _fields(tokens.withColumns({"sent_idx": sentence, "tok_idx": place}))
+
+
+def _fields(tokens: DataFrame) -> DataFrame:
+    tokens = tokens.withColumn("f", F.split(F.trim("line"), r"\s+"))
     f = F.when(F.size("f") < FIELDS, F.raise_error(F.concat(F.lit("fewer than twelve fields: "), F.col("line")))).otherwise(F.col("f"))
     tokens = tokens.withColumn("f", f)
     name = F.concat("doc_id", F.lit(" (part "), "part_no", F.lit(")"))

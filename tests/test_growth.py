@@ -1,11 +1,14 @@
 """What a task holds, shuffles and computes must not follow the number of pairs, tokens or lines."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from chainweave.operators import pairs as P, scoring
+from chainweave.sources import conll, tokens as K
 
 
 def plan_of(df) -> str:
@@ -43,3 +46,49 @@ def test_pruned_pairs_are_marked_in_one_pass(spark, monkeypatch, strategy):
         best[d, m] = max(best.get((d, m), 0), round(s, 9))
     holds = lambda d, m, a, s, kind, i, j: round(s, 9) + 0.5 >= best[d, m] if strategy[0] == "c" else a >= m - 3 and (kind != "PRONOMINAL" or i - j <= 1)
     assert kept == {r[:3] for r in rows if holds(*r)}
+
+
+@pytest.mark.parametrize("name", ["tokenized", "realigned_tokens"])
+def test_tokens_of_a_text_are_not_shuffled(spark, name):
+    """Each piece of a text was a row of three shuffles; a text is a row from beginning to end."""
+    assert "Exchange" not in plan_of(entry.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_places_of_tokens_do_not_follow_the_texts_of_a_batch(spark, monkeypatch):
+    words = ["it's", '"', "don't", "(", "🙂", "\u017f", "x'\u017f", "'s", " ", "\x0b", "a'b's", "\"x\"", "", "état"]
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(words) for _ in range(rng.randrange(12))) for _ in range(60)] + [None, "", "  "]
+    pieces = [re.findall(r"[ \x0b]+|[^\W_]+(?:['][^\W_]+)*|[\s\S]", t or "") for t in texts]
+    shown = []
+    for own in pieces:
+        ended = [(re.match(r"(?i)(.+)(n't|'(?:s|re|ve|ll|d|m))$", p, re.A), p) for p in own]
+        cut = [x for m, p in ended for x in (m.groups() if m else (p,))]
+        at, out = 0, []
+        for k, p in enumerate(cut):
+            if p[0] not in " \x0b":
+                opening = k == 0 or cut[k - 1][0] in " \x0b(["
+                out.append((at, at + len(p), p, {"(": "-LRB-", '"': "``" if opening else "''"}.get(p, p)))
+            at += len(p)
+        shown.append(out)
+    for size in (1, 7, 256):
+        monkeypatch.setattr(K, "TEXTS", size)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = {r["doc_id"]: list(zip(r["starts"], r["stops"], r["raws"], r["tokens"])) for r in K.token_lists(df).collect()}
+        assert [got[k] for k in range(len(texts))] == shown
+
+
+def test_files_are_read_as_documents_without_a_shuffle(spark, tmp_path):
+    """All lines of a file were sorted by several windows of one task."""
+    rng = random.Random(8)
+    field = lambda k: f"x 0 {k} w{k} - * - - - s * {rng.choice(['-', '(1)'])}"
+    for n in range(3):
+        lines = ["# before", field(0)] if n else []
+        for part in range(4):
+            lines += [f"#begin document (a({n})); part {part:03d}", *rng.choice([[], [""], ["# note"]])]
+            for _ in range(rng.randrange(5)):
+                lines += [*(" " * rng.randrange(2) + field(k) for k in range(rng.randrange(4))), *rng.choice([["# note"], []]), *[rng.choice(["", "  "])] * rng.randrange(3)]
+            lines += rng.choice([["#end document"], ["", "#end document", "", field(9)], []])
+        (tmp_path / f"f{n}_conll").write_bytes(["\n", "\r\n", "\n"][n].join(lines).encode() + b"\n" * n)
+    expected, found = conll.documents(conll.read_lines(spark, str(tmp_path))), conll.read_documents(spark, str(tmp_path))
+    assert "Exchange" not in plan_of(found) and found.dtypes == expected.dtypes
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect())) and found.count() > 20
