@@ -60,16 +60,20 @@ def side_features(side: str) -> Column:
 
 def pair_features() -> Column:
     """The 15 features of a pair's two mentions together (names m_<column> and a_<column>)."""
+    return F.array(*_of_pair())
+
+
+def _of_pair() -> list[Column]:
     f, m, a = feature, lambda c: _c(f"m_{c}"), lambda c: _c(f"a_{c}")
     same_speaker = speaker_name(m("speaker")) == speaker_name(a("speaker"))
     within = (m("sent_idx") == a("sent_idx")) & (((m("start_idx") <= a("start_idx")) & (m("end_idx") >= a("end_idx"))) | ((a("start_idx") <= m("start_idx")) & (a("end_idx") >= m("end_idx"))))
-    return F.array(
+    return [
         f("Dist", F.least(_c("m") - _c("a"), F.lit(10))), f("SentDist", F.least(m("sent_idx") - a("sent_idx"), F.lit(10))), f("iWi", within), f("SameSpeaker", same_speaker), f("DocType", m("genre")),
         f("ExactStrMatch", same_text(m("text"), a("text"))), f("ThisContained", contained(m("text"), a("text"))), f("AntContained", contained(a("text"), m("text"))),
         f("ExactHeadMatch", same_text(m("head"), a("head"))), f("ThisHeadContained", contained(m("head"), a("text"))), f("AntHeadContained", contained(a("head"), m("text"))),
         f("CurrPronConjStr", m("conj")), f("PrevPronConjStr", a("conj")),
         f("AntContainedByDifferentSpeaker", a("contained_by_speaker") & ~same_speaker), f("AntContainsDifferentSpeaker", a("contains_speaker") & ~same_speaker),
-    )
+    ]
 
 
 def featurized_pairs(mentions: DataFrame, keep: Column | None = None, back: int | None = None) -> DataFrame:
@@ -79,6 +83,17 @@ def featurized_pairs(mentions: DataFrame, keep: Column | None = None, back: int
     return pairs.select("doc_key", "m", "a", F.concat("a_as_ante", "m_as_curr", pair_features()).alias("feats"))
 
 
+def pair_templates(mentions: DataFrame) -> DataFrame:
+    """template, cnt over the vectors of all pairs. The names of a mention's own features are cut once a mention, not once a pair;
+    those of a pair's are generated code, and pairs are counted by their names before these are rows."""
+    cut = lambda x: F.substring_index(x, "=", 1)
+    own = mentions.withColumns({"as_ante": F.array_join(F.transform(side_features("Prev"), cut), " "), "as_curr": F.array_join(F.transform(side_features("Curr"), cut), " "), "conj": pronoun_or_type()})
+    pairs = mention_pairs(own, [*MENTION_COLUMNS, "conj", "as_ante", "as_curr"])
+    counts = pairs.groupBy("a_as_ante", "m_as_curr", F.concat_ws(" ", *map(cut, _of_pair())).alias("of_pair")).agg(F.count("*").alias("n"))
+    each = counts.select(F.explode(F.split(F.concat_ws(" ", "a_as_ante", "m_as_curr", "of_pair"), " ")).alias("template"), "n")
+    return each.groupBy("template").agg(F.sum("n").alias("cnt"))
+
+
 def with_ids(vectors: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
     """``feats`` as ids in place of strings, 0 for unknown ones, their order kept.
 

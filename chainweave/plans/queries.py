@@ -309,10 +309,7 @@ def triangular_offset_check(s, d):
 
 @query("template_counts", VECTORS + ", names as (select split_part(unnest(feats), '=', 1) as template from vectors) select template, count(*) as cnt from names group by 1 order by cnt desc, template limit 200")
 def template_counts(s, d):
-    # templates are counted per vector shape: a vector's names are cut before they are exploded
-    v = features.featurized_pairs(proxy.mentions(s, d)).select(F.transform("feats", lambda x: F.substring_index(x, "=", 1)).alias("names"))
-    counts = v.groupBy("names").agg(F.count("*").alias("n")).select(F.explode("names").alias("template"), "n").groupBy("template").agg(F.sum("n").alias("cnt"))
-    return counts.orderBy(F.desc("cnt"), "template").limit(200)
+    return features.pair_templates(proxy.mentions(s, d)).orderBy(F.desc("cnt"), "template").limit(200)
 
 
 # -- scores and choices -----------------------------------------------------------------

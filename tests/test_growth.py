@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from chainweave.operators import pairs as P, scoring
+from chainweave.operators import inference, pairs as P, scoring
 from chainweave.sources import conll, tokens as K
 
 
@@ -92,3 +92,33 @@ def test_files_are_read_as_documents_without_a_shuffle(spark, tmp_path):
     expected, found = conll.documents(conll.read_lines(spark, str(tmp_path))), conll.read_documents(spark, str(tmp_path))
     assert "Exchange" not in plan_of(found) and found.dtypes == expected.dtypes
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect())) and found.count() > 20
+
+
+def test_names_of_templates_are_cut_once_a_mention(spark):
+    """All 53 names of a pair were cut from its features, by an interpreted function."""
+    plan = entry.queries()["template_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    entry.broadcast_as_measured(spark, False)
+    above = plan.split("Join", 1)[0]
+    assert "lambdafunction" not in above and "substring_index" in above and "lambdafunction" in plan
+
+
+def test_members_meet_mentions_in_blocks(spark, monkeypatch):
+    """A document was one key, and the partial counts of all its pairs in one task."""
+    monkeypatch.setattr(inference, "BLOCK", 3)
+    monkeypatch.setattr(inference, "SORTED", 20)
+    rng = random.Random(9)
+    value = {(d, m): rng.choice(["x", "y", None]) for d, n in (("a", 1), ("b", 17), ("c", 6)) for m in range(n)}
+    cluster = {k: rng.randrange(3) for k in value if rng.random() < 0.8}
+    mentions = spark.createDataFrame([(*k, v) for k, v in value.items()], "doc_key string, ment_idx long, p string")
+    found = inference.entity_features(mentions, spark.createDataFrame([(*k, c) for k, c in cluster.items()], "doc_key string, ment_idx long, cluster_id int"), ["p"])
+    expected = {}
+    for (d, m), v in value.items():
+        for (e, i), c in cluster.items():
+            if e == d and i < m:
+                size, same = expected.get((d, m, c), (0, 0))
+                expected[d, m, c] = size + 1, same + (v is not None and v == value[e, i])
+    got = {(r["doc_key"], r["m"], r["cluster_id"]): r["size"] for r in found.collect()}
+    assert got == {k: v[0] for k, v in expected.items()} and len({k for k in got if k[0] == "b"}) > 20
+    assert plan_of(found).split("Initial Plan")[0].count("REPARTITION_BY_NUM") == 2
+    none = [k for k, (n, same) in expected.items() if same == 0 and n > 2]
+    assert none and all(r["p"] == "p=NONE" for r in found.collect() if (r["doc_key"], r["m"], r["cluster_id"]) in none)
