@@ -81,7 +81,7 @@ def joint_features(feature_set: str, conjunctions: str = "CANONICAL", topics: in
     def add(name: str, value: Column | None = None, when: Column = always, tail: Column | None = None) -> None:
         text = F.concat(F.lit(f"{name}="), *([] if value is None else [F.coalesce(value.cast("string"), F.lit(""))]), *([] if tail is None else [tail]))
         whole = [text, *_conjoined(name, text, conjunctions, new, m, a, closed)]
-        out.extend(F.when(when, x) for x in whole)
+        out.extend(F.coalesce(F.when(when, x), F.lit("")) for x in whole)
 
     def words(prefix: str, side: Callable, own: Column, tail: Column | None, when: Column) -> None:
         """Words in and around one mention; the classes of the new-cluster templates are the antecedent's."""
@@ -183,7 +183,7 @@ def joint_features(feature_set: str, conjunctions: str = "CANONICAL", topics: in
         for name, x in (("Unnorm", F.col("pair_count")), ("Norm", F.col("pair_count") / heads)):
             for fine, width in (("", 1), ("Fine", 4)):
                 add(f"Hearst{name}{fine}Bin", (F.log10(x) * width + 0.5).cast("int"), there & present)
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+    return F.array_remove(F.array(*out), "")  # no feature is empty; a lambda over the array would have all of it interpreted
 
 
 def _conjoined(name: str, text: Column, kind: str, new: Column, m: Callable, a: Callable, closed: Callable) -> list[Column]:

@@ -40,7 +40,7 @@ def featurized(s, d, options: Options, fine: bool = False):
 
 
 def _told(rows):
-    return rows.select("doc_key", "m", "a", F.size("feats").alias("features"), F.md5(F.encode(F.array_join("feats", " "), "UTF-8")).alias("digest"))
+    return rows.select("doc_key", "m", "a", F.size("feats").alias("features"), F.md5(F.array_join("feats", " ").cast("binary")).alias("digest"))
 
 
 # -- the same in SQL: for each feature its condition and its text -------------------------
