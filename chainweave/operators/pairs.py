@@ -82,8 +82,8 @@ def log_ratio_pruned(pairs: DataFrame, ratio: float = 2.0) -> DataFrame:
     return pairs.withColumn("within", _within(ratio)).where("within").drop("within")
 
 
-#: Pairs that a task sorts by mention, about.
-SORTED = 2_000_000
+#: Pairs that a task sorts by mention, about (some 150 bytes each).
+SORTED = 400_000
 
 
 def by_mention(pairs: DataFrame, rows: int) -> DataFrame:

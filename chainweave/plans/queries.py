@@ -357,8 +357,7 @@ _WITH_LOSS = f"known as (select *, bool_or(coreferent) over (partition by doc_ke
 
 
 def _with_loss(s, d) -> DataFrame:
-    w = Window.partitionBy("doc_key", "m")
-    p = proxy.scored_pairs(s, d, diagonal=True).withColumn("anaphoric", F.bool_or("coreferent").over(w))
+    p = proxy.scored_pairs(s, d, diagonal=True, anaphoric=True)
     return p.withColumn("loss", numeric.false_link_loss("custom", F.col("anaphoric"), F.col("a") == F.col("m"), F.col("coreferent") | ((F.col("a") == F.col("m")) & ~F.col("anaphoric"))))
 
 
