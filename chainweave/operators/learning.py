@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..storage import Scratch
@@ -349,13 +350,19 @@ def scored_vectors(vectors: DataFrame, model: SparseMlp, feats: str = "feats") -
     """All columns and ``score``: the network's value of each vector (L12, G28). The model is of a fixed size and broadcast."""
     shared = vectors.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema) + ", score double"
+    at = vectors.columns.index(feats)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
         for batch in batches:
-            x = np.stack(batch[feats].to_numpy()) if len(batch) else np.zeros((0, 1), int)
-            yield batch.assign(score=shared.value.scores(np.minimum(x, len(shared.value.w) - 1)) if len(batch) else [])
-
-    return vectors.mapInPandas(run, schema)
+            column, n = batch.column(at), batch.num_rows
+            if column.null_count or len(pc.unique(pc.list_value_length(column))) > 1:
+                raise ValueError("vectors of one length are needed")
+            x = column.flatten().to_numpy(zero_copy_only=False)
+            scores = net.scores(np.minimum(x.reshape(n, -1), len(net.w) - 1)) if n else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+
+    return vectors.mapInArrow(run, schema)
 
 
 def training_documents(mentions: DataFrame, pairs: DataFrame, clusters: DataFrame) -> Iterator[Document]:
