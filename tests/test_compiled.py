@@ -16,6 +16,7 @@ def test_features_of_pairs_have_no_interpreted_part(spark):
 
 
 def test_long_methods_are_cut_for_the_core_queries_only(spark):
+    entry.compiled_in_pieces(spark, False)  # earlier tests run core queries
     before = spark.conf.get(entry.COMPILED)
     entry.queries()["mentions"](spark, "/root/testdata/sf0.001")
     assert spark.conf.get(entry.COMPILED) == "8000"
