@@ -35,7 +35,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +49,12 @@ from .token_files import Pieces
 SEGMENT, NUMBERED = 1 << 20, 1 << 20
 #: Entries of each generation of a worker's cache of units (beyond it by those of one text), and code points of a unit that is kept.
 CACHED_UNITS, LONGEST_UNIT = 250_000, 64
+#: Code points of the texts that are cut into units together.
+TOGETHER = 1 << 18
 #: Letters of a regular expression's class.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Marks that may follow a letter without a space. (An apostrophe begins contractions.)
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Aligner:
@@ -70,93 +74,119 @@ class Aligner:
         joined = {c for p in pieces for k, c in enumerate(p.replace("▁", " ")) if c in " \n\t" and k and (c != " " or p[k - 1] != "▁")}
         sure = "".join(c for c in " \n\t" if c not in joined)
         odd = "".join(c for c in SPACES if c not in sure)
-        unit = f"[{SPACES}]*[^{SPACES}]+(?:[{odd}][{SPACES}]*[^{SPACES}]+)*(?:[{odd}][{SPACES}]*$)?|[{SPACES}]+"
+        unit = f"[{SPACES}]*+[^{SPACES}]++(?:[{odd}][{SPACES}]*[^{SPACES}]+)*(?:[{odd}][{SPACES}]*$)?|[{SPACES}]+"
         # between a letter and a mark A always cuts; B does if no piece has both
-        if "\n" in sure and not any(re.search(f"[{LETTERS}][.,]", p) for p in pieces):
-            unit = f"[{SPACES}]*[{LETTERS}]+(?=[.,])|{unit}"
+        behind = set("".join(re.findall(f"(?<=[{LETTERS}])[^{LETTERS}]", "\n".join(pieces))))
+        self.marks = frozenset(c for c in MARKS if c not in behind) if "\n" in sure else frozenset()
+        if self.marks:
+            unit = f"[{SPACES}]*+[{LETTERS}]++(?=[{re.escape(''.join(sorted(self.marks)))}])|{unit}"
         self.units = re.compile(unit).findall
         self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.line_feed = array(self.a.code, self.a.line_feed).tolist()
         self.restart()
 
     def restart(self) -> None:
         self.groups: list[str] = []
-        #: The groups' numbers: by a << 32 | b for those of two tokens, by their text for others.
-        self.numbers: dict[int | str, int] = {}
+        #: The groups' numbers: by a << 32 | b for those of two tokens, by the ids with -1 between for others.
+        self.numbers: dict[int | tuple[int, ...], int] = {}
         #: For each group its tokens of A and of B, and its distinct links as a << 32 | b.
-        self.sizes: list[tuple[int, int]] = []
+        self.sizes = array("q")
         self.links: list[bytes] = []
         self.cache: dict[str, tuple[str, bytes] | None] = {}
         self.older: dict[str, tuple[str, bytes] | None] = {}
 
     def a_ids(self, unit: str) -> list[int]:
-        rest = unit[1:]
-        if rest.isascii() and rest.isalpha() and unit[0] == " ":
-            return [t.id for t in self.a.tokenize(self.a.space + rest)]
+        rest, first = unit[1:], unit[0]
+        if rest.isalpha() and (first == " " or first == "\n"):  # one word, or a line feed and one
+            if not rest.isascii():
+                rest = rest.encode().decode("latin-1").translate(BYTE_LETTERS)
+            if first == " ":
+                return [t.id for t in self.a.tokenize(self.a.space + rest)]
+            return [*self.line_feed, *(t.id for t in self.a.tokenize(rest))]
         ids = array(self.a.code)
         ids.frombytes(b"".join(map(self.a._word, self.a.split(unit))))
         return ids.tolist()
 
     def b_ids(self, units: list[str]) -> list[list[int]]:
         """B puts a space before what it gets, so that is left out, or cut off again behind a line feed."""
-        cut = [0 if u[0] == " " else 2 if u[0] in ".," else 1 for u in units]
+        marks = self.marks
+        cut = [0 if u[0] == " " else 2 if u[0] in marks else 1 for u in units]
         ids = self.b.encode([u[1:] if c == 0 else "\n" + u if c == 2 else u for u, c in zip(units, cut)], num_threads=1)
         # to nothing B adds no space
         return [[self.space] if u == " " else i[c:] if c else i for u, i, c in zip(units, ids, cut)]
 
-    def _added(self, key: int | str, a: list[int], b: list[int]) -> int:
+    def _added(self, key: int | tuple[int, ...], a: list[int], b: list[int]) -> int:
         self.numbers[key] = number = len(self.groups)
         self.groups.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
-        self.sizes.append((len(a), len(b)))
+        self.sizes.extend((len(a), len(b)))
         self.links.append(array("q", [x << 32 | y for x in set(a) for y in set(b)]).tobytes())
         return number
 
-    def _number(self, a: list[int], b: list[int]) -> int:
-        key = a[0] << 32 | b[0] if len(a) == len(b) == 1 else f"{a}{b}"
-        number = self.numbers.get(key)
-        return self._added(key, a, b) if number is None else number
-
     def _unit(self, unit: str, b: list[int]) -> tuple[str, bytes] | None:
         """The unit's groups as text, and their numbers; None if B spells other bytes."""
-        b_bytes = self.b_bytes
-        if b"".join([b_bytes[i] for i in b]) != unit.encode():
+        if b"".join(map(self.b_bytes.__getitem__, b)) != unit.encode():
             return None
         a = self.a_ids(unit)
-        a_sizes, b_sizes = self.a_sizes, self.b_sizes
-        a_ends, b_ends = list(accumulate([a_sizes[i] for i in a])), list(accumulate([b_sizes[i] for i in b]))
-        number = self._number
-        if a_ends == b_ends:
-            found = [number([x], [y]) for x, y in zip(a, b)]
+        a_ends, b_ends = list(accumulate(map(self.a_sizes.__getitem__, a))), list(accumulate(map(self.b_sizes.__getitem__, b)))
+        if a_ends != b_ends:
+            found = self._cut(a, b, a_ends, b_ends)
         else:
-            found, j, a_from, b_from = [], 0, 0, 0
-            for i, end in enumerate(a_ends, 1):
-                while b_ends[j] < end:
-                    j += 1
-                if b_ends[j] == end:
-                    j += 1
-                    found.append(number(a[a_from:i], b[b_from:j]))
-                    a_from, b_from = i, j
-        groups = self.groups
-        return ";".join([groups[g] for g in found]), array("i", found).tobytes()
-
-    def align(self, text: str | None) -> tuple[str, np.ndarray] | None:
-        """The text's groups as text, and their numbers; None if it has no tokens."""
-        if not text:
-            return None
-        units, cache, older = self.units(" " + text), self.cache, self.older
-        missing = set(units).difference(cache)
+            keys = [x << 32 | y for x, y in zip(a, b)]
+            found = list(map(self.numbers.get, keys))
+            if None in found:
+                found = self._cut(a, b, a_ends, b_ends)
+        return ";".join(map(self.groups.__getitem__, found)), array("i", found).tobytes()
+
+    def _cut(self, a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> list[int]:
+        """The numbers of the groups between the ends that both have."""
+        known, found = self.numbers.get, []
+        j = a_from = b_from = 0
+        for i, end in enumerate(a_ends, 1):
+            while b_ends[j] < end:
+                j += 1
+            if b_ends[j] == end:
+                j += 1
+                key = a[a_from] << 32 | b[b_from] if i - a_from == 1 == j - b_from else (*a[a_from:i], -1, *b[b_from:j])
+                number = known(key)
+                found.append(self._added(key, a[a_from:i], b[b_from:j]) if number is None else number)
+                a_from, b_from = i, j
+        return found
+
+    def align(self, texts: list[str | None]) -> list[tuple[str, np.ndarray] | None]:
+        """Each text's groups as text, and their numbers; None if it has no tokens. New units of all texts are met at once."""
+        each, cache, older = [self.units(" " + t) if t else [] for t in texts], self.cache, self.older
+        missing = set(chain.from_iterable(each)).difference(cache)
         new = [u for u in missing if u not in older]
         cache.update((u, older[u]) for u in missing.difference(new))
         cache.update((u, self._unit(u, b)) for u, b in zip(new, self.b_ids(new)))
-        found = list(map(cache.__getitem__, units))
+        out = []
+        for units in each:
+            found = list(map(cache.__getitem__, units))
+            if not found or None in found:  # a change of bytes in one unit is one of the whole
+                out.append(None)
+                continue
+            spelled, numbers = zip(*found)
+            out.append((";".join(spelled), np.frombuffer(b"".join(numbers), np.int32)))
         for u in new:
             if len(u) > LONGEST_UNIT:
                 del cache[u]
         if len(cache) >= CACHED_UNITS:
             self.cache, self.older = {}, cache
-        if None in found:  # a change of bytes in one unit is one of the whole
-            return None
-        spelled, numbers = zip(*found)
-        return ";".join(spelled), np.frombuffer(b"".join(numbers), np.int32)
+        return out
+
+
+def together(rows: Iterable[tuple[int | None, str | None]]) -> Iterator[list[tuple[int | None, str | None]]]:
+    """Rows of an id and a text in lists of at most ``TOGETHER`` code points, or of one row."""
+    part, size = [], 0
+    for row in rows:
+        n = len(row[1] or "") + 1
+        if part and size + n > TOGETHER:
+            yield part
+            part, size = [], 0
+        part.append(row)
+        size += n
+    if part:
+        yield part
 
 
 _SEGMENT = [
@@ -173,8 +203,7 @@ class _Open:
     def __init__(self):
         self.doc_ids, self.hashes, self.totals, self.refs, self.times, self.again, self.size = [], [], [], [], [], [], 0
 
-    def add(self, doc_id: int | None, text: str | None, aligner: Aligner) -> None:
-        found = aligner.align(text)
+    def add(self, doc_id: int | None, found: tuple[str, np.ndarray] | None, aligner: Aligner) -> None:
         self.doc_ids.append(doc_id)
         if found is None:
             self.hashes.append("")
@@ -183,8 +212,8 @@ class _Open:
         spelled, numbers = found
         own, times = np.unique(numbers, return_counts=True)
         listed = own.tolist()
-        sizes = np.array([aligner.sizes[g] for g in listed], np.int64).reshape(-1, 2)
-        links = np.sort(np.frombuffer(b"".join([aligner.links[g] for g in listed]), np.int64))
+        sizes = np.frombuffer(aligner.sizes, np.int64).reshape(-1, 2)[own]
+        links = np.sort(np.frombuffer(b"".join(map(aligner.links.__getitem__, listed)), np.int64))
         self.again.append(links[1:][links[1:] == links[:-1]])  # once for each further group with the same link
         self.hashes.append(hashlib.sha256(spelled.encode()).hexdigest())
         self.totals.append((*(sizes * times[:, None]).sum(0).tolist(), len(numbers), int((sizes.prod(1) * times).sum()), len(own)))
@@ -216,14 +245,17 @@ def segments(docs: DataFrame, a_tokenizer: str, b_tokenizer: str) -> DataFrame:
         key = ("alignment", *(hashlib.sha256(f if isinstance(f, bytes) else f.encode()).hexdigest() for f in files.value))
         aligner, task, n, part = held(key, lambda: Aligner(*files.value)), TaskContext.get().partitionId(), 0, _Open()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part.add(doc_id, text.as_py(), aligner)
-                full = len(aligner.groups) >= numbered
-                if full or part.size >= segment or len(part.doc_ids) >= segment:
-                    yield part.row(task << 32 | n, aligner)
-                    part, n = _Open(), n + 1
-                    if full:
-                        aligner.restart()
+            for rows in together(zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1)))):
+                for (doc_id, _), found in zip(rows, aligner.align([text for _, text in rows])):
+                    part.add(doc_id, found, aligner)
+                    if part.size >= segment or len(part.doc_ids) >= segment:
+                        yield part.row(task << 32 | n, aligner)
+                        part, n = _Open(), n + 1
+                if len(aligner.groups) >= numbered:  # what is numbered anew is in other segments
+                    if part.doc_ids:
+                        yield part.row(task << 32 | n, aligner)
+                        part, n = _Open(), n + 1
+                    aligner.restart()
         if part.doc_ids:
             yield part.row(task << 32 | n, aligner)
 

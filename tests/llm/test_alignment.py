@@ -83,3 +83,38 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.digest(docs, A, B).collect() == []
     assert [tuple(r) for r in alignment.digest(spark.createDataFrame([(1, None), (1, None)], docs.schema), A, B).collect()] == [(1, 0, 0, 0, 0, 0, 0, "")] * 2
+
+
+@pytest.fixture(scope="module")
+def aligner():
+    return alignment.Aligner(open(A, encoding="utf-8").read(), open(B, "rb").read())
+
+
+def test_marks_behind_letters_are_units_of_their_own(aligner):
+    """So a word is met once, whatever marks follow it; the groups are those of the whole text."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(A), SentencePieceProcessor(model_file=B)
+    words = ["the", "Haus", "zuchpfkeitie", "ciónezarie", "ß", "ªa"]
+    texts = [f"{w}{m}{m}{m} {w}{m}x\\n{w}{m}{m}\\n{m}{w}.{m}{w} {w}'s{m}".replace("\\n", "\n") for w in words for m in alignment.MARKS]
+    for text, found in zip(texts, aligner.align(texts)):
+        spelled = found[0]
+        assert [int(x) for g in spelled.split(";") for x in g.split("|")[0].split(",")] == a.encode(" " + text, add_special_tokens=False).ids
+        assert [int(x) for g in spelled.split(";") for x in g.split("|")[1].split(",")] == b.encode(text)
+    assert set("$%&*#!.,") <= aligner.marks
+    assert aligner.units(" zuchpfkeitie$$$ whenble%%%") == [" zuchpfkeitie", "$$$", " whenble", "%%%"]
+
+
+def test_new_units_of_many_texts_are_met_in_one_call(aligner, monkeypatch):
+    """Each call of B starts threads of its own, which took longer than its work for one text."""
+    monkeypatch.setattr(alignment, "CACHED_UNITS", 20)
+    calls, encode = [], aligner.b.encode
+    monkeypatch.setattr(aligner.b, "encode", lambda units, **k: calls.append(len(units)) or encode(units, **k))
+    rows = [(k, f"qword{'abcdefghij'[k % 10]} xzz{'abcdefghij'[k // 10]} " + "y" * 70 + "z" * k) for k in range(100)]
+    for part in alignment.together(rows):
+        assert None not in aligner.align([t for _, t in part])
+    assert len(calls) == 1 and not aligner.cache and len(aligner.older) >= 20 and max(map(len, aligner.older)) <= alignment.LONGEST_UNIT
+    monkeypatch.setattr(alignment, "TOGETHER", 300)
+    parts = list(alignment.together([*rows, (None, None), (1, "x" * 1000)]))
+    assert [r for p in parts for r in p] == [*rows, (None, None), (1, "x" * 1000)] and all(len(p) == 1 or sum(len(t or "") + 1 for _, t in p) <= 300 for p in parts)
