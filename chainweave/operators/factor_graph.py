@@ -16,11 +16,15 @@ is one number on the row of that candidate; messages to properties are a column
 for each value. A round groups messages by node and joins the nodes' beliefs back to the
 factors: keys are mentions and pairs, so no document is held by a task, and each
 round ends in a stored table. Which messages a round sends is the schedule's.
+
+Where pairs can be made from their mentions (``propagate_made``), no message is kept: it
+follows from the pair's score and what each round told the two mentions, so a round makes the
+pairs with that again, and only mentions and their sums are shuffled and stored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 from math import exp, inf
@@ -250,6 +254,26 @@ def _padded(grid: Grid, width: int, rest: float) -> Grid:
     return [[grid[i][j] if i < len(grid) and j < len(grid[0]) else rest for j in range(width)] for i in range(width)]
 
 
+def _based(p: Property) -> tuple[list[Column], list[Column]]:
+    """Of one property its potentials as observed, and the logs of what these make of the property itself."""
+    own = [F.get(F.col(f"`{p.name}`"), k) for k in range(p.size)]
+    tied = own if p.projection is None else [_sum(x * F.lit(exp(row[k])) for x, row in zip(own, p.projection)) for k in range(p.size)]
+    return own, [_log(x) for x in tied]
+
+
+def _observed(mentions: DataFrame, properties: list[Property]) -> DataFrame:
+    """doc_key, node, c, base0.. (of the property itself), phi0.. (as observed), projected."""
+    n = range(max(p.size for p in properties))
+
+    def described(c: int, p: Property) -> Column:
+        own, logs = _based(p)
+        at = lambda values, k, rest: values[k] if k < p.size else F.lit(rest)
+        return F.struct(F.lit(c).alias("c"), *(at(logs, k, NEVER).alias(f"base{k}") for k in n), *(at(own, k, 0.0).cast("double").alias(f"phi{k}") for k in n), F.lit(p.projection is not None).alias("projected"))
+
+    rows = F.explode(F.array(*(described(c, p) for c, p in enumerate(properties))))
+    return mentions.select("doc_key", F.col("ment_idx").alias("node"), rows.alias("x")).select("doc_key", "node", "x.*")
+
+
 def propagate(choices: DataFrame, mentions: DataFrame, properties: list[Property], rounds: int = ROUNDS, tolerance: float | None = None) -> Beliefs:
     """Rounds of messages between all nodes and factors.
 
@@ -265,17 +289,7 @@ def propagate(choices: DataFrame, mentions: DataFrame, properties: list[Property
     width = max(p.size for p in properties)
     choices = scratch.store(choices.select(*PAIR, "score"), "choices")
     n = range(width)
-
-    def described(c: int, p: Property) -> Column:
-        """For one property: its potentials as observed (phi), and what these make of the property itself (base)."""
-        own = [F.get(F.col(f"`{p.name}`"), k) for k in range(p.size)]
-        tied = own if p.projection is None else [_sum(x * F.lit(exp(row[k])) for x, row in zip(own, p.projection)) for k in range(p.size)]
-        at = lambda values, k, rest: values[k] if k < p.size else F.lit(rest)
-        logs = [_log(x) for x in tied]
-        return F.struct(F.lit(c).alias("c"), *(at(logs, k, NEVER).alias(f"base{k}") for k in n), *(at(own, k, 0.0).cast("double").alias(f"phi{k}") for k in n), F.lit(p.projection is not None).alias("projected"))
-
-    rows = F.explode(F.array(*(described(c, p) for c, p in enumerate(properties))))
-    observed = scratch.store(mentions.select("doc_key", F.col("ment_idx").alias("node"), rows.alias("x")).select("doc_key", "node", "x.*"), "observed")
+    observed = scratch.store(_observed(mentions, properties), "observed")
     base = observed.select(*NODE, *_names("base", width))
     start = observed.select(*NODE, *(F.when(F.col("projected") & (F.col(f"base{k}") > NEVER), F.lit(0.0)).otherwise(F.col(f"base{k}")).alias(f"base{k}") for k in n))
     links = choices.where("a <> m").select(*PAIR, F.explode(F.array(*(F.lit(c) for c in range(len(properties))))).alias("c"))
@@ -299,6 +313,133 @@ def propagate(choices: DataFrame, mentions: DataFrame, properties: list[Property
     return graph
 
 
+# -- messages made again -------------------------------------------------------------
+
+
+#: Logs of weights are summed as so many bands, so that neither the largest nor the smallest sum leaves the range of doubles.
+BAND = 512.0
+TINY = 1e-300
+
+
+class Remade(Beliefs):
+    """Beliefs of ``propagate_made``. ``told`` of a mention: for each round the log of the sum of its choices' weights and, relative to the best, the beliefs in its values."""
+
+    def __init__(self, paired: Callable[[DataFrame, list[str]], DataFrame], mentions: DataFrame, properties: list[Property], rounds: int):
+        observed = _observed(mentions, properties)
+        super().__init__(None, observed.select(*NODE, *_names("base", max(p.size for p in properties))), observed, None, properties)
+        self.paired, self.mentions, self.rounds = paired, mentions, rounds
+        self.starts = [sum(p.size for p in properties[:c]) for c in range(len(properties))]
+        self.total = sum(p.size for p in properties)
+        self.cells = [(c, k) for c, p in enumerate(properties) for k in range(p.size)]
+
+    def pairs(self, rounds: int) -> DataFrame:
+        """Every pair with its messages after so many rounds, as factors: tc0.. to the choice, tm0_0.. and ta0_0.. to the values of both mentions."""
+        rows = self.paired(self.mentions, ["told"]).select(*PAIR, "score", "m_told", "a_told")
+        rows = rows.withColumns({f"tc{c}": F.lit(1.0) for c in range(len(self.properties))} | {f"t{x}{c}_{k}": F.lit(1.0) for x in "ma" for c, k in self.cells})
+        for j in range(rounds):
+            rows = self.answered(self.asked(rows, j))
+        return rows
+
+    def marginal(self, j: int) -> Column:
+        return F.least(_product([self.alone(j), *(F.col(f"tc{c}") for c in range(len(self.properties)))]), F.lit(1.0))
+
+    def alone(self, j: int) -> Column:
+        return F.exp(F.col("score") - F.get("m_told", F.lit(j * (self.total + 1))))
+
+    def asked(self, rows: DataFrame, j: int) -> DataFrame:
+        """With what the nodes of a pair send it in round ``j``: qm0_0.., qa0_0.. (chances of values), chosen0.. (that of the candidate)."""
+        new = {}
+        for c, p in enumerate(self.properties):
+            for x in "ma":
+                own = [F.get(f"{x}_told", F.lit(j * (self.total + 1) + 1 + self.starts[c] + k)) / F.col(f"t{x}{c}_{k}") for k in range(p.size)]
+                new |= {f"q{x}{c}_{k}": q / _sum(own) for k, q in enumerate(own)}
+            without = _product([self.alone(j), *(F.col(f"tc{i}") for i in range(len(self.properties)) if i != c)])
+            new[f"chosen{c}"] = without / (without + 1 - self.marginal(j))
+        return rows.select(*PAIR, "score", "m_told", "a_told", *(f"tc{c}" for c in range(len(self.properties))), *(x.alias(n) for n, x in new.items()))
+
+    def answered(self, rows: DataFrame) -> DataFrame:
+        """The messages that factors send after that; a new cluster has none."""
+        new = {}
+        for c, p in enumerate(self.properties):
+            g, n, chosen = p.potentials(), range(p.size), F.col(f"chosen{c}")
+            x = [_sum(g[i][k] * F.col(f"qa{c}_{k}") for k in n) for i in n]
+            y = [_sum(g[i][k] * F.col(f"qm{c}_{i}") for i in n) for k in n]
+            new[f"tc{c}"] = _sum(F.col(f"qm{c}_{i}") * x[i] for i in n)
+            new |= {f"tm{c}_{k}": chosen * x[k] + 1 - chosen for k in n} | {f"ta{c}_{k}": chosen * y[k] + 1 - chosen for k in n}
+        linked = lambda x: F.when(F.col("a") != F.col("m"), F.greatest(x, F.lit(TINY))).otherwise(F.lit(1.0))
+        return rows.select(*PAIR, "score", "m_told", "a_told", *(linked(x).alias(n) for n, x in new.items()))
+
+    def summed(self, rounds: int) -> DataFrame:
+        """doc_key, ment_idx, choices (log of the sum of their weights), b0_0.. (logs of the messages to its values, summed)."""
+        rows = self.pairs(rounds)
+        rows = rows.withColumn("w", _sum([F.col("score"), *(F.log(f"tc{c}") for c in range(len(self.properties)))]))
+        rows = rows.withColumn("as_m", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("band", F.when(F.col("as_m"), F.floor(F.col("w") / BAND)))
+        own = {"ment_idx": F.when(F.col("as_m"), F.col("m")).otherwise(F.col("a")), "part": F.exp(F.col("w") - BAND * F.col("band"))}
+        own |= {f"b{c}_{k}": F.log(F.when(F.col("as_m"), F.col(f"tm{c}_{k}")).otherwise(F.col(f"ta{c}_{k}"))) for c, k in self.cells}
+        rows = rows.select("doc_key", "band", *(x.alias(n) for n, x in own.items()))
+        sums = [F.sum(f"b{c}_{k}").alias(f"b{c}_{k}") for c, k in self.cells]
+        bands = rows.groupBy("doc_key", "ment_idx", "band").agg(F.sum("part").alias("part"), *sums)
+        both = bands.groupBy("doc_key", "ment_idx").agg(F.max("band").alias("top"), F.collect_list(F.when(F.col("band").isNotNull(), F.struct("band", "part"))).alias("parts"), *sums)
+        whole = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"] * F.exp(BAND * (x["band"] - F.col("top"))))
+        return both.select("doc_key", "ment_idx", (BAND * F.col("top") + F.log(whole)).alias("choices"), *(f"b{c}_{k}" for c, k in self.cells))
+
+    def advanced(self, rounds: int) -> DataFrame:
+        """The mentions with what so many rounds told them; ``beliefs``: the last one's log beliefs."""
+        rows = self.mentions.drop("beliefs").join(self.summed(rounds), ["doc_key", "ment_idx"], "left")
+        base = {(c, k): x for c, p in enumerate(self.properties) for k, x in enumerate(_based(p)[1]) if rounds or p.projection is None}
+        rows = rows.withColumns({f"b{c}_{k}": base.get((c, k), F.lit(0.0)) + F.coalesce(f"b{c}_{k}", F.lit(0.0)) for c, k in self.cells})
+        top = [_top([F.col(f"b{c}_{k}") for k in range(p.size)]) for c, p in enumerate(self.properties)]
+        told = F.array(F.coalesce("choices", F.lit(0.0)), *(F.exp(F.col(f"b{c}_{k}") - top[c]) for c, k in self.cells))
+        beliefs = F.array(*(F.col(f"b{c}_{k}") for c, k in self.cells))
+        return rows.select(*(c for c in self.mentions.columns if c not in ("told", "beliefs")), F.concat("told", told).alias("told"), beliefs.alias("beliefs"))
+
+    def by_property(self, rows: DataFrame, columns: list[str], each: Callable[[int, int], dict[str, Column]]) -> DataFrame:
+        """A row for each property c: ``each`` gives the columns of a property's value."""
+        rows = rows.withColumn("c", F.explode(F.array(*(F.lit(c) for c in range(len(self.properties))))))
+        chosen = {}
+        for c, k in self.cells:
+            for name, x in each(c, k).items():
+                chosen.setdefault(name, []).append((c, x))
+        of = lambda own: reduce(lambda rest, x: F.when(F.col("c") == x[0], x[1]).otherwise(rest), own, F.lit(None).cast("double"))
+        return rows.select(*columns, "c", *(of(own).alias(name) for name, own in chosen.items()))
+
+    def nodes(self, messages: None, base: None) -> DataFrame:
+        rows = self.by_property(self.mentions, ["doc_key", F.col("ment_idx").alias("node")], lambda c, k: {f"b{k}": F.get("beliefs", F.lit(self.starts[c] + k))})
+        return rows.fillna(NEVER, _names("b", self.width))
+
+    def chosen(self, messages: None) -> DataFrame:
+        return self.pairs(self.rounds).select(*PAIR, self.marginal(self.rounds).alias("marginal"))
+
+    def met(self, messages: None, base: None) -> DataFrame:
+        rows = self.asked(self.pairs(self.rounds).where("a <> m"), self.rounds)
+        rows = self.by_property(rows, PAIR, lambda c, k: {f"q_m{k}": F.col(f"qm{c}_{k}"), f"q_a{k}": F.col(f"qa{c}_{k}"), "chosen": F.col(f"chosen{c}")})
+        return rows.fillna(0.0, [*_names("q_m", self.width), *_names("q_a", self.width)])
+
+    def marginals(self) -> DataFrame:
+        return self.chosen(None)
+
+
+def _product(values: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a * b, values)
+
+
+def propagate_made(paired: Callable[[DataFrame, list[str]], DataFrame], mentions: DataFrame, properties: list[Property], rounds: int = ROUNDS) -> Remade:
+    """``propagate`` where choices are made from mentions: none is shuffled or stored, and none of its messages.
+
+    ``paired`` gets the mentions (with all their columns) and names of columns that a pair needs of both, and returns
+    doc_key, m, a (a = m: new), score and these as m_<name>, a_<name>. All messages are sent in all rounds; those of a pair are made again
+    in every round, so arithmetic grows with the square of the rounds, and what is stored with mentions and rounds.
+    """
+    scratch = Scratch(mentions.sparkSession, "factor-graph")
+    start = F.array().cast("array<double>")
+    graph = Remade(paired, scratch.store(mentions.withColumns({"told": start, "beliefs": start}), "mentions"), properties, rounds)
+    for k in range(rounds + 1):
+        graph.mentions = scratch.store(graph.advanced(k), f"mentions-{k}")
+        scratch.drop(f"mentions-{k - 1}") if k else None
+    scratch.close(f"mentions-{rounds}", "mentions")
+    return graph
+
+
 def least_risk(marginals: DataFrame, false_link: float = 0.1, false_new: float = 3.0, wrong_link: float = 1.0) -> DataFrame:
     """doc_key, m, a, risk: the choice of the smallest expected loss, of equals the first antecedent.
 

@@ -209,3 +209,53 @@ def test_least_risk(spark):
     found = {r["m"]: (round(r["risk"], 9), r["a"]) for r in G.least_risk(df).collect()}
     assert {m: a for m, (_, a) in found.items()} == {m: a for m, (_, a) in expected.items()} and all(found[m][0] == pytest.approx(expected[m][0], abs=1e-9) for m in found)
     assert {r["m"]: r["a"] for r in G.least_risk(df, 1.0, 1.0, 1.0).collect()} == likeliest
+
+
+@pytest.mark.parametrize("kind, rounds", [(0, 5), (1, 2), (2, 1), (2, 4)])
+def test_messages_made_again_are_those_of_dense_graphs(spark, kind, rounds):
+    """No message is kept; what a pair's factors send follows from what each round told its mentions."""
+    rng, properties = random.Random(20 + kind), KINDS[kind]
+    documents = {f"d{k}": made(rng, properties, rng.randrange(1, 6), False) for k in range(12)}
+    documents["far"] = ([(0, 0, 900.0), (1, 1, -900.0), (1, 0, -2000.0), (2, 0, 1500.0), (2, 1, 1499.0)], documents["d0"][1] if len(documents["d0"][1][0]) == 3 else made(rng, properties, 3, False)[1])
+    expected = {d: ((t := tables(properties, *x))[0], messages(*t, rounds)) for d, x in documents.items() if d != "far"}
+    after = {d: ((t := tables(properties, *x))[0], messages(*t, rounds + 1)) for d, x in documents.items() if d != "far"}
+    choices = spark.createDataFrame([(d, *c) for d, (cs, _) in documents.items() for c in cs], "doc_key string, m long, a long, score double")
+    rows = [(d, m, *(potentials[c][m] for c in range(len(properties)))) for d, (_, potentials) in documents.items() for m in potentials[0]]
+    mentions = spark.createDataFrame(rows, "doc_key string, ment_idx long, " + ", ".join(f"{p.name} array<double>" for p in properties))
+
+    def paired(nodes, columns):
+        side = lambda x: nodes.select("doc_key", F.col("ment_idx").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in columns))
+        return choices.join(side("m"), ["doc_key", "m"]).join(side("a"), ["doc_key", "a"])
+
+    found, kept = G.propagate_made(paired, mentions, properties, rounds), G.propagate(choices, mentions, properties, rounds)
+    near = lambda rows: rows.where("doc_key <> 'far'")
+    for name in ("marginals", "values", "observations"):
+        both = [{tuple(r)[:3]: r[3] for r in getattr(graph, name)().collect()} for graph in (found, kept)]
+        assert both[0].keys() == both[1].keys() and all(x == pytest.approx(both[1][k], abs=1e-9) for k, x in both[0].items())
+    plain = type("Near", (), {n: (lambda self, n=n: near(getattr(found, n)())) for n in ("marginals", "values", "observations")})()
+    close(plain, documents, expected, properties, after)
+    names = [G.names_of_grid("full", p.size, p.name) for p in properties]
+    both = [{r["feature"]: r["expected"] for r in graph.expected_counts(names).collect()} for graph in (found, kept)]
+    assert both[0].keys() == both[1].keys() and all(x == pytest.approx(both[1][k], abs=1e-9) for k, x in both[0].items())
+
+
+@pytest.mark.parametrize("name", ["bp_expected_counts", "bp_factors", "bp_values"])
+def test_no_pairs_are_stored(spark, monkeypatch, name):
+    """The rounds stored every pair's messages, for each property."""
+    import __spark_entry__ as entry
+    from chainweave.storage import Scratch
+
+    stored, plain = [], Scratch.store
+
+    def store(self, df, *a, **b):
+        stored.append(plain(self, df, *a, **b))
+        return stored[-1]
+
+    monkeypatch.setattr(Scratch, "store", store)
+    monkeypatch.setattr(Scratch, "drop", lambda self, *names: None)
+    found = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    rows = [x.count() for x in stored]
+    mentions = rows[0]
+    assert rows and max(rows) == mentions and (name in ("bp_values", "bp_expected_counts") or found.count() > 3 * mentions)
+    entry.broadcast_as_measured(spark, False)
+    entry.compiled_in_pieces(spark, False)
