@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import agreement_bucket, smoothed_choice
@@ -9,10 +11,10 @@ from ..storage import Scratch
 from .pairs import SORTED
 
 
-def phi_posteriors(mentions: DataFrame, value: str, values: list[str], confidence: float = 0.75) -> DataFrame:
-    """doc_key, ment_idx, posterior: mostly the known value, uniform if it is unknown."""
+def phi_posteriors(mentions: DataFrame, value: str, values: list[str], confidence: float = 0.75, kept: Sequence[str] = ()) -> DataFrame:
+    """doc_key, ment_idx, columns ``kept``, posterior: mostly the known value, uniform if it is unknown."""
     place = F.array_position(F.array(*(F.lit(v) for v in values)), F.col(value)) - 1
-    return mentions.select("doc_key", "ment_idx", smoothed_choice(F.when(place >= 0, place.cast("int")), len(values), confidence).alias("posterior"))
+    return mentions.select("doc_key", "ment_idx", *kept, smoothed_choice(F.when(place >= 0, place.cast("int")), len(values), confidence).alias("posterior"))
 
 
 #: Mentions of a document that meet its earlier ones under one key.

@@ -239,7 +239,7 @@ def test_messages_made_again_are_those_of_dense_graphs(spark, kind, rounds):
     assert both[0].keys() == both[1].keys() and all(x == pytest.approx(both[1][k], abs=1e-9) for k, x in both[0].items())
 
 
-@pytest.mark.parametrize("name", ["bp_expected_counts", "bp_factors", "bp_values"])
+@pytest.mark.parametrize("name", ["bp_expected_counts", "bp_factors", "bp_marginals", "bp_values"])
 def test_no_pairs_are_stored(spark, monkeypatch, name):
     """The rounds stored every pair's messages, for each property."""
     import __spark_entry__ as entry
