@@ -430,7 +430,7 @@ def propagate_made(paired: Callable[[DataFrame, list[str]], DataFrame], mentions
     doc_key, m, a (a = m: new), score and these as m_<name>, a_<name>. All messages are sent in all rounds; those of a pair are made again
     in every round, so arithmetic grows with the square of the rounds, and what is stored with mentions and rounds.
     """
-    scratch = Scratch(mentions.sparkSession, "factor-graph")
+    scratch = Scratch(mentions.sparkSession, "factor-graph", released=True)
     start = F.array().cast("array<double>")
     graph = Remade(paired, scratch.store(mentions.withColumns({"told": start, "beliefs": start}), "mentions"), properties, rounds)
     for k in range(rounds + 1):
